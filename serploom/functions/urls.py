@@ -6,6 +6,8 @@ each step is its own projection, so nothing is evaluated twice.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,15 @@ def repair_url(raw: Column) -> Column:
     return F.when(usable, full)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body mentions it.
+
+    Predicates pushed through a projection are inlined by the optimizer; a lambda variable keeps the
+    inlined expression small.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def trim_ws(raw: Column) -> Column:
     return F.regexp_replace(raw, r"(?U)^[\s]+|[\s]+$", "")
 
@@ -68,106 +79,87 @@ def normalize_escapes(path: Column) -> Column:
     return F.when(path.contains("%"), F.array_join(F.transform(tokens, fix), "")).otherwise(path)
 
 
-def with_url_parts(df: DataFrame, url: str, prefix: str = "_u_") -> DataFrame:
-    """Adds ``scheme authority host port path query`` of ``url`` (host lower-case, dot dropped)."""
-    p = lambda name: F.col(prefix + name)
-    df = df.withColumn(prefix + "bare", F.substring_index(F.col(url), "#", 1))
-    df = df.withColumn(
-        prefix + "scheme",
-        F.when(
-            p("bare").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"),
-            F.lower(F.substring_index(p("bare"), ":", 1)),
-        ),
-    )
-    df = df.withColumn(
-        prefix + "rest",
-        F.when(
-            p("bare").contains("://"), F.expr(f"substr({prefix}bare, length({prefix}scheme) + 4)")
-        ),
-    )
-    df = df.withColumn(
-        prefix + "authority", F.substring_index(F.substring_index(p("rest"), "/", 1), "?", 1)
-    )
-    df = df.withColumn(
-        prefix + "tail", F.expr(f"substr({prefix}rest, length({prefix}authority) + 1)")
-    )
-    df = df.withColumns(
-        {
-            prefix + "hostport": F.substring_index(p("authority"), "@", -1),
-            prefix + "path": F.substring_index(p("tail"), "?", 1),
-            prefix + "query": F.when(
-                p("tail").contains("?"),
-                F.expr(f"substr({prefix}tail, instr({prefix}tail, '?') + 1)"),
-            ),
-        }
+_SCHEME = "[A-Za-z][A-Za-z0-9+.-]*"
+
+
+def url_scheme(url: Column) -> Column:
+    """Lower-case scheme, empty when there is none."""
+    return F.lower(F.regexp_extract(url, f"^({_SCHEME}):", 1))
+
+
+def url_authority(url: Column) -> Column:
+    return F.regexp_extract(url, f"^{_SCHEME}://([^/?#]*)", 1)
+
+
+def url_host(url: Column) -> Column:
+    """Lower-case host without credentials, port and one trailing dot."""
+    pattern = rf"^{_SCHEME}://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#]+?)\.?(?::[0-9]*)?(?:[/?#]|$)"
+    return F.lower(F.regexp_extract(url, pattern, 1))
+
+
+def url_port(url: Column) -> Column:
+    return F.regexp_extract(url, f"^{_SCHEME}://[^/?#]*:([0-9]*)(?:[/?#]|$)", 1)
+
+
+def url_path(url: Column) -> Column:
+    return F.regexp_extract(url, f"^{_SCHEME}://[^/?#]*([^?#]*)", 1)
+
+
+def url_query(url: Column) -> Column:
+    """Query string without the question mark, NULL when there is none."""
+    return F.when(url.rlike(r"^[^?#]*\?"), F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1))
+
+
+def canonical_url(url: Column) -> Column:
+    """Canonical spelling of an http(s) URL; anything else stays as it is.
+
+    Every part is one flat expression over ``url``, so pushing a predicate on the result below the
+    projection cannot multiply the work. Hosts outside ASCII stay in lower case here;
+    ``with_ascii_host`` turns them into punycode.
+    """
+    default_port = F.when(url_scheme(url) == "http", 80).otherwise(443)
+    port = bind(
+        url_port(url),
+        lambda p: F.when(
+            (p == "") | F.coalesce(p.try_cast("int") == default_port, F.lit(False)), F.lit("")
+        ).otherwise(F.concat(F.lit(":"), p)),
     )
-    has_port = p("hostport").rlike(":[0-9]*$")
-    df = df.withColumns(
-        {
-            prefix + "rawhost": F.lower(
-                F.when(has_port, F.regexp_replace(p("hostport"), ":[0-9]*$", "")).otherwise(
-                    p("hostport")
-                )
-            ),
-            prefix + "port": F.when(has_port, F.regexp_extract(p("hostport"), ":([0-9]*)$", 1)),
-        }
+    path = bind(
+        normalize_escapes(url_path(url)),
+        lambda p: F.when(p == "", F.lit("/"))
+        .when((F.length(p) > 1) & p.endswith("/"), _drop_last(p))
+        .otherwise(p),
     )
-    df = df.withColumn(
-        prefix + "host",
-        F.when(
-            p("rawhost").endswith(".") & (F.length(p("rawhost")) > 1),
-            F.expr(f"substr({prefix}rawhost, 1, length({prefix}rawhost) - 1)"),
-        ).otherwise(p("rawhost")),
+    query = bind(
+        url_query(url),
+        lambda q: F.when(q.isNull(), F.lit(""))
+        .when(q == "", F.lit("?"))
+        .otherwise(
+            bind(
+                strip_tracking(q),
+                lambda kept: F.when(kept == "", F.lit("")).otherwise(F.concat(F.lit("?"), kept)),
+            )
+        ),
     )
-    return df.drop(*[prefix + c for c in ("bare", "rest", "tail", "hostport", "rawhost")])
+    return F.when(
+        url.rlike("^(?i:https?)://"),
+        F.concat(url_scheme(url), F.lit("://"), url_host(url), port, path, query),
+    ).otherwise(url)
+
+
+def _drop_last(text: Column) -> Column:
+    return F.substring(text, F.lit(1), F.length(text) - 1)
 
 
 def with_canonical_url(
     df: DataFrame, url: str, out: str = "canonical_url", host_out: str | None = None
 ) -> DataFrame:
-    """Adds the canonical spelling of ``url`` (and its host); URLs that are not http(s) stay as is.
-
-    Hosts outside ASCII are left in lower case here; ``with_ascii_host`` turns them into punycode.
-    """
-    pre = "_c_"
-    p = lambda name: F.col(pre + name)
-    df = with_url_parts(df, url, pre)
-    default_port = F.when(p("scheme") == "http", 80).otherwise(443)
-    port = F.when(
-        F.coalesce(p("port"), F.lit("")).isin("")
-        | F.coalesce(p("port").try_cast("int") == default_port, F.lit(False)),
-        F.lit(""),
-    ).otherwise(F.concat(F.lit(":"), p("port")))
-    df = df.withColumns(
-        {
-            pre + "p": F.when(p("path") == "", F.lit("/")).otherwise(normalize_escapes(p("path"))),
-            pre + "q": F.when(p("query") != "", strip_tracking(p("query"))),
-            pre + "port": port,
-        }
-    )
-    trimmed = F.when(
-        (F.length(p("p")) > 1) & p("p").endswith("/"),
-        F.expr(f"substr({pre}p, 1, length({pre}p) - 1)"),
-    ).otherwise(p("p"))
-    suffix = (
-        F.when(p("query") == "", F.lit("?"))
-        .when(F.coalesce(p("q"), F.lit("")) == "", F.lit(""))
-        .otherwise(F.concat(F.lit("?"), p("q")))
-    )
-    is_web = p("scheme").isin("http", "https") & p("host").isNotNull()
-    canonical = F.when(
-        is_web,
-        F.concat(
-            p("scheme"), F.lit("://"), p("host"), p("port"), trimmed, suffix
-        ),
-    ).otherwise(F.col(url))
-    added = {out: canonical}
+    """Adds the canonical spelling of ``url`` and, if asked for, its host."""
+    source = F.col(url)
+    added = {out: canonical_url(source)}
     if host_out:
-        added[host_out] = F.when(is_web, p("host"))
-    df = df.withColumns(added)
-    return df.drop(
-        *[pre + c for c in ("scheme", "authority", "path", "query", "port", "host", "p", "q")]
-    )
+        added[host_out] = F.when(source.rlike("^(?i:https?)://"), url_host(source))
+    return df.withColumns(added)
 
 
 @F.pandas_udf(T.StringType())
