@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from serploom import dims
-from serploom.functions.urls import trim_ws
+from serploom.functions.urls import bind, trim_ws
 
 FENCE_OPEN = "<untrusted-search-results>"
 FENCE_CLOSE = "</untrusted-search-results>"
@@ -21,23 +21,33 @@ def collapse_ws(text: Column) -> Column:
 
 def strip_tags(text: Column) -> Column:
     """Text outside angle brackets; every closing bracket leaves a space."""
-    bare = F.regexp_replace(text, "<[^>]*>", " ")
-    bare = F.regexp_replace(bare, "<[^>]*$", "")
-    return F.when(text.contains("<"), F.replace(bare, F.lit(">"), F.lit(" "))).otherwise(text)
+
+    def strip(t: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(t, "<[^>]*>", " "), "<[^>]*$", "")
+        return F.when(t.contains("<"), F.replace(bare, F.lit(">"), F.lit(" "))).otherwise(t)
+
+    return bind(text, strip)
 
 
 def decode_entities(text: Column) -> Column:
     """One pass over the known entities, so nothing is decoded twice."""
     table = F.create_map(*[F.lit(x) for pair in dims.ENTITIES.items() for x in pair])
-    tokens = F.regexp_extract_all(text, F.lit("(&[^;]{0,8};|[^&]+|&)"), F.lit(1))
-    decoded = F.array_join(
-        F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), t)), ""
-    )
-    return F.when(text.contains("&"), decoded).otherwise(text)
+
+    def decode(t: Column) -> Column:
+        tokens = F.regexp_extract_all(t, F.lit("(&[^;]{0,8};|[^&]+|&)"), F.lit(1))
+        decoded = F.array_join(
+            F.transform(tokens, lambda x: F.coalesce(F.try_element_at(table, x), x)), ""
+        )
+        return F.when(t.contains("&"), decoded).otherwise(t)
+
+    return bind(text, decode)
 
 
 def clean_text(text: Column) -> Column:
-    return F.nullif(collapse_ws(decode_entities(strip_tags(text))), F.lit(""))
+    """Markup, entities and stray white space removed; NULL when nothing is left."""
+    return bind(
+        collapse_ws(decode_entities(strip_tags(text))), lambda t: F.when(t != "", t)
+    )
 
 
 def clip_words(text: Column, limit: int) -> tuple[Column, Column]:

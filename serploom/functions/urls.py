@@ -19,21 +19,15 @@ _UNRESERVED_ESCAPE = "(?i)^%(2d|2e|3[0-9]|4[1-9a-f]|5[0-9a]|5f|6[1-9a-f]|7[0-9a]
 
 def repair_url(raw: Column) -> Column:
     """A usable http(s) URL from a sloppy one, or NULL."""
+    # a chain in which every step mentions the one before it once
     text = F.regexp_replace(trim_ws(raw), r"[\x00-\x1F\x7F]", "")
-    full = (
-        F.when(text.startswith("//"), F.concat(F.lit("https:"), text))
-        .when(~text.contains("://"), F.concat(F.lit("https://"), text))
-        .otherwise(text)
-    )
-    authority = F.regexp_extract(full, r"^[A-Za-z]+://([^/?#]*)", 1)
+    full = F.regexp_replace(F.regexp_replace(text, "^//", "https://"), "(?s)^(?!.*://)(?=.)", "https://")
+    # host not empty, no credentials, no characters a host cannot hold, port in digits
     usable = (
-        (text != "")
-        & full.rlike(r"^(?i:https?)://[^/?#]")
-        & ~authority.contains("@")
-        & ~authority.rlike(r"^:|[\s<>\"\\^`{|}]")
-        & ~authority.rlike(r"^[^\[].*:[^0-9]|^[^\[][^:]*:.*:")
+        r"(?s)^((?i:https?)://(?:\[[0-9A-Fa-f:.]+\]|[^/?#@:\s<>\"\\^`{|}\[\]]+)(?::[0-9]*)?"
+        r"(?:[/?#].*)?)$"
     )
-    return F.when(usable, full)
+    return bind(F.regexp_extract(full, usable, 1), lambda u: F.when(u != "", u))
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -45,21 +39,43 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+# The characters Unicode counts as white space.
+WHITE_SPACE = (
+    " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def trim_ws(raw: Column) -> Column:
-    return F.regexp_replace(raw, r"(?U)^[\s]+|[\s]+$", "")
+    return F.btrim(raw, F.lit(WHITE_SPACE))
+
+
+_TRACKING_PAIR = (
+    "(?i)(?<=^|&)(?:" + "|".join(dims.TRACKING_PARAMETERS) + ")(?:=[^&]*)?(?=&|$)"
+)
 
 
 def strip_tracking(query: Column) -> Column:
-    """The query string without tracking parameters; order and spelling of the rest are kept."""
-    names = F.array(*[F.lit(p) for p in dims.TRACKING_PARAMETERS])
+    """The query string without tracking parameters; order and spelling of the rest are kept.
+
+    Parameter names are compared decoded; only a query with escapes pays for that.
+    """
 
     def keep(pair: Column) -> Column:
         name = F.substring_index(pair, "=", 1)
         # a plus sign is an ordinary character in a parameter name here
         decoded = F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
-        return (pair != "") & ~F.array_contains(names, F.lower(decoded))
+        return (pair != "") & ~F.lower(decoded).isin(*dims.TRACKING_PARAMETERS)
 
-    return F.array_join(F.filter(F.split(query, "&"), keep), "&")
+    plain = F.regexp_replace(query, _TRACKING_PAIR, "")
+    return (
+        F.when(query.contains("%"), F.array_join(F.filter(F.split(query, "&"), keep), "&"))
+        .when(
+            query.contains("&"),
+            F.trim(F.regexp_replace(plain, "&{2,}", "&"), F.lit("&")),
+        )
+        .otherwise(plain)
+    )
 
 
 def normalize_escapes(path: Column) -> Column:
@@ -92,9 +108,9 @@ def url_authority(url: Column) -> Column:
 
 
 def url_host(url: Column) -> Column:
-    """Lower-case host without credentials, port and one trailing dot."""
-    pattern = rf"^{_SCHEME}://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#]+?)\.?(?::[0-9]*)?(?:[/?#]|$)"
-    return F.lower(F.regexp_extract(url, pattern, 1))
+    """Lower-case host without credentials, port and one trailing dot; empty when there is none."""
+    pattern = rf"^{_SCHEME}://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)"
+    return F.regexp_replace(F.lower(F.regexp_extract(url, pattern, 1)), r"(?<=.)\.$", "")
 
 
 def url_port(url: Column) -> Column:
@@ -110,56 +126,99 @@ def url_query(url: Column) -> Column:
     return F.when(url.rlike(r"^[^?#]*\?"), F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1))
 
 
-def canonical_url(url: Column) -> Column:
-    """Canonical spelling of an http(s) URL; anything else stays as it is.
+def with_canonical_url(
+    df: DataFrame, url: str, out: str = "canonical_url", host_out: str | None = None
+) -> DataFrame:
+    """Adds the canonical spelling of an http(s) URL (others stay as they are) and, if asked, its host.
 
-    Every part is one flat expression over ``url``, so pushing a predicate on the result below the
-    projection cannot multiply the work. Hosts outside ASCII stay in lower case here;
-    ``with_ascii_host`` turns them into punycode.
+    The parts are staged in projections of their own: each is used several times, so the optimizer
+    leaves the stages apart and every string function runs once per row in generated code. Regular
+    expressions and lambdas run only on URLs that have something to rewrite. Hosts outside ASCII stay
+    in lower case here; ``with_ascii_host`` turns them into punycode.
     """
-    default_port = F.when(url_scheme(url) == "http", 80).otherwise(443)
-    port = bind(
-        url_port(url),
-        lambda p: F.when(
-            (p == "") | F.coalesce(p.try_cast("int") == default_port, F.lit(False)), F.lit("")
-        ).otherwise(F.concat(F.lit(":"), p)),
+    c = F.col
+    is_web = (
+        c(url).startswith("https://")
+        | c(url).startswith("http://")
+        | c(url).rlike("^(?i:https?)://")
     )
-    path = bind(
-        normalize_escapes(url_path(url)),
-        lambda p: F.when(p == "", F.lit("/"))
-        .when((F.length(p) > 1) & p.endswith("/"), _drop_last(p))
-        .otherwise(p),
+    df = df.withColumn("_bare", F.when(is_web, F.substring_index(c(url), "#", 1)))
+    df = df.withColumn("_rest", F.expr("substr(_bare, instr(_bare, '://') + 3)"))
+    df = df.withColumn(
+        "_authority", F.substring_index(F.substring_index(c("_rest"), "/", 1), "?", 1)
     )
-    query = bind(
-        url_query(url),
-        lambda q: F.when(q.isNull(), F.lit(""))
-        .when(q == "", F.lit("?"))
-        .otherwise(
-            bind(
-                strip_tracking(q),
-                lambda kept: F.when(kept == "", F.lit("")).otherwise(F.concat(F.lit("?"), kept)),
-            )
-        ),
+    df = df.withColumns(
+        {
+            "_site": F.lower(
+                F.concat(
+                    F.substring_index(c("_bare"), ":", 1),
+                    F.lit("://"),
+                    F.substring_index(c("_authority"), "@", -1),
+                )
+            ),
+            "_tail": F.expr("substr(_rest, length(_authority) + 1)"),
+        }
+    )
+    df = df.withColumns(
+        {
+            "_site": _canonical_site(c("_site")),
+            "_path": F.substring_index(c("_tail"), "?", 1),
+            "_query": F.expr(
+                "case when contains(_tail, '?') then substr(_tail, instr(_tail, '?') + 1) end"
+            ),
+        }
+    )
+    df = df.withColumns(
+        {"_path": _canonical_path(c("_path")), "_kept": strip_tracking(c("_query"))}
+    )
+    query = (
+        F.when(c("_query") == "", F.lit("?"))
+        .when(c("_kept") != "", F.concat(F.lit("?"), c("_kept")))
+        .otherwise(F.lit(""))
+    )
+    added = {out: F.coalesce(F.concat("_site", "_path", query), c(url))}
+    if host_out:
+        host = F.expr("substr(_site, instr(_site, '://') + 3)")
+        added[host_out] = F.when(
+            c("_site").rlike(":[0-9]*$"), F.regexp_replace(host, ":[0-9]*$", "")
+        ).otherwise(host)
+    return df.withColumns(added).drop(
+        "_bare", "_rest", "_authority", "_site", "_tail", "_path", "_query", "_kept"
     )
-    return F.when(
-        url.rlike("^(?i:https?)://"),
-        F.concat(url_scheme(url), F.lit("://"), url_host(url), port, path, query),
-    ).otherwise(url)
 
 
-def _drop_last(text: Column) -> Column:
-    return F.substring(text, F.lit(1), F.length(text) - 1)
+def _canonical_site(site: Column) -> Column:
+    """Scheme and host without the default port or an empty one, and without one trailing dot."""
 
+    def cut(n: int) -> Column:
+        return F.substring(site, F.lit(1), F.length(site) - n)
 
-def with_canonical_url(
-    df: DataFrame, url: str, out: str = "canonical_url", host_out: str | None = None
-) -> DataFrame:
-    """Adds the canonical spelling of ``url`` and, if asked for, its host."""
-    source = F.col(url)
-    added = {out: canonical_url(source)}
-    if host_out:
-        added[host_out] = F.when(source.rlike("^(?i:https?)://"), url_host(source))
-    return df.withColumns(added)
+    secure = site.startswith("https:")
+    return (
+        F.when(
+            site.endswith(".") | site.contains(".:") | site.contains(":0"),
+            F.regexp_replace(
+                F.regexp_replace(
+                    site, "^(https://.*):0*443$|^(http://.*):0*80$|^(.*):$", "$1$2$3"
+                ),
+                r"(?<=[^/])\.(:[0-9]+)?$",
+                "$1",
+            ),
+        )
+        .when(secure & site.endswith(":443"), cut(4))
+        .when(~secure & site.endswith(":80"), cut(3))
+        .when(site.endswith(":"), cut(1))
+        .otherwise(site)
+    )
+
+
+def _canonical_path(path: Column) -> Column:
+    return (
+        F.when(path == "", F.lit("/"))
+        .when(path.contains("%"), F.regexp_replace(normalize_escapes(path), "(?<=.)/$", ""))
+        .when((path != "/") & path.endswith("/"), F.substring(path, F.lit(1), F.length(path) - 1))
+        .otherwise(path)
+    )
 
 
 @F.pandas_udf(T.StringType())
@@ -189,23 +248,29 @@ def with_ascii_host(df: DataFrame, host: str, out: str) -> DataFrame:
 
 def normalize_domain(raw: Column) -> Column:
     """Bare registered form of a domain as a person would type it."""
-    text = F.lower(trim_ws(raw))
-    text = F.regexp_replace(text, r"^\*\.", "")
-    text = F.regexp_replace(text, r"^\.", "")
-    text = F.regexp_replace(text, r"\.$", "")
-    pasted = F.regexp_extract(text, r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
-    text = F.when(text.contains("://") & (pasted != ""), pasted).otherwise(text)
-    return F.regexp_replace(text, r"^www\.", "")
+    bare = F.regexp_replace(
+        F.lower(trim_ws(raw)),
+        r"^(?:(?:\*\.)?\.?)(?:[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+).*|(.*?)\.?)$",
+        "$1$2",
+    )
+    return F.regexp_replace(bare, r"^www\.", "")
 
 
 def host_matches(host: Column, domain: Column) -> Column:
     """True when ``host`` is the domain or below it; an empty domain matches nothing."""
-    h, d = F.lower(host), normalize_domain(domain)
-    return (d != "") & ((h == d) | h.endswith(F.concat(F.lit("."), d)))
+    h = F.lower(host)
+    return bind(
+        normalize_domain(domain),
+        lambda d: (d != "") & ((h == d) | h.endswith(F.concat(F.lit("."), d))),
+    )
 
 
 def domain_filter(host: Column, include: Column, exclude: Column) -> Column:
     """Exclusions first; then, when there are inclusions, one of them has to match."""
+    return bind(host, lambda h: _domain_rules(h, include, exclude))
+
+
+def _domain_rules(host: Column, include: Column, exclude: Column) -> Column:
     excluded = F.exists(exclude, lambda d: host_matches(host, d))
     included = F.exists(include, lambda d: host_matches(host, d))
     return ~F.coalesce(excluded, F.lit(False)) & (

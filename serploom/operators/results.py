@@ -17,16 +17,16 @@ def drop_invalid(
     and a filter.
     """
     df = raw.withColumn("url", urls.repair_url(F.col("url"))).filter(F.col("url").isNotNull())
-    df = urls.with_canonical_url(df, "url", host_out="host")
     if include or exclude:
         none = F.array().cast("array<string>")
         df = df.filter(
             urls.domain_filter(
-                F.col("host"),
+                urls.url_host(F.col("url")),
                 F.col(include) if include else none,
                 F.col(exclude) if exclude else none,
             )
         )
+    df = urls.with_canonical_url(df, "url", host_out="host")
     added = {
         "title": F.coalesce(text.clean_text(F.col("title")), F.col("host")),
         "snippet": text.clean_text(F.col("snippet")),
