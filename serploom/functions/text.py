@@ -106,7 +106,7 @@ def escape_control(text: Column) -> Column:
     )
 
     def escape(token: Column) -> Column:
-        code = F.hex(F.encode(token, "UTF-32BE"))
+        code = F.hex(F.encode(token, "UTF-32"))
         short = F.regexp_replace(code, "^0+(?=..)", "")
         return (
             F.when(token == "\\", F.lit("\\\\"))

@@ -1,0 +1,138 @@
+"""Order-dependent work over logs in which one key may own most of the rows.
+
+A window over such a key would run in one task. Here the log is range-partitioned by (key, time, id)
+into chunks of even size, whatever the keys are, and written to the checkpoint folder, so that both
+passes over it see the same chunks even when executors are lost. State crosses a chunk border only
+for the keys at its edges, so what travels between chunks is at most two small rows per chunk.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from serploom.session import ensure_checkpoint_dir
+
+
+def ordered_chunks(
+    df: DataFrame, key: str, order: list[str], chunks: int | None = None
+) -> DataFrame:
+    """Even, sorted chunks of ``df`` with their number in ``_chunk``."""
+    spark = df.sparkSession
+    chunks = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(spark)
+    return (
+        df.repartitionByRange(chunks, key, *order)
+        .sortWithinPartitions(key, *order)
+        .withColumn("_chunk", F.spark_partition_id())
+        .checkpoint()
+    )
+
+
+def running_total(chunked: DataFrame, key: str, order: list[str], value: Column, out: str) -> DataFrame:
+    """Running sum of ``value`` per key, inclusive: local sums plus the total of earlier chunks."""
+    local = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    df = chunked.withColumn("_v", value.cast("bigint"))
+    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        df.groupBy(key, "_chunk")
+        .agg(F.sum("_v").alias("_s"))
+        .select(key, "_chunk", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
+    )
+    summed = df.withColumn("_local", F.sum("_v").over(local))
+    return (
+        summed.join(offsets, [key, "_chunk"])
+        .withColumn(out, F.col("_local") + F.col("_before"))
+        .drop("_v", "_local", "_before")
+    )
+
+
+def with_previous(chunked: DataFrame, key: str, order: list[str], column: str, out: str) -> DataFrame:
+    """Value of ``column`` on the row before, per key and across chunk borders."""
+    local = Window.partitionBy(key, "_chunk").orderBy(*order)
+    last = chunked.groupBy(key, "_chunk").agg(
+        F.max_by(column, F.struct(*order)).alias("_last")
+    )
+    borders = last.select(
+        key, "_chunk", F.lag("_last").over(Window.partitionBy(key).orderBy("_chunk")).alias("_border")
+    )
+    return (
+        chunked.withColumn("_lag", F.lag(column).over(local))
+        .join(borders, [key, "_chunk"])
+        .withColumn(out, F.coalesce("_lag", "_border"))
+        .drop("_lag", "_border")
+    )
+
+
+def key_runs(keys: np.ndarray):
+    """(start, end) of every run of equal keys."""
+    edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    return zip(np.r_[0, edges], np.r_[edges, len(keys)])
+
+
+def chunked_scan(
+    chunked: DataFrame,
+    key: str,
+    order: list[str],
+    summarize: Callable[[pd.DataFrame], dict],
+    advance: Callable[[dict | None, dict], dict],
+    label: Callable[[dict | None, pd.DataFrame], pd.DataFrame],
+    columns: str,
+) -> DataFrame:
+    """Exact state machine over every key, run chunk by chunk in parallel.
+
+    ``summarize`` turns the rows of one key in one chunk into a small description of what they do to
+    any incoming state, ``advance`` applies it, ``label`` replays the rows from the state that turned
+    out to be the incoming one. ``columns`` is the DDL of what ``label`` adds.
+    """
+    key_type = dict(chunked.dtypes)[key]
+
+    def edges(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([key, *order], kind="stable")
+        runs = list(key_runs(pdf[key].to_numpy()))
+        picked = runs if len(runs) < 3 else [runs[0], runs[-1]]
+        rows = [
+            (pdf[key].iloc[a], int(pdf["_chunk"].iloc[0]), json.dumps(summarize(pdf.iloc[a:b])))
+            for a, b in picked
+        ]
+        return pd.DataFrame(rows, columns=[key, "_chunk", "summary"])
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_chunk")
+        state, entries = None, []
+        for summary in pdf["summary"]:
+            entries.append(None if state is None else json.dumps(state))
+            state = advance(state, json.loads(summary))
+        return pdf[[key, "_chunk"]].assign(_entry=entries)
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([key, *order], kind="stable")
+        parts = []
+        for a, b in key_runs(pdf[key].to_numpy()):
+            part = pdf.iloc[a:b]
+            entry = part["_entry"].iloc[0]
+            parts.append(label(json.loads(entry) if isinstance(entry, str) else None, part))
+        return pd.concat(parts).drop(columns=["_entry"])
+
+    summaries = chunked.groupBy("_chunk").applyInPandas(
+        edges, f"{key} {key_type}, _chunk int, summary string"
+    )
+    # at most two rows per chunk, so both the per-key fold and the broadcast are bounded by design
+    entries = summaries.groupBy(key).applyInPandas(
+        compose, f"{key} {key_type}, _chunk int, _entry string"
+    )
+    schema = ", ".join(f"{n} {t}" for n, t in chunked.dtypes) + ", " + columns
+    return (
+        chunked.join(F.broadcast(entries), [key, "_chunk"], "left")
+        .select(*chunked.columns, "_entry")
+        .groupBy("_chunk")
+        .applyInPandas(replay, schema)
+        .drop("_chunk")
+    )
