@@ -71,6 +71,23 @@ def with_previous(chunked: DataFrame, key: str, order: list[str], column: str, o
     )
 
 
+def carry_forward(chunked: DataFrame, key: str, order: list[str], column: str, out: str) -> DataFrame:
+    """Newest non-null ``column`` up to and including each row, per key and across chunk borders."""
+    local = Window.partitionBy(key, "_chunk").orderBy(*order)
+    present = F.when(F.col(column).isNotNull(), F.struct(*order))
+    last = chunked.groupBy(key, "_chunk").agg(F.max_by(column, present).alias("_last"))
+    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    borders = last.select(
+        key, "_chunk", F.last("_last", ignorenulls=True).over(earlier).alias("_border")
+    )
+    return (
+        chunked.withColumn("_here", F.last(column, ignorenulls=True).over(local))
+        .join(borders, [key, "_chunk"])
+        .withColumn(out, F.coalesce("_here", "_border"))
+        .drop("_here", "_border")
+    )
+
+
 def key_runs(keys: np.ndarray):
     """(start, end) of every run of equal keys."""
     edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1

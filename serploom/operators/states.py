@@ -15,7 +15,6 @@ from serploom import dims
 from serploom.functions.labels import is_transient
 from serploom.operators.ordered import (
     chunked_scan,
-    key_runs,
     ordered_chunks,
     running_total,
     with_previous,
@@ -65,7 +64,7 @@ def _breaker_summary(ts, codes, threshold, cooldown) -> dict:
     first can be that one.
     """
     n = len(ts)
-    nxt = np.searchsorted(ts, ts + cooldown)
+    nxt = np.maximum(np.searchsorted(ts, ts + cooldown), np.arange(1, n + 1))
     closed = [[CLOSED, s] for s in range(threshold)]
     probe = [None] * n + [[HALF_OPEN, 0]]
     for i in range(n - 1, -1, -1):
@@ -251,29 +250,25 @@ def throttle_labels(
     chunked = with_previous(chunked, key, order, "_us", "_prev")
     fresh = F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") >= idle)
     pieces = running_total(chunked, key, order, fresh, "_piece")
-    # pieces are spread by hash and many share a task; rows of one piece stay together
-    salt = F.pmod(F.xxhash64(key, "_piece"), F.lit(64)).cast("int")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([key, "_piece", *order], kind="stable")
-        admitted, waits = [], []
-        ids = pdf["_piece"].to_numpy()
-        names = pdf[key].to_numpy()
-        for a, b in key_runs(np.array([f"{n}\x1f{i}" for n, i in zip(names, ids)])):
-            state = (0, None, None)
-            for ts in pdf["_us"].iloc[a:b].tolist():
+
+    def fold(batches):
+        # rows arrive sorted; only the state of the piece at hand is kept between batches
+        current, state = None, (0, None, None)
+        for pdf in batches:
+            admitted, waits = [], []
+            for name, piece, ts in zip(pdf[key], pdf["_piece"], pdf["_us"].tolist()):
+                if (name, piece) != current:
+                    current, state = (name, piece), (0, None, None)
                 ok, wait, state = throttle_step(state, ts, burst, cost, gap)
                 admitted.append(ok)
                 waits.append(wait)
-        return pdf.assign(admitted=admitted, wait_ms=waits)[
-            [key, "event_id", "_us", "admitted", "wait_ms"]
-        ]
+            yield pdf[[key, "event_id", "_us"]].assign(admitted=admitted, wait_ms=waits)
 
     key_type = dict(events.dtypes)[key]
     return (
-        pieces.withColumn("_salt", salt)
-        .groupBy("_salt")
-        .applyInPandas(
+        pieces.repartition(key, "_piece")
+        .sortWithinPartitions(key, "_piece", *order)
+        .mapInPandas(
             fold, f"{key} {key_type}, event_id bigint, _us bigint, admitted boolean, wait_ms bigint"
         )
     )
