@@ -101,21 +101,18 @@ def deadline_fan_in(assigned: DataFrame, responses: DataFrame) -> DataFrame:
     started = assigned.join(F.broadcast(modes), "mode").withColumn(
         "deadline", F.timestamp_micros(F.unix_micros("started_at") + F.col("budget_ms") * 1000)
     )
-    joined = started.join(responses, keys, "left").withColumn(
-        "_in_time", F.coalesce(F.col("arrived_at") <= F.col("deadline"), F.lit(False))
-    )
-    folded = joined.groupBy(*keys, "deadline").agg(
-        F.min(F.when(F.col("_in_time"), F.struct("arrived_at", "ok"))).alias("_first"),
-        F.max(F.col("arrived_at").isNotNull()).alias("_any"),
-    )
-    return folded.select(
+    # the earliest response decides, so repeats collapse before they travel
+    earliest = responses.groupBy(*keys).agg(F.min(F.struct("arrived_at", "ok")).alias("_first"))
+    joined = started.join(earliest, keys, "left")
+    in_time = F.coalesce(F.col("_first.arrived_at") <= F.col("deadline"), F.lit(False))
+    return joined.select(
         *keys,
-        F.when(F.col("_first").isNull(), F.lit("timeout"))
+        F.when(~in_time, F.lit("timeout"))
         .when(F.col("_first.ok"), F.lit("answered"))
         .otherwise(F.lit("failed"))
         .alias("outcome"),
-        (F.col("_first").isNull() & F.col("_any")).alias("late"),
-        F.coalesce(F.col("_first.arrived_at"), F.col("deadline")).alias("settled_at"),
+        (~in_time & F.col("_first").isNotNull()).alias("late"),
+        F.when(in_time, F.col("_first.arrived_at")).otherwise(F.col("deadline")).alias("settled_at"),
     )
 
 
