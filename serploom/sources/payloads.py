@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from serploom.functions.labels import parse_date, with_status_category
 from serploom.functions.text import sse_last_json
+from serploom.functions.urls import bind
 
 ITEM = (
     "struct<rank:int,title:string,url:string,snippet:string,content:string,published:string,"
@@ -60,11 +61,17 @@ def _non_empty(text: Column) -> Column:
 
 
 def read_tavily(body: Column) -> Column:
-    p = F.from_json(
-        body,
-        "answer string, results array<struct<title:string,url:string,content:string,score:double,"
-        "published_date:string>>",
+    return bind(
+        F.from_json(
+            body,
+            "answer string, results array<struct<title:string,url:string,content:string,score:double,"
+            "published_date:string>>",
+        ),
+        lambda p: _tavily_response(p),
     )
+
+
+def _tavily_response(p: Column) -> Column:
     items = F.transform(
         p["results"],
         lambda r, i: _item(i, r["title"], r["url"], r["content"], None, r["published_date"], r["score"]),
@@ -84,11 +91,17 @@ def _brave_snippet(r: Column) -> Column:
 
 
 def read_brave(body: Column) -> Column:
-    p = F.from_json(
-        body,
-        "query struct<original:string,altered:string>, web struct<results:array<struct<title:string,"
-        "url:string,description:string,page_age:string,extra_snippets:array<string>>>>",
+    return bind(
+        F.from_json(
+            body,
+            "query struct<original:string,altered:string>, web struct<results:array<struct<title:string,"
+            "url:string,description:string,page_age:string,extra_snippets:array<string>>>>",
+        ),
+        lambda p: _brave_response(body, p),
     )
+
+
+def _brave_response(body: Column, p: Column) -> Column:
     items = F.transform(
         p["web"]["results"],
         lambda r, i: _item(i, r["title"], r["url"], _brave_snippet(r), None, r["page_age"]),
@@ -103,11 +116,17 @@ def read_brave(body: Column) -> Column:
 
 def read_mojeek(body: Column) -> Column:
     """A success status may still carry an error in the body."""
-    p = F.from_json(
-        body,
-        "response struct<status:string,head:struct<results:bigint>,results:array<struct<title:string,"
-        "url:string,desc:string,score:double,timestamp:bigint>>>",
-    )["response"]
+    return bind(
+        F.from_json(
+            body,
+            "response struct<status:string,head:struct<results:bigint>,results:array<struct<title:string,"
+            "url:string,desc:string,score:double,timestamp:bigint>>>",
+        )["response"],
+        lambda p: _mojeek_response(body, p),
+    )
+
+
+def _mojeek_response(body: Column, p: Column) -> Column:
     status = F.lower(F.coalesce(p["status"], F.lit("")))
     outcome = (
         F.when(~body.rlike(r"^\s*\{"), F.lit("malformed_response"))
@@ -126,10 +145,16 @@ def read_mojeek(body: Column) -> Column:
 
 
 def read_exa(body: Column) -> Column:
-    p = F.from_json(
-        body,
-        "results array<struct<title:string,url:string,publishedDate:string,highlights:array<string>>>",
+    return bind(
+        F.from_json(
+            body,
+            "results array<struct<title:string,url:string,publishedDate:string,highlights:array<string>>>",
+        ),
+        lambda p: _exa_response(p),
     )
+
+
+def _exa_response(p: Column) -> Column:
     items = F.transform(
         p["results"],
         lambda r, i: _item(
@@ -156,12 +181,18 @@ def _engines_or_null(r: Column) -> Column:
 
 
 def read_searxng(body: Column) -> Column:
-    p = F.from_json(
-        body,
-        "results array<struct<url:string,title:string,content:string,publishedDate:string,engine:string,"
-        "engines:array<string>,score:double>>, answers array<string>, "
-        "unresponsive_engines array<array<string>>",
+    return bind(
+        F.from_json(
+            body,
+            "results array<struct<url:string,title:string,content:string,publishedDate:string,engine:string,"
+            "engines:array<string>,score:double>>, answers array<string>, "
+            "unresponsive_engines array<array<string>>",
+        ),
+        lambda p: _searxng_response(p),
     )
+
+
+def _searxng_response(p: Column) -> Column:
     items = F.transform(
         p["results"],
         lambda r, i: _item(
@@ -194,10 +225,16 @@ def read_open_web_search(body: Column) -> Column:
     wrapped = F.when(
         F.ltrim(body).startswith("["), F.concat(F.lit('{"bare":'), body, F.lit("}"))
     ).otherwise(body)
-    p = F.from_json(
-        wrapped,
-        f"results {row}, data {row}, items {row}, bare {row}, success boolean, status string",
+    return bind(
+        F.from_json(
+            wrapped,
+            f"results {row}, data {row}, items {row}, bare {row}, success boolean, status string",
+        ),
+        lambda p: _open_web_search_response(p),
     )
+
+
+def _open_web_search_response(p: Column) -> Column:
     found = F.coalesce(p["results"], p["data"], p["items"], p["bare"])
     items = F.transform(
         found,
@@ -233,10 +270,16 @@ def read_parallel(body: Column) -> Column:
     )
     lists = f"results {row}, data {row}, items {row}, searchResults {row}"
     compact = lists.replace(" array<", ":array<").replace(", ", ",")
-    p = F.from_json(
-        sse_last_json(body),
-        f"result struct<structuredContent:struct<{compact}>,content:array<struct<text:string>>>",
-    )["result"]
+    return bind(
+        F.from_json(
+            sse_last_json(body),
+            f"result struct<structuredContent:struct<{compact}>,content:array<struct<text:string>>>",
+        )["result"],
+        lambda p: _parallel_response(p, lists),
+    )
+
+
+def _parallel_response(p: Column, lists: str) -> Column:
 
     def listed(o: Column) -> Column:
         return F.coalesce(o["results"], o["data"], o["items"], o["searchResults"])
