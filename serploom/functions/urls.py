@@ -279,27 +279,33 @@ def _domain_rules(host: Column, include: Column, exclude: Column) -> Column:
 
 
 def absolute_url(href: Column, base: str = "https://duckduckgo.com") -> Column:
-    return (
-        F.when(href.startswith("//"), F.concat(F.lit("https:"), href))
-        .when(href.startswith("http"), href)
-        .when(href.startswith("/"), F.concat(F.lit(base), href))
-        .otherwise(href)
+    return bind(
+        href,
+        lambda h: F.when(h.startswith("//"), F.concat(F.lit("https:"), h))
+        .when(h.startswith("/"), F.concat(F.lit(base), h))
+        .otherwise(h),
     )
 
 
 def unwrap_redirect(href: Column) -> Column:
     """The target carried by a redirect link: first of uddg, url, u, q that starts with http."""
-    marked = href.contains("uddg=") | href.contains("/l/?") | href.contains("redirect")
 
-    def parameter(name: str) -> Column:
-        raw = F.regexp_extract(href, rf"[?&]{name}=([^&#]*)", 1)
+    def parameter(link: Column, name: str) -> Column:
+        raw = F.regexp_extract(link, rf"[?&]{name}=([^&#]*)", 1)
         # a plus sign is not a space in a decoded query item
-        value = F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
-        return F.when(F.lower(value).startswith("http"), value)
+        return bind(
+            F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))),
+            lambda value: F.when(F.lower(value).startswith("http"), value),
+        )
+
+    def target(link: Column) -> Column:
+        marked = link.contains("uddg=") | link.contains("/l/?") | link.contains("redirect")
+        names = ("uddg", "url", "u", "q")
+        return F.when(
+            marked, F.coalesce(*[parameter(link, n) for n in names], link)
+        ).otherwise(link)
 
-    return F.when(
-        marked, F.coalesce(*[parameter(n) for n in ("uddg", "url", "u", "q")], href)
-    ).otherwise(href)
+    return bind(href, target)
 
 
 def credential_in_url(url: Column) -> Column:

@@ -1,0 +1,122 @@
+"""Structured Streaming twins of the state machines.
+
+Each keyed operator replays the same per-event step as its batch form; the state of a key lives in the
+RocksDB state store. Rows of one key are put in event order inside a micro-batch.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from serploom import dims
+from serploom.operators import states
+
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Fold(StatefulProcessor):
+    """Runs ``step(state, row) -> (outputs, state, expiry in us or None)`` over the rows of a key."""
+
+    def __init__(self, key, order, step, outputs):
+        self.key, self.order, self.step, self.outputs = key, order, step, outputs
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "value string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        state = json.loads(self.state.get()[0]) if self.state.exists() else None
+        results, expiry = [], None
+        for row in pdf.itertuples(index=False):
+            produced, state, expiry = self.step(state, row)
+            results.append(produced)
+        self.state.update((json.dumps(state),))
+        if expiry:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(expiry // 1000 + 1)
+        columns = list(zip(*results))
+        out = pdf[[self.key, self.order[-1]]].reset_index(drop=True)
+        for name, values in zip(self.outputs, columns):
+            out[name] = list(values)
+        yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def _keyed(df: DataFrame, key: str, order: list[str], step, outputs: str, timers: bool = False) -> DataFrame:
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    kinds = dict(df.dtypes)
+    names = [part.split()[0] for part in outputs.split(", ")]
+    schema = f"{key} {kinds[key]}, {order[-1]} {kinds[order[-1]]}, {outputs}"
+    return df.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=_Fold(key, order, step, names),
+        outputStructType=schema,
+        outputMode="Append",
+        timeMode="EventTime" if timers else "None",
+    )
+
+
+def _micros(column: str):
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
+def stream_incidents(
+    attempts: DataFrame, threshold: int = dims.BREAKER_POLICY[0], cooldown_ms: int = dims.BREAKER_POLICY[1]
+) -> DataFrame:
+    """Live breaker label of every attempt; see ``provider_incidents``."""
+
+    def step(state, row):
+        label, state = states.breaker_step(
+            tuple(state or (states.CLOSED, 0)), int(row.us), row.code, threshold, cooldown_ms * 1000
+        )
+        return (label, state[0]), state, None
+
+    df = attempts.select("provider", "event_id", _micros("ts").alias("us"), states.outcome_code().alias("code"))
+    return _keyed(df, "provider", ["us", "event_id"], step, "label string, state_after string")
+
+
+def stream_throttle(
+    events: DataFrame, burst: int, per_minute: float, min_gap_ms: int = 0
+) -> DataFrame:
+    """Live token bucket verdicts; see ``throttle_labels``."""
+    cost = round(60e6 / per_minute)
+
+    def step(state, row):
+        ok, wait, state = states.throttle_step(
+            tuple(state or (0, None, None)), int(row.us), burst, cost, min_gap_ms * 1000
+        )
+        return (ok, wait), state, None
+
+    df = events.select("provider", "event_id", _micros("ts").alias("us"))
+    return _keyed(df, "provider", ["us", "event_id"], step, "admitted boolean, wait_ms bigint")
+
+
+def stream_reuse(
+    requests: DataFrame, ttl_ms: int = dims.REUSE_TTL_MS, delay: str = "1 hour"
+) -> DataFrame:
+    """Live hit or miss per request; the state of a digest is dropped once its window is over."""
+
+    def step(state, row):
+        hit, expires = states.reuse_step(state or 0, int(row.us), row.useful, ttl_ms * 1000)
+        return (hit, expires), expires, expires or None
+
+    df = requests.select(
+        "digest", "request_id", "useful", F.col("ts").cast("timestamp").alias("event_time"),
+        _micros("ts").alias("us"),
+    ).withWatermark("event_time", delay)
+    return _keyed(
+        df, "digest", ["us", "request_id"], step, "hit boolean, expires_us bigint", timers=True
+    )
