@@ -148,7 +148,7 @@ ORACLE["challenge_pages"] = "select page_id from pages where page_id % 5 = 0"
 def page_outlinks(spark, sf_dir):
     """Ordinary pages with two longer links appended, read with a layout that finds no results."""
     more = F.concat(
-        F.lit('<a href="/p/'), F.col("page_id").cast("string"), F.lit('">see the other page</a><a href="'), F.col("url"),
+        F.lit('<a href="//other.example.com/p/'), F.col("page_id").cast("string"), F.lit('">see the other page</a><a href="'), F.col("url"),
         F.lit('">this very page</a><a href="'), F.col("url"), F.lit('">this page again</a>'),
     )
     df = load(spark, sf_dir, "pages").withColumn("html", F.concat("html", more))
@@ -158,7 +158,7 @@ def page_outlinks(spark, sf_dir):
 
 QUERIES["page_outlinks"] = page_outlinks
 ORACLE["page_outlinks"] = """
-    select page_id, cast(1 as int) as rank, 'see the other page' as title, 'https://www.startpage.com/p/' || page_id as url from pages
+    select page_id, cast(1 as int) as rank, 'see the other page' as title, 'https://other.example.com/p/' || page_id as url from pages
     union all select page_id, 2, 'this very page', url from pages"""
 
 
