@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from serploom import dims
-from serploom.functions.urls import bind, trim_ws
+from serploom.functions.urls import WHITE_SPACE, bind, trim_ws
 
 FENCE_OPEN = "<untrusted-search-results>"
 FENCE_CLOSE = "</untrusted-search-results>"
@@ -16,7 +16,13 @@ FENCE_CLOSE = "</untrusted-search-results>"
 
 def collapse_ws(text: Column) -> Column:
     """Runs of Unicode white space become one space; the ends are trimmed."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    spaced = F.translate(text, WHITE_SPACE, " " * len(WHITE_SPACE))
+    return F.trim(
+        bind(
+            spaced,
+            lambda t: F.when(t.contains("  "), F.regexp_replace(t, " {2,}", " ")).otherwise(t),
+        )
+    )
 
 
 def strip_tags(text: Column) -> Column:

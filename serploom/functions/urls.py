@@ -6,7 +6,7 @@ each step is its own projection, so nothing is evaluated twice.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,8 @@ _UNRESERVED_ESCAPE = "(?i)^%(2d|2e|3[0-9]|4[1-9a-f]|5[0-9a]|5f|6[1-9a-f]|7[0-9a]
 
 def repair_url(raw: Column) -> Column:
     """A usable http(s) URL from a sloppy one, or NULL."""
+    # nearly every landed URL is already in order: one anchored match and nothing else
+    tidy = raw.rlike("^https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:[/?#][\\x21-\\x7E]*)?$")
     # a chain in which every step mentions the one before it once
     text = F.regexp_replace(trim_ws(raw), r"[\x00-\x1F\x7F]", "")
     full = F.regexp_replace(F.regexp_replace(text, "^//", "https://"), "(?s)^(?!.*://)(?=.)", "https://")
@@ -27,7 +29,8 @@ def repair_url(raw: Column) -> Column:
         r"(?s)^((?i:https?)://(?:\[[0-9A-Fa-f:.]+\]|[^/?#@:\s<>\"\\^`{|}\[\]]+)(?::[0-9]*)?"
         r"(?:[/?#].*)?)$"
     )
-    return bind(F.regexp_extract(full, usable, 1), lambda u: F.when(u != "", u))
+    fixed = bind(F.regexp_extract(full, usable, 1), lambda u: F.when(u != "", u))
+    return F.when(tidy, raw).otherwise(fixed)
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -248,12 +251,18 @@ def with_ascii_host(df: DataFrame, host: str, out: str) -> DataFrame:
 
 def normalize_domain(raw: Column) -> Column:
     """Bare registered form of a domain as a person would type it."""
+    plain = (
+        (raw == F.lower(raw))
+        & ~raw.contains("/") & ~raw.contains("*") & ~raw.contains(" ") & ~raw.contains("www.")
+        & ~raw.startswith(".") & ~raw.endswith(".")
+        & (raw == trim_ws(raw))
+    )
     bare = F.regexp_replace(
         F.lower(trim_ws(raw)),
         r"^(?:(?:\*\.)?\.?)(?:[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+).*|(.*?)\.?)$",
         "$1$2",
     )
-    return F.regexp_replace(bare, r"^www\.", "")
+    return F.when(plain, raw).otherwise(F.regexp_replace(bare, r"^www\.", ""))
 
 
 def host_matches(host: Column, domain: Column) -> Column:
@@ -265,17 +274,32 @@ def host_matches(host: Column, domain: Column) -> Column:
     )
 
 
-def domain_filter(host: Column, include: Column, exclude: Column) -> Column:
-    """Exclusions first; then, when there are inclusions, one of them has to match."""
-    return bind(host, lambda h: _domain_rules(h, include, exclude))
+def domain_filter(
+    host: Column, include: Column | Sequence[str], exclude: Column | Sequence[str]
+) -> Column:
+    """Exclusions first; then, when there are inclusions, one of them has to match.
 
+    The rules are array columns or plain lists; a list is folded into generated code.
+    """
 
-def _domain_rules(host: Column, include: Column, exclude: Column) -> Column:
-    excluded = F.exists(exclude, lambda d: host_matches(host, d))
-    included = F.exists(include, lambda d: host_matches(host, d))
-    return ~F.coalesce(excluded, F.lit(False)) & (
-        F.coalesce(F.size(include), F.lit(0)).isin(0, -1) | F.coalesce(included, F.lit(False))
-    )
+    def matched(rules, h: Column) -> Column:
+        if isinstance(rules, Column):
+            return F.coalesce(F.exists(rules, lambda d: host_matches(h, d)), F.lit(False))
+        hit = F.lit(False)
+        for rule in rules:
+            d = normalize_domain(F.lit(rule))
+            hit = hit | ((d != "") & ((h == d) | h.endswith(F.concat(F.lit("."), d))))
+        return hit
+
+    def rules(h: Column) -> Column:
+        if isinstance(include, Column):
+            unlimited = F.coalesce(F.size(include), F.lit(0)) <= 0
+        else:
+            unlimited = F.lit(not include)
+        return ~matched(exclude, h) & (unlimited | matched(include, h))
+
+    listed = not isinstance(include, Column) and not isinstance(exclude, Column)
+    return rules(host) if listed else bind(host, rules)
 
 
 def absolute_url(href: Column, base: str = "https://duckduckgo.com") -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,23 +11,20 @@ from serploom.functions import text, urls
 
 
 def drop_invalid(
-    raw: DataFrame, include: str | None = None, exclude: str | None = None
+    raw: DataFrame,
+    include: str | Sequence[str] | None = None,
+    exclude: str | Sequence[str] | None = None,
 ) -> DataFrame:
     """Repaired, canonical result rows; unusable URLs and filtered domains are dropped.
 
-    ``raw`` has ``url``, ``title``, ``snippet`` and optionally ``content``. No shuffle: a projection
-    and a filter.
+    ``raw`` has ``url``, ``title``, ``snippet`` and optionally ``content``; domain rules are the name of
+    an array column or a plain list. No shuffle: a projection and a filter.
     """
     df = raw.withColumn("url", urls.repair_url(F.col("url"))).filter(F.col("url").isNotNull())
     if include or exclude:
-        none = F.array().cast("array<string>")
-        df = df.filter(
-            urls.domain_filter(
-                urls.url_host(F.col("url")),
-                F.col(include) if include else none,
-                F.col(exclude) if exclude else none,
-            )
-        )
+        named = lambda rules: F.col(rules) if isinstance(rules, str) else list(rules or [])
+        host = urls.url_host(F.col("url"))
+        df = df.filter(urls.domain_filter(host, named(include), named(exclude)))
     df = urls.with_canonical_url(df, "url", host_out="host")
     added = {
         "title": F.coalesce(text.clean_text(F.col("title")), F.col("host")),

@@ -215,10 +215,8 @@ def silver_results(spark, sf_dir):
         ).alias("url"),
         F.expr("case when provider_rank % 4 = 0 then '<i></i>' else '<b>' || title || '</b> &amp;&nbsp;more' end").alias("title"),
         F.expr("coalesce(snippet, '  ') || '<br'").alias("snippet"),
-        F.array(F.lit("example.com")).alias("include_domains"),
-        F.array(F.lit("large-7.example.com"), F.lit("standard-9.example.com")).alias("exclude_domains"),
     )
-    silver = dedupe_in_response(drop_invalid(raw, "include_domains", "exclude_domains"))
+    silver = dedupe_in_response(drop_invalid(raw, ["example.com"], ["large-7.example.com", "WWW.standard-9.example.com"]))
     return silver.select("query_id", "provider", "provider_rank", "canonical_url", "host", "title", "snippet")
 
 

@@ -1,6 +1,7 @@
 """Input views derived from the given tables, written once for Spark SQL and DuckDB.
 
-``@name`` marks a base table. Each view covers its whole base table.
+``@name`` marks a base table, ``#each(alias column values)`` one copy of a row per listed value. Each
+view covers its whole base table.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ VIEWS = {
                     end as snippet,
                l_shipdate as published_at
         from @lineitem join @part on l_partkey = p_partkey
-        cross join (select 'tavily' as provider union all select 'brave' union all select 'searxng') v
+        #each(v provider 'tavily', 'brave', 'searxng')
     """,
     "attempts": """
         select event_id, cast(floor(event_id / 5) as bigint) as query_id, ts, provider, ok, category,
@@ -80,24 +81,21 @@ VIEWS = {
     """,
     # five numbered pages per conversation, drawn from all pages
     "answer_sources": """
-        select c.conv_id as query_id, cast(n.i as int) as source_index, p.page_id, p.url,
-               regexp_extract(p.html, '<title>([^<]*)</title>', 1) as title
-        from (select distinct conv_id from @conversations) c
-        cross join (select 1 as i union all select 2 union all select 3 union all select 4 union all select 5) n
-        cross join (select count(*) as n_pages from @pages) t
-        join @pages p on p.page_id = (c.conv_id * 7 + n.i * 3) % t.n_pages
+        select c.query_id, c.source_index, p.page_id, p.url, regexp_extract(p.html, '<title>([^<]*)</title>', 1) as title
+        from (select d.conv_id as query_id, cast(n.i as int) as source_index,
+                     (d.conv_id * 7 + n.i * 3) % (select count(*) from @pages) as page
+              from (select distinct conv_id from @conversations) d #each(n i 1, 2, 3, 4, 5)) c
+        join @pages p on p.page_id = c.page
     """,
     "answers": """
         select a.conv_id as query_id, a.turn,
                case when turn % 4 = 3 then 'INSUFFICIENT: ' else '' end || text
                  || ' [' || cast(turn % 5 + 1 as varchar(4)) || '][2] and [99] ['
                  || cast(turn % 5 + 1 as varchar(4)) || '] see https://nowhere.example.org/x'
-                 || case when turn % 2 = 1 then ' or ' || upper(s.url) || '/ ' else '' end as text
-        from @conversations a
-        join (select c.conv_id, p.url from (select distinct conv_id from @conversations) c
-              cross join (select count(*) as n_pages from @pages) t
-              join @pages p on p.page_id = (c.conv_id * 7 + 3) % t.n_pages) s on s.conv_id = a.conv_id
-        where role = 'assistant'
+                 || case when turn % 2 = 1 then ' or ' || upper(p.url) || '/ ' else '' end as text
+        from (select *, (conv_id * 7 + 3) % (select count(*) from @pages) as page from @conversations
+              where role = 'assistant') a
+        join @pages p on p.page_id = a.page
     """,
     "host_addresses": """
         select host, cast(p.i as int) as position,
@@ -105,7 +103,7 @@ VIEWS = {
                  when 2 then '169.254.169.254' when 3 then '100.64.1.1' when 4 then '192.0.2.1'
                  when 5 then '198.41.0.4' when 6 then '127.0.0.1' else '8.8.8.8' end as ip
         from (select distinct split_part(url, '/', 3) as host from @pages) h
-        cross join (select 0 as i union all select 1) p
+        #each(p i 0, 1)
         where length(host) % 5 <> 4
     """,
     "url_variants": """
@@ -124,21 +122,25 @@ VIEWS = {
                      case when url like 'https%' then '443' else '80' end as port,
                      substr(url, length(split_part(url, '/', 1)) + length(split_part(url, '/', 3)) + 3) as rest
               from @pages) p
-        cross join (select 0 as variant union all select 1 union all select 2 union all select 3
-                    union all select 4 union all select 5 union all select 6 union all select 7) v
+        #each(v variant 0, 1, 2, 3, 4, 5, 6, 7)
     """.replace("strpos_(url)", "position('?' in url)"),
 }
 
 
+_EACH = r"#each\((\w+) (\w+) ([^)]*)\)"
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Spark side of a view."""
     text = VIEWS[name]
     for table in sorted(set(re.findall(r"@([a-z]+)", text))):
         load(spark, sf_dir, table).createOrReplaceTempView(f"serploom_{table}")
+    text = re.sub(_EACH, r"lateral view explode(array(\3)) \1 as \2", text)
     return spark.sql(re.sub(r"@([a-z]+)", r"serploom_\1", text))
 
 
 def _plain(text: str) -> str:
+    text = re.sub(_EACH, r"cross join unnest([\3]) as \1(\2)", text)
     return re.sub(r"@([a-z]+)", r"\1", text)
 
 
