@@ -159,17 +159,17 @@ def thin_queries(requests: DataFrame, fused: DataFrame) -> DataFrame:
     )
 
 
-def replace_failures(first: DataFrame, retried: DataFrame) -> DataFrame:
-    """Retried outcomes replace the earlier failures of the same (query, provider)."""
-    keys = ["query_id", "provider"]
-    retried_keys = retried.select(*keys).distinct()
-    replaced = first.filter(~F.col("ok")).join(retried_keys, keys, "left_anti")
-    return first.filter("ok").unionByName(replaced).unionByName(retried)
-
-
 def union_responses(*passes: DataFrame) -> DataFrame:
     """Primary, refill, coverage and retry passes as one table."""
     result = passes[0]
     for other in passes[1:]:
         result = result.unionByName(other, allowMissingColumns=True)
     return result
+
+
+def replace_failures(first: DataFrame, retried: DataFrame) -> DataFrame:
+    """Retried outcomes replace the earlier failures of the same (query, provider)."""
+    keys = ["query_id", "provider"]
+    retried_keys = retried.select(*keys).distinct()
+    replaced = first.filter(~F.col("ok")).join(retried_keys, keys, "left_anti")
+    return union_responses(first.filter("ok"), replaced, retried)

@@ -26,7 +26,21 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of the data set; results are defined on UTC timestamps."""
     if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_small(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread_small(table: DataFrame, share: int = 512 * 1024) -> DataFrame:
+    """Gives a table with fewer scan splits than cores one task per ``share`` bytes.
+
+    A single row group cannot be split by the scan. A table with enough splits is returned untouched,
+    so large inputs are never shuffled for this.
+    """
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    wanted = min(cores, size // share)
+    if wanted < 2 or size > cores * 128 * 1024 * 1024 or table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(wanted)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
