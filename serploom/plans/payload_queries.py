@@ -121,7 +121,7 @@ _ROWS = ["query_id", "provider_rank", "title", "url", "snippet"]
 
 def _rows(df, *extra):
     return result_rows(read_payloads(df)).select(
-        *_ROWS, *extra, F.date_format("published_at", "yyyy-MM-dd").alias("published")
+        *_ROWS, *[F.expr(x) for x in extra], F.date_format("published_at", "yyyy-MM-dd").alias("published")
     )
 
 
@@ -170,7 +170,7 @@ _register(
     """select q.query_id, 'ok' as outcome, case q.query_id % 3 when 0 then 'obj' when 1 then 'txt' end as answer, cast(null as bigint) as total_estimated,
     concat_ws(',', case when bool_or(k = 2) then 'bing' end, case when bool_or(k = 1) then 'brave,google' end) as engines, 'SearXNG engine wiki was unresponsive: timeout.' as warnings
     from q join i using (query_id) group by q.query_id""",
-    ("provider_score", F.array_join("upstream_engines", ",").alias("engines")),
+    ("provider_score", "array_join(upstream_engines, ',') as engines"),
 )
 _register(
     "open_web_search", "open_web_search", _open_web_search,
@@ -180,7 +180,7 @@ _register(
     case when engines = '' then 'Open Web Search did not report its upstream engines, so its results cannot be attributed to independent sources.' else '' end as warnings
     from (select query_id, case when query_id % 2 = 0 then concat_ws(',', case when bool_or(k = 2) then 'bing' end, case when bool_or(k = 1) then 'brave,google' end) else '' end as engines
           from i group by query_id)""",
-    (F.array_join("upstream_engines", ",").alias("engines"),),
+    ("array_join(upstream_engines, ',') as engines",),
 )
 _register(
     "parallel", "parallel", _parallel,

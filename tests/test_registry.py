@@ -41,3 +41,11 @@ def test_query_equals_its_twin(spark, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_flagship(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_registry_needs_no_session():
+    import subprocess
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
