@@ -41,7 +41,7 @@ NAME_PARTS = {
     "api": 0.2, "client": 0.1, "session": 0.2, "salt": 0.5, "cookie": 0.4, "dsn": 0.6, "connectionstring": 0.8,
 }
 #: words that mark a placeholder (fixed values)
-PLACEHOLDERS = ("example", "changeme", "change_me", "placeholder", "dummy", "sample", "your", "xxxx", "todo", "none", "null", "redacted")
+PLACEHOLDERS = ("example", "changeme", "change_me", "placeholder", "dummy", "sample", "your", "xxxx", "todo", "none", "null", "redacted", "[secret]")
 MIN_SCORE = 0.75
 MIN_LITERAL = 8
 
