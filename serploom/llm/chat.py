@@ -83,9 +83,10 @@ def tokenizer_of(definition: str) -> Tokenizer:
 
 def encode(turns: list[list[tuple[str, str]]], tok: Tokenizer) -> list[tuple]:
     """Rows of RESULT."""
-    texts = [rendered(t) for t in turns]
     out = []
-    for (text, spans), e in zip(texts, tok.encode_batch([t for t, _ in texts], add_special_tokens=False), strict=True):
+    for t in turns:  # one at a time: an encoding takes some hundred times the room of its text
+        text, spans = rendered(t)
+        e = tok.encode(text, add_special_tokens=False)
         offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
         mask = np.zeros(len(offsets), np.int8)
         for start, end, role in spans:
@@ -94,7 +95,7 @@ def encode(turns: list[list[tuple[str, str]]], tok: Tokenizer) -> list[tuple]:
                 a = np.searchsorted(offsets[:, 1], start, side="right")
                 b = np.searchsorted(offsets[:, 0], end, side="left")
                 mask[a:b] = 1
-        out.append((text, e.ids, offsets[:, 0], offsets[:, 1], mask))
+        out.append((text, np.array(e.ids, np.int32), offsets[:, 0], offsets[:, 1], mask))
     return out
 
 
