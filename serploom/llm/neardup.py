@@ -35,7 +35,7 @@ SHINGLE = 5
 PICKED = 2
 SKETCHES = 16
 SIMILARITY = 0.8
-ROUNDS = 3
+ROUNDS = 5
 
 _SEEDS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -220,12 +220,16 @@ def links_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
     else:
         # the rest meet those that share a second sketch with them
         second = active.join(members.select(F.col("bucket").alias("other"), F.col("id")), "id").filter("other <> bucket")
-        mine = second.select("bucket", "other", "id", "n", "d").distinct()
+        # two sketches in either order are one meeting; distances compare only with the same leader
+        mine = second.groupBy(F.least("bucket", "other").alias("low"), F.greatest("bucket", "other").alias("high"), "id", "n").agg(
+            F.min(F.struct("bucket", "d")).alias("s")
+        )
         x, y = mine.alias("x"), mine.alias("y")
         limit = (1 - SIMILARITY) * (F.col("x.n") + F.col("y.n"))
         open_pairs.append(
-            x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.other") == F.col("y.other")) & (F.col("x.id") < F.col("y.id"))
-                   & (F.abs(F.col("x.d") - F.col("y.d")) <= limit) & (F.abs(F.col("x.n") - F.col("y.n")) <= limit))
+            x.join(y, (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high")) & (F.col("x.id") < F.col("y.id"))
+                   & ((F.col("x.s.bucket") != F.col("y.s.bucket")) | (F.abs(F.col("x.s.d") - F.col("y.s.d")) <= limit))
+                   & (F.abs(F.col("x.n") - F.col("y.n")) <= limit))
             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         )
     more = open_pairs[0]
