@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -63,8 +65,8 @@ def request_digest(
 
 def query_pseudonym(query: Column, key: bytes) -> Column:
     """Keyed HMAC-SHA-256 of the query, first 64 bits, as ``q`` and hex without leading zeros."""
-    if len(key) > 64:
-        raise ValueError("use a key of at most 64 bytes")
+    if len(key) > 64:  # a key longer than a block is hashed first
+        key = hashlib.sha256(key).digest()
     block = key.ljust(64, b"\0")
     inner = F.lit(bytes(b ^ 0x36 for b in block))
     outer = F.lit(bytes(b ^ 0x5C for b in block))
@@ -95,7 +97,7 @@ def clamp_requests(
     }
     if max_characters:
         added["character_limit"] = F.least(
-            F.greatest(F.col(max_characters), F.lit(1000)), F.lit(50_000)
+            F.greatest(F.coalesce(F.col(max_characters), F.lit(12_000)), F.lit(1000)), F.lit(50_000)
         ).cast("int")
     return df.withColumns(added)
 

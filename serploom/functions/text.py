@@ -97,7 +97,7 @@ def leading_title(text: Column) -> Column:
     hit = F.try_element_at(
         F.filter(lines, lambda s: F.lower(F.trim(s)).startswith("title:")), F.lit(1)
     )
-    return F.nullif(F.trim(F.substring(F.trim(hit), 7, 1_000_000)), F.lit(""))
+    return F.nullif(F.trim(F.substr(F.trim(hit), F.lit(7))), F.lit(""))
 
 
 def neutralize_fences(text: Column) -> Column:

@@ -339,7 +339,7 @@ def credential_in_url(url: Column) -> Column:
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     parameters = F.transform(F.split(query, "&"), lambda pair: F.substring_index(pair, "=", 1))
     hit = F.try_element_at(
-        F.filter(parameters, lambda n: F.array_contains(names, F.lower(n))), F.lit(1)
+        F.filter(parameters, lambda n: F.array_contains(names, F.lower(F.coalesce(F.try_url_decode(n), n)))), F.lit(1)
     )
     return F.when(user != "", F.lit("userinfo")).when(
         hit.isNotNull(), F.concat(F.lit("the "), hit, F.lit(" parameter"))

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from serploom import dims
 from serploom.functions.labels import engine_family, is_independent
 
-MAX_RESULTS = 20
 _OPTIONAL = {
     "snippet": "string",
     "content": "string",
@@ -167,8 +166,8 @@ def rank_clusters(scored: DataFrame, limit: int = 8, per_host: int = 2) -> DataF
     """Ranked, host-diverse top of every query, numbered from 1.
 
     ``per_host`` of zero or less disables the host cap. With a ``result_limit`` column each query has
-    its own limit, at most ``MAX_RESULTS``. Both window filters compare with a literal, so the
-    optimizer applies them before the shuffle too.
+    its own limit. Filters that compare with a literal are applied by the optimizer before the
+    shuffle too.
     """
     order = [F.desc("score"), F.desc("corroborated"), F.asc("best_rank"), F.asc("canonical_url")]
     if per_host > 0:
@@ -179,13 +178,12 @@ def rank_clusters(scored: DataFrame, limit: int = 8, per_host: int = 2) -> DataF
             .drop("_in_host")
         )
     personal = "result_limit" in scored.columns
-    top = MAX_RESULTS if personal else limit
     ranked = scored.withColumn(
         "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    ).filter(F.col("rank") <= top)
+    )
     if personal:
-        ranked = ranked.filter(F.col("rank") <= F.col("result_limit")).drop("result_limit")
-    return ranked
+        return ranked.filter(F.col("rank") <= F.col("result_limit")).drop("result_limit")
+    return ranked.filter(F.col("rank") <= limit)
 
 
 def fuse(

@@ -27,7 +27,7 @@ def provider_counters(attempts: DataFrame) -> DataFrame:
     ``attempts(provider, ts, event_id, ok, category, message, latency_ms, result_count,
     reached_network)``. The average is an integer division over successes.
     """
-    failed = ~F.col("ok") & F.col("reached_network") & ~F.col("category").isin(*_UNCOUNTED)
+    failed = ~F.col("ok") & F.col("reached_network") & ~F.coalesce(F.col("category").isin(*_UNCOUNTED), F.lit(False))
     order = F.struct("ts", "event_id")
     successes = F.count_if("ok")
     total = F.coalesce(F.sum(F.when(F.col("ok"), F.col("latency_ms").cast("bigint"))), F.lit(0))

@@ -152,6 +152,8 @@ def thin_queries(requests: DataFrame, fused: DataFrame) -> DataFrame:
     """Thorough requests left with fewer than min(limit, 3) fused rows."""
     counts = fused.groupBy("query_id").agg(F.count("*").alias("fused_rows"))
     thorough = requests.filter("mode = 'thorough'")
+    if "requested_provider" in requests.columns:  # one provider was asked for, so few rows are no lack
+        thorough = thorough.filter("requested_provider is null")
     return (
         thorough.join(counts, "query_id", "left")
         .fillna(0, ["fused_rows"])

@@ -83,13 +83,12 @@ _PROBE_STATES = """select s.provider, case when healthy then 'OK' when not healt
       probes, successes, failures, average_latency_ms, last_result_count, last_error_category, coalesce(round(successes / (successes + failures), 6), 0.0) as success_rate
     from {settings} join {facts} using (provider) left join (select provider, count(*) as probes, count(*) filter (where ok) as successes, count(*) filter (where not ok) as failures,
       cast(sum(latency_ms) filter (where ok) // count(*) filter (where ok) as bigint) as average_latency_ms, arg_max(ok, ts) as healthy,
-      arg_max(result_count, ts) as last_result_count, arg_max_null(category, ts) as last_error_category from attempts where provider not in ('mojeek', 'parallel', 'open_web_search') group by provider) p using (provider)"""
+      arg_max(result_count, ts) as last_result_count, arg_max_null(category, ts) as last_error_category from attempts group by provider) p using (provider)"""
 _PROBE_SQL = _PROBE_STATES.format(settings=_SETTINGS_SQL, facts=_FACTS_SQL)
 
 
 def _probes(spark, sf_dir):
-    attempts = view(spark, sf_dir, "attempts").filter("provider not in ('mojeek', 'parallel', 'open_web_search')")
-    return health.probe_status(attempts, settings(spark))
+    return health.probe_status(view(spark, sf_dir, "attempts"), settings(spark))
 
 
 def probe_status(spark, sf_dir):
@@ -279,13 +278,13 @@ ORACLE["run_latency"] = sql(
 
 
 def run_participation(spark, sf_dir):
-    return runs.run_participation(view(spark, sf_dir, "attempts").filter("provider not in ('exa', 'parallel')"))
+    return runs.run_participation(view(spark, sf_dir, "attempts"))
 
 
 QUERIES["run_participation"] = run_participation
 ORACLE["run_participation"] = sql(
     f"""select f.provider, count(distinct query_id) as queries from {_FACTS_SQL} left join
-    (select * from attempts where ok and provider not in ('exa', 'parallel')) a on a.provider = f.provider group by f.provider""",
+    (select * from attempts where ok) a on a.provider = f.provider group by f.provider""",
     "attempts",
 )
 
@@ -302,27 +301,28 @@ ORACLE["run_failures"] = sql(
 
 
 def run_verdict(spark, sf_dir):
-    attempts = view(spark, sf_dir, "attempts").filter("provider not in ('exa', 'parallel')")
+    attempts = view(spark, sf_dir, "attempts")
     return runs.run_verdict(attempts, settings(spark).filter("configured"))
 
 
 QUERIES["run_verdict"] = run_verdict
 ORACLE["run_verdict"] = sql(
-    """with a as (select * from attempts where provider not in ('exa', 'parallel')), q as (select query_id, bool_or(ok) as any_ok from a group by query_id)
+    f"""with q as (select query_id, bool_or(ok) as any_ok from attempts group by query_id),
+    silent as (select provider from {_SETTINGS_SQL} where configured except select provider from attempts where ok)
     select count(*) as queries, count(*) filter (where not any_ok) as errors, case when bool_and(not any_ok) then 'every query errored'
-      else 'requested provider(s) contributed to no query: exa, parallel' end as failure from q""",
+      when (select count(*) from silent) > 0 then 'requested provider(s) contributed to no query: ' || (select string_agg(provider, ', ' order by provider) from silent) end as failure from q""",
     "attempts",
 )
 
 
 def silent_providers(spark, sf_dir):
-    attempts = view(spark, sf_dir, "attempts").filter("not (provider in ('exa', 'parallel') and ok)")
+    attempts = view(spark, sf_dir, "attempts")
     return runs.silent_providers(attempts, settings(spark))
 
 
 QUERIES["silent_providers"] = silent_providers
 ORACLE["silent_providers"] = sql(
-    f"""select provider from {_SETTINGS_SQL} except select provider from attempts where ok and provider not in ('exa', 'parallel')""",
+    f"""select provider from {_SETTINGS_SQL} except select provider from attempts where ok""",
     "attempts",
 )
 
@@ -348,7 +348,7 @@ ORACLE["retried_outcomes"] = sql(
 def thin_queries(spark, sf_dir):
     from serploom.session import load
 
-    fused = fusion.fuse(ranked_lists(spark, sf_dir), limit=8, per_host=2).filter("score > 0.0485")
+    fused = fusion.fuse(ranked_lists(spark, sf_dir), limit=8, per_host=2)
     requests = load(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("query_id"), F.lit("thorough").alias("mode"), (F.col("s_suppkey") % 8 + 1).cast("int").alias("result_limit")
     )
@@ -360,7 +360,7 @@ ORACLE["thin_queries"] = sql(
     fusion_sql(
         _FLAT_RESPONSES, family_sql("v.upstream_engine"), "true",
         _TOP.format(cap=2, limit=8, columns="query_id, score").replace("select query_id, score from", ", fusedrows as (select query_id, score from")
-        + """), n as (select query_id, count(*) as n from fusedrows where score > 0.0485 group by query_id)
+        + """), n as (select query_id, count(*) as n from fusedrows group by query_id)
         select s_suppkey as query_id, cast(s_suppkey % 8 + 1 as int) as result_limit, coalesce(n.n, 0) as fused_rows from supplier left join n on n.query_id = s_suppkey
         where coalesce(n.n, 0) < least(s_suppkey % 8 + 1, 3)""",
     ),
@@ -461,14 +461,14 @@ ORACLE["query_completion"] = sql(
 def reuse_lookup(spark, sf_dir):
     reqs = view(spark, sf_dir, "requests").withColumn("max_results_raw", F.lit(5))
     reqs = reqs.select("request_id", "ts", "useful", digest_of(reqs).alias("digest"))
-    stored = reqs.filter("useful and request_id % 3 = 0").select("digest", F.col("request_id").alias("answer_id"), F.col("ts").alias("stored_at"))
+    stored = reqs.filter("useful").select("digest", F.col("request_id").alias("answer_id"), F.expr("ts + interval 1 second").alias("stored_at"))
     return routing.reuse_lookup(reqs, stored, COOLDOWN_MS)
 
 
 QUERIES["reuse_lookup"] = reuse_lookup
 ORACLE["reuse_lookup"] = sql(
     f"""with r as (select request_id, ts, useful, {DIGEST_SQL} as digest from (select * replace (5 as max_results_raw) from requests)),
-    s as (select digest, request_id as answer_id, ts as stored_at from r where useful and request_id % 3 = 0)
+    s as (select digest, request_id as answer_id, ts + interval 1 second as stored_at from r where useful)
     select r.request_id, r.digest, case when r.ts < s.stored_at + interval 2 hour then s.answer_id end as answer_id
     from r asof left join s on r.digest = s.digest and r.ts >= s.stored_at""",
     "requests",

@@ -37,13 +37,13 @@ _TAIL_JSON = """',"providers_used":["tavily","brave"],"providers_failed":' || ""
 
 
 def _fused(spark, sf_dir):
-    return fusion.fuse(ranked_lists(spark, sf_dir), limit=8, per_host=2).filter("query_id % 6 <> 5")
+    return fusion.fuse(ranked_lists(spark, sf_dir), limit=8, per_host=2)
 
 
 _TOP_COLUMNS = "query_id, rank, title, url, sources, snippet, strftime(published_at, '%Y-%m-%dT%H:%M:%S.%gZ') as published"
 _FUSED_SQL = fusion_sql(
     _FLAT_RESPONSES, family_sql("v.upstream_engine"), "true",
-    _TOP.format(cap=2, limit=8, columns=_TOP_COLUMNS).replace(f"select {_TOP_COLUMNS} from", f", top as (select {_TOP_COLUMNS} from") + " and query_id % 6 <> 5)",
+    _TOP.format(cap=2, limit=8, columns=_TOP_COLUMNS).replace(f"select {_TOP_COLUMNS} from", f", top as (select {_TOP_COLUMNS} from") + ")",
 )
 
 

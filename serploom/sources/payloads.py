@@ -101,6 +101,13 @@ def read_brave(body: Column) -> Column:
     )
 
 
+def _object_with(body: Column, field: str) -> Column:
+    """The body is a JSON object whose field, if present, is an object too."""
+    held = F.get_json_object(body, f"$.{field}")
+    valid = F.try_parse_json(body).isNotNull() & body.rlike(r"^\s*\{")
+    return F.coalesce(valid, F.lit(False)) & (held.isNull() | held.startswith("{"))
+
+
 def _brave_response(body: Column, p: Column) -> Column:
     items = F.transform(
         p["web"]["results"],
@@ -111,7 +118,7 @@ def _brave_response(body: Column, p: Column) -> Column:
         altered.isNotNull() & ~altered.eqNullSafe(p["query"]["original"]),
         _strings(F.concat(F.lit('Brave interpreted the query as "'), altered, F.lit('".'))),
     )
-    return _response(body.rlike(r"^\s*\{") & p.isNotNull(), items, warnings=warning)
+    return _response(_object_with(body, "web") & p.isNotNull(), items, warnings=warning)
 
 
 def read_mojeek(body: Column) -> Column:
@@ -129,7 +136,7 @@ def read_mojeek(body: Column) -> Column:
 def _mojeek_response(body: Column, p: Column) -> Column:
     status = F.lower(F.coalesce(p["status"], F.lit("")))
     outcome = (
-        F.when(~body.rlike(r"^\s*\{"), F.lit("malformed_response"))
+        F.when(~_object_with(body, "response"), F.lit("malformed_response"))
         .when(status.rlike("access denied|invalid key|password|permission"), F.lit("authentication"))
         .when(status.rlike("limit|quota|exceed"), F.lit("rate_limited"))
         .when(~status.startswith("ok"), F.lit("server_error"))
