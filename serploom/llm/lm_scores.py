@@ -137,6 +137,8 @@ def fit(docs: DataFrame, targets: DataFrame, id: str = "doc_id", text: str = "te
     vocabulary = np.sort(words.column(0).to_numpy().view(np.uint64))
     (flag, key, good) = fresh(docs, "flag", "key", "good")
     wanted = targets.select(F.col(targets.columns[0]).alias(key)).filter(F.col(key).isNotNull()).distinct().withColumn(good, F.lit(1))
+    # the ids grow with the documents, so they are never broadcast, whatever a planner thinks of their size
+    wanted = wanted.hint("merge")
     # documents without an id are dealt by their text and match nothing
     spread = F.when(F.col(id).isNull(), F.xxhash64(F.col(text))).otherwise(F.col(id))
     flagged = docs.select(spread.alias(flag), F.col(id).isNotNull().alias("known"), F.col(text).alias("body")).join(
