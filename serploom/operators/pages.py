@@ -1,4 +1,4 @@
-"""From fetched bodies to readable text, and from result pages to link rows."""
+"""From fetched bodies to readable text, with native expressions."""
 
 from __future__ import annotations
 
@@ -6,47 +6,27 @@ import codecs
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from serploom import dims
-from serploom.functions import text, urls
-from serploom.operators import markup
+from serploom.functions import text
 
 THIN = 400
 BODY_CAP = 10 * 1024 * 1024
-OUTLINKS = 30
-
-# Where result rows, their links and snippets sit on the two scraped result pages.
-RESULT_PAGES = {
-    "duckduckgo": {
-        "containers": [
-            "div.result", "div.web-result", "div.results_links", "article[data-testid=result]",
-            "div[data-testid=result]", "li.result",
-        ],
-        "links": ["a.result__a", "h2 a", "a.result-link", "a[data-testid=result-title-a]"],
-        "snippets": [
-            "a.result__snippet", ".result__snippet", "td.result-snippet", ".result-snippet",
-            "[data-result=snippet]", "div.result__body + div",
-        ],
-        "base": "https://duckduckgo.com",
-        "own_hosts": ["duckduckgo.com", "duck.co"],
-    },
-    "startpage": {
-        "containers": [
-            "div.w-gl__result", "div.result", "div.w-gl__result-item", "section#main div.result",
-            "div.search-result",
-        ],
-        "links": ["a.w-gl__result-title", "a.result-link", "h3 a", "h2 a", "a.result-title"],
-        "snippets": [
-            "p.w-gl__description", "span.w-gl__description", ".description", ".result-description",
-            ".w-gl__result-description",
-        ],
-        "base": "https://www.startpage.com",
-        "own_hosts": ["startpage.com"],
-    },
-}
+
+# Class and id words of page furniture, and the elements that are audited.
+FURNITURE = [
+    "nav", "navbar", "navigation", "menu", "sidebar", "side-bar", "footer", "header",
+    "masthead", "breadcrumb", "cookie", "consent", "gdpr", "banner", "advert", "ads",
+    "sponsor", "promo", "social", "share", "comment", "disqus", "related", "recommend",
+    "newsletter", "subscribe", "signup", "login", "modal", "popup", "overlay", "skip-link",
+    "pagination", "pager", "toolbar", "widget", "meta-bar", "site-header", "site-footer",
+]
+FURNITURE_TAGS = [
+    "aside", "div", "footer", "form", "header", "nav", "section", "ul",
+]
 
 
 # --- bodies -----------------------------------------------------------------------------------------
@@ -120,64 +100,22 @@ def admit_bodies(pages: DataFrame, body: str = "body") -> tuple[DataFrame, DataF
 
 
 # --- readable text ----------------------------------------------------------------------------------
-def markup_depth(pages: DataFrame, limit: int = markup.LIMIT, key: str = "page_id") -> DataFrame:
-    """Nesting depth per page; pages without markup never reach Python."""
-
-    def scan(batches):
-        for pdf in batches:
-            yield pd.DataFrame(
-                {key: pdf[key], "depth": [markup.depth(h, limit) for h in pdf["html"]]}
-            ).astype({"depth": "int32"})
-
-    key_type = dict(pages.dtypes)[key]
-    marked = F.coalesce(has_markup(F.col("html")), F.lit(False))
-    scanned = pages.filter(marked).select(key, "html").mapInPandas(scan, f"{key} {key_type}, depth int")
-    plain = pages.filter(~marked).select(key, F.lit(0).alias("depth"))
-    return scanned.unionByName(plain)
-
-
-def extract_readable(pages: DataFrame, limit: int = markup.LIMIT, key: str = "page_id") -> DataFrame:
-    """key, depth, title, text; text is NULL for a page that nests too deep (its depth tells).
-
-    One Python pass per page measures the depth first and parses only what stays within the limit;
-    clean-up of title and lines is native.
-    """
-
-    def read(batches):
-        for pdf in batches:
-            rows = []
-            for page, body in zip(pdf[key], pdf["html"]):
-                level = markup.depth(body, limit)
-                title, content = markup.readable(body) if level <= limit else (None, None)
-                rows.append((page, level, title, content))
-            yield pd.DataFrame(rows, columns=[key, "depth", "title", "text"])
-
-    key_type = dict(pages.dtypes)[key]
-    raw = pages.filter("html is not null").select(key, "html").mapInPandas(
-        read, f"{key} {key_type}, depth int, title string, text string"
-    )
-    return raw.withColumns(
-        {
-            "title": F.coalesce(text.clean_text(F.col("title")), F.col("title")),
-            "text": text.normalize_lines(F.col("text")),
-        }
-    )
-
-
-def quarantine_deep(extracted: DataFrame, limit: int = markup.LIMIT) -> tuple[DataFrame, DataFrame]:
-    return extracted.filter(F.col("depth") <= limit), extracted.filter(F.col("depth") > limit)
+def page_title(html: Column) -> Column:
+    """Cleaned text of the page's first title element."""
+    raw = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return F.nullif(F.coalesce(text.clean_text(raw), raw), F.lit(""))
 
 
 def is_furniture(identifier: Column) -> Column:
     """Native form of the class / id test, for audits over attribute tables."""
     words = F.split(F.lower(identifier), r"[^\p{L}\p{N}-]+")
-    names = "|".join(markup.FURNITURE)
+    names = "|".join(FURNITURE)
     return F.exists(words, lambda w: w.rlike(f"^(?:{names})(?:-|$)|-(?:{names})$"))
 
 
 def boilerplate_audit(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Class attributes of candidate elements per page, with the furniture verdict."""
-    tags = "|".join(sorted(markup.FURNITURE_TAGS))
+    tags = "|".join(sorted(FURNITURE_TAGS))
     found = F.regexp_extract_all(
         "html", F.lit(rf'<(?:{tags})\s[^>]*?class="([^"]*)"'), F.lit(1)
     )
@@ -187,7 +125,7 @@ def boilerplate_audit(pages: DataFrame, key: str = "page_id") -> DataFrame:
     ).withColumn("is_furniture", is_furniture(F.col("identifier")))
 
 
-def finish_pages(extracted: DataFrame, max_characters: int = 20_000) -> DataFrame:
+def finish_pages(extracted: DataFrame, max_characters: int = 12_000) -> DataFrame:
     """Clipped text with the thin flag; empty text is a failure."""
     clipped, truncated = text.clip_words(F.col("text"), max_characters)
     length = F.coalesce(F.length("text"), F.lit(0))
@@ -237,59 +175,6 @@ def prefer_extraction(
 
 
 # --- links ------------------------------------------------------------------------------------------
-def page_links(pages: DataFrame, layout: dict, key: str = "page_id") -> DataFrame:
-    """Raw link rows of every page in document order; the only Python step of link extraction."""
-    containers, link, snippet = layout["containers"], layout["links"], layout["snippets"]
-
-    def read(batches):
-        for pdf in batches:
-            rows = []
-            for page, body in zip(pdf[key], pdf["html"]):
-                if markup.depth(body) <= markup.LIMIT:
-                    found = markup.links(body, containers, link, snippet)
-                    rows += [(page, i, *row) for i, row in enumerate(found)]
-            yield pd.DataFrame(rows, columns=[key, "position", "selector", "href", "title", "snippet"])
-
-    key_type = dict(pages.dtypes)[key]
-    marked = pages.filter(has_markup(F.col("html"))).select(key, "html")
-    return marked.mapInPandas(
-        read, f"{key} {key_type}, position int, selector int, href string, title string, snippet string"
-    )
-
-
-def extract_result_links(pages: DataFrame, layout: dict, key: str = "page_id") -> DataFrame:
-    """Result rows of scraped result pages: key, rank, title, url, snippet.
-
-    The first container selector that yields a usable row decides for a page; when none does, ordinary
-    links with 12 to 300 characters of text stand in, at most 30 a page. Redirects are unwrapped, own
-    hosts dropped, repeated targets kept once.
-    """
-    base, own = layout["base"], layout["own_hosts"]
-    raw = page_links(pages, layout, key)
-    raw = raw.withColumn("url", urls.absolute_url(urls.unwrap_redirect(F.col("href")), base))
-
-    def outside(host: Column) -> Column:
-        kept = host != ""
-        for name in own:
-            kept = kept & (host != name) & ~host.endswith("." + name)
-        return kept
-
-    foreign = urls.bind(urls.url_host(F.col("url")), outside)
-    title = text.collapse_ws(F.col("title"))
-    plain = (F.col("selector") < 99) | (F.length(title).between(12, 300) & title.contains(" "))
-    rows = urls.with_canonical_url(raw.filter(foreign & plain), "url")
-    once = Window.partitionBy(key, "selector", "canonical_url").orderBy("position")
-    rows = rows.withColumn("_n", F.row_number().over(once)).filter("_n = 1")
-    page = Window.partitionBy(key)
-    rows = rows.withColumn("_best", F.min("selector").over(page)).filter("selector = _best")
-    ranked = rows.withColumn("rank", F.row_number().over(page.orderBy("position")))
-    return ranked.filter((F.col("selector") < 99) | (F.col("rank") <= OUTLINKS)).select(
-        key, "rank",
-        F.when(title == "", F.col("url")).otherwise(title).alias("title"), "url", "canonical_url",
-        F.nullif(text.collapse_ws(F.col("snippet")), F.lit("")).alias("snippet"),
-    )
-
-
 def challenge_pages(pages: DataFrame, link_rows: DataFrame, key: str = "page_id") -> DataFrame:
     """Pages that carry an anti-bot marker and yielded no rows; a page with rows never counts."""
     marked = pages.filter(text.contains_any(F.lower("html"), dims.CHALLENGE_MARKERS))

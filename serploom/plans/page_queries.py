@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from serploom import dims
-from serploom.operators import markup, pages
+from serploom.operators import pages
 from serploom.plans.text_queries import collapse_sql, decode_sql, strip_sql
 from serploom.plans.views import sql, view
 from serploom.session import load
@@ -63,24 +63,19 @@ ORACLE["page_markup"] = """
     union all select 'document', doc_id, regexp_matches(text, '<[A-Za-z/!]') from documents"""
 
 
-def page_depth(spark, sf_dir):
-    return pages.markup_depth(load(spark, sf_dir, "pages"))
+def thin_pages(spark, sf_dir):
+    texts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    return pages.finish_pages(texts).select("page_id", "truncated", "verdict")
 
 
-QUERIES["page_depth"] = page_depth
-
-
-def page_text(spark, sf_dir):
-    extracted = pages.extract_readable(load(spark, sf_dir, "pages"))
-    return pages.finish_pages(extracted).select("page_id", "depth", "title", "text", "truncated", "verdict")
-
-
-QUERIES["page_text"] = page_text
+QUERIES["thin_pages"] = thin_pages
+ORACLE["thin_pages"] = """
+    select doc_id as page_id, coalesce(length(text) > 12000, false) as truncated,
+      case when coalesce(length(text), 0) = 0 then 'failed' when length(text) < 400 then 'thin' else 'useful' end as verdict from documents"""
 
 
 def page_titles(spark, sf_dir):
-    kept, _ = pages.quarantine_deep(pages.extract_readable(load(spark, sf_dir, "pages")))
-    return kept.select("page_id", "title")
+    return load(spark, sf_dir, "pages").select("page_id", pages.page_title(F.col("html")).alias("title"))
 
 
 QUERIES["page_titles"] = page_titles
@@ -98,7 +93,7 @@ def boilerplate_audit(spark, sf_dir):
 
 
 QUERIES["boilerplate_audit"] = boilerplate_audit
-_FURNITURE = "|".join(markup.FURNITURE)
+_FURNITURE = "|".join(pages.FURNITURE)
 ORACLE["boilerplate_audit"] = rf"""
     with h as (select page_id, replace(html, '<article>', '<div id="a" class="' || ['navy-theme', 'Site-Header x', 'top nav_bar', 'left-sidebar', 'social', 'innovate'][1 + page_id % 6] || '"><section class="body">') as html from pages),
     a as (select page_id, unnest(regexp_extract_all(html, '<(?:div|section|aside|nav|header|footer|ul|form)\s[^>]*?class="([^"]*)"', 1)) as identifier from h)
@@ -107,59 +102,16 @@ ORACLE["boilerplate_audit"] = rf"""
     from a group by identifier"""
 
 
-def result_page(df):
-    """A result page per landed page, with three links, one repeated and one own."""
-    target = F.url_encode(F.split_part("url", F.lit("#"), F.lit(1)))
-    row = lambda cls, href, t: F.concat(F.lit(f'<div class="{cls}"><h2><a class="result__a" href="'), href, F.lit('">'), t, F.lit('</a></h2><a class="result__snippet">about <b>it</b></a></div>'))
-    body = F.concat(
-        F.lit("<html><body>"),
-        row("result x", F.concat(F.lit("//duckduckgo.com/l/?uddg="), target, F.lit("&amp;rut=1")), F.concat(F.lit("Page "), F.col("page_id").cast("string"))),
-        row("result", F.lit("https://Example.org/a/?utm_source=q"), F.lit("")),
-        row("result", F.lit("https://example.org/a"), F.lit("again")),
-        row("result", F.lit("https://duckduckgo.com/about"), F.lit("own")),
-        F.lit("<a href='/x'>plain</a></body></html>"),
-    )
-    blocked = F.lit("<html><body><p>Unusual traffic</p><a href='https://e.com/short'>short</a></body></html>")
-    loose = F.concat(F.lit("<html><body>captcha <a href='https://e.com/"), F.col("page_id").cast("string"), F.lit("'>a long enough link text</a><a href='https://e.com/z'>nospaceinthislink</a></body></html>"))
-    return df.withColumn("html", F.when(F.col("page_id") % 5 == 0, blocked).when(F.col("page_id") % 5 == 1, loose).otherwise(body))
-
-
-def result_links(spark, sf_dir):
-    df = result_page(load(spark, sf_dir, "pages"))
-    return pages.extract_result_links(df, pages.RESULT_PAGES["duckduckgo"]).select("page_id", "rank", "title", "url", "snippet")
-
-
-QUERIES["result_links"] = result_links
-ORACLE["result_links"] = """
-    select page_id, cast(1 as int) as rank, 'Page ' || page_id as title, split_part(url, '#', 1) as url, 'about it' as snippet from pages where page_id % 5 > 1
-    union all select page_id, 2, 'https://Example.org/a/?utm_source=q', 'https://Example.org/a/?utm_source=q', 'about it' from pages where page_id % 5 > 1
-    union all select page_id, 1, 'a long enough link text', 'https://e.com/' || page_id, null from pages where page_id % 5 = 1"""
-
-
 def challenge_pages(spark, sf_dir):
-    df = result_page(load(spark, sf_dir, "pages"))
-    return pages.challenge_pages(df, pages.extract_result_links(df, pages.RESULT_PAGES["duckduckgo"]))
+    """Every fifth page also carries a marker; link rows are links with 12 to 300 characters of text."""
+    raw = load(spark, sf_dir, "pages")
+    more = F.when(F.col("page_id") % 5 == 0, F.lit("<p>Unusual traffic</p>")).otherwise("")
+    df = raw.select("page_id", F.concat("html", more).alias("html"))
+    return pages.challenge_pages(df, df.filter(F.col("html").rlike("<a [^>]*>[^<]{12,300}</a>")).select("page_id"))
 
 
 QUERIES["challenge_pages"] = challenge_pages
-ORACLE["challenge_pages"] = "select page_id from pages where page_id % 5 = 0"
-
-
-def page_outlinks(spark, sf_dir):
-    """Ordinary pages with two longer links appended, read with a layout that finds no results."""
-    more = F.concat(
-        F.lit('<a href="//other.example.com/p/'), F.col("page_id").cast("string"), F.lit('">see the other page</a><a href="'), F.col("url"),
-        F.lit('">this very page</a><a href="'), F.col("url"), F.lit('">this page again</a>'),
-    )
-    df = load(spark, sf_dir, "pages").withColumn("html", F.concat("html", more))
-    found = pages.extract_result_links(df, pages.RESULT_PAGES["startpage"])
-    return found.select("page_id", "rank", "title", "url")
-
-
-QUERIES["page_outlinks"] = page_outlinks
-ORACLE["page_outlinks"] = """
-    select page_id, cast(1 as int) as rank, 'see the other page' as title, 'https://other.example.com/p/' || page_id as url from pages
-    union all select page_id, 2, 'this very page', url from pages"""
+ORACLE["challenge_pages"] = "select page_id from pages where page_id % 5 = 0 and not regexp_matches(html, '<a [^>]*>[^<]{12,300}</a>')"
 
 
 def prefer_extraction(spark, sf_dir):

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 # one query per area; tools/check.py runs them all
 PICKED = [
     "url_canonicalize", "admit_resolved", "fused_results", "silver_results", "text_clean", "request_digests", "provider_incidents", "reuse_lookup",
-    "search_summary", "remaining_providers", "checked_answers", "read_searxng", "result_links", "stream_counters", "status_documents",
+    "search_summary", "remaining_providers", "checked_answers", "read_searxng", "challenge_pages", "stream_counters", "status_documents",
 ]
 
 
