@@ -46,24 +46,15 @@ def provider_counters(attempts: DataFrame) -> DataFrame:
     )
 
 
-def provider_status(
-    counters: DataFrame, incidents: DataFrame, throttled: DataFrame, settings: DataFrame
-) -> DataFrame:
+def provider_status(counters: DataFrame, observed: DataFrame, settings: DataFrame) -> DataFrame:
     """One status per provider: not_configured, disabled, circuit_open, probing, rate_limited, ready.
 
-    ``incidents`` are labelled attempts, ``throttled`` labelled events; the newest row of each decides.
-    ``settings(provider, configured, enabled)`` lists every provider to report.
+    ``observed`` is what ``states.observed_states`` returns; ``settings(provider, configured, enabled)``
+    lists every provider to report.
     """
-    circuit = incidents.groupBy("provider").agg(
-        F.max_by("state_after", F.struct("_us", "event_id")).alias("circuit_state")
-    )
-    waiting = throttled.groupBy("provider").agg(
-        F.max_by(~F.col("admitted"), F.struct("_us", "event_id")).alias("throttled")
-    )
     df = (
         settings.join(counters, "provider", "left")
-        .join(circuit, "provider", "left")
-        .join(waiting, "provider", "left")
+        .join(observed, "provider", "left")
         .withColumn("circuit_state", F.coalesce("circuit_state", F.lit("closed")))
     )
     status = (
@@ -71,10 +62,10 @@ def provider_status(
         .when(~F.col("enabled"), F.lit("disabled"))
         .when(F.col("circuit_state") == "open", F.lit("circuit_open"))
         .when(F.col("circuit_state") == "half_open", F.lit("probing"))
-        .when(F.coalesce("throttled", F.lit(False)), F.lit("rate_limited"))
+        .when(F.coalesce("rate_limited", F.lit(False)), F.lit("rate_limited"))
         .otherwise(F.lit("ready"))
     )
-    return df.withColumn("status", status).drop("throttled")
+    return df.withColumn("status", status).drop("rate_limited")
 
 
 def probe_status(probes: DataFrame, settings: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from serploom import dims
-from serploom.operators.ordered import carry_forward, ordered_chunks
 
 
 def preference(settings: DataFrame) -> DataFrame:
@@ -126,30 +125,47 @@ def query_completion(fan_in: DataFrame) -> DataFrame:
     )
 
 
-def reuse_lookup(
-    requests: DataFrame, stored: DataFrame, ttl_ms: int = dims.REUSE_TTL_MS, chunks: int | None = None
-) -> DataFrame:
+def reuse_lookup(requests: DataFrame, stored: DataFrame, ttl_ms: int = dims.REUSE_TTL_MS) -> DataFrame:
     """As-of join: for each request the newest stored answer of its digest that is still valid.
 
     ``requests(digest, request_id, ts)``, ``stored(digest, answer_id, stored_at)``; valid while
-    stored_at <= ts < stored_at + TTL. Both logs are merged in time order and the newest answer is
-    carried forward, so no pair of rows is ever formed and a busy digest is spread over chunks.
+    stored_at <= ts < stored_at + TTL. A valid answer is from the request's own stretch of TTL length or
+    from the one before, so answers go to both and the newest is carried forward inside (digest, stretch):
+    no pair of rows is formed, and a busy digest is spread over its stretches.
     """
+    ttl = ttl_ms * 1000
     asked = requests.select(
         "digest", "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"),
         F.lit(1).alias("_side"), F.col("request_id").alias("_id"),
         F.lit(None).cast("struct<at:bigint,answer_id:bigint>").alias("_answer"),
-    )
+    ).withColumn("_stretch", F.floor(F.col("_us") / ttl))
     at = F.unix_micros(F.col("stored_at").cast("timestamp"))
     answers = stored.select(
         "digest", F.lit(None).cast("bigint").alias("request_id"), at.alias("_us"),
         F.lit(0).alias("_side"), F.col("answer_id").alias("_id"),
         F.struct(at.alias("at"), F.col("answer_id")).alias("_answer"),
+        F.explode(F.array(F.floor(at / ttl), F.floor(at / ttl) + 1)).alias("_stretch"),
     )
-    order = ["_us", "_side", "_id"]
-    merged = ordered_chunks(asked.unionByName(answers), "digest", order, chunks)
-    carried = carry_forward(merged, "digest", order, "_answer", "_newest")
-    valid = F.col("_us") < F.col("_newest.at") + ttl_ms * 1000
+    so_far = (
+        Window.partitionBy("digest", "_stretch").orderBy("_us", "_side", "_id")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    carried = asked.unionByName(answers).withColumn("_newest", F.last("_answer", ignorenulls=True).over(so_far))
+    # no digest, no stored answer
+    valid = F.col("digest").isNotNull() & (F.col("_us") < F.col("_newest.at") + ttl)
     return carried.filter("_side = 1").select(
         "request_id", "digest", F.when(valid, F.col("_newest.answer_id")).alias("answer_id")
     )
+
+
+def reuse_stats(looked_up: DataFrame, stored: DataFrame, now_us: int, ttl_ms: int = dims.REUSE_TTL_MS) -> DataFrame:
+    """One row: digests with an answer that is valid at ``now_us``, and how many lookups had one or had none.
+
+    ``looked_up`` is what ``reuse_lookup`` returns, ``stored`` its stored answers.
+    """
+    at = F.unix_micros(F.col("stored_at").cast("timestamp"))
+    live = stored.filter((at <= now_us) & (at > now_us - ttl_ms * 1000)).select("digest").distinct()
+    entries = live.agg(F.count("digest").alias("entries"))
+    counted = looked_up.agg(F.count("answer_id").alias("hits"), F.count_if(F.col("answer_id").isNull()).alias("misses"))
+    # two single-row aggregates
+    return entries.join(F.broadcast(counted), F.lit(True))

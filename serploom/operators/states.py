@@ -1,31 +1,23 @@
-"""Failure incidents, throttling and reuse windows over attempt and request logs.
+"""What attempt logs say about outcomes over time: failure streaks and the state a provider was last seen in.
 
-Times are event times in microseconds. Each operator has a streaming twin in ``serploom.streaming``
-built on the same per-event step.
+Times are event times in microseconds.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from serploom import dims
 from serploom.functions.labels import is_transient
-from serploom.operators.ordered import (
-    chunked_scan,
-    ordered_chunks,
-    running_total,
-    with_previous,
-)
 
 NO_OUTCOME, SUCCESS, TRANSIENT, OTHER_FAILURE = range(4)
-CLOSED, OPEN, HALF_OPEN = "closed", "open", "half_open"
+HOUR_US = 3_600_000_000
 
 
 def outcome_code() -> Column:
-    """What an attempt means to the breaker; skips, cancellations and deadline losses mean nothing."""
+    """What an attempt means for its provider; skips, cancellations and deadline losses mean nothing."""
     none = (
         ~F.col("reached_network")
         | ~F.col("charged")
@@ -39,252 +31,28 @@ def outcome_code() -> Column:
     )
 
 
-# --- incidents --------------------------------------------------------------------------------------
-def breaker_step(state, ts, code, threshold, cooldown):
-    """(label, state after) of one attempt. A state is (name, streak or opening time)."""
-    name, value = state
-    if name == OPEN and ts - value < cooldown:
-        return OPEN, state
-    if name == CLOSED:
-        if code == SUCCESS:
-            return CLOSED, (CLOSED, 0)
-        if code == TRANSIENT:
-            return CLOSED, (OPEN, ts) if value + 1 >= threshold else (CLOSED, value + 1)
-        return CLOSED, state
-    if code == NO_OUTCOME:
-        return HALF_OPEN, (HALF_OPEN, 0)
-    return HALF_OPEN, (OPEN, ts) if code == TRANSIENT else (CLOSED, 0)
-
+def failure_streaks(attempts: DataFrame, key: str = "provider", bucket_us: int = HOUR_US) -> DataFrame:
+    """Runs of transient failures between successes; other failures neither extend nor break one.
 
-def _breaker_summary(ts, codes, threshold, cooldown) -> dict:
-    """Exit state for every incoming state, built backwards in one pass.
-
-    While open, everything up to the first attempt past the cooldown is skipped, so an incoming open
-    state is settled by which attempt becomes the probe; only attempts within one cooldown of the
-    first can be that one.
+    A key's log is cut into time buckets, so a key that owns most of the log is spread over tasks: the
+    successes before a bucket come from one counted row per key and bucket, those inside from a window.
     """
-    n = len(ts)
-    nxt = np.maximum(np.searchsorted(ts, ts + cooldown), np.arange(1, n + 1))
-    closed = [[CLOSED, s] for s in range(threshold)]
-    probe = [None] * n + [[HALF_OPEN, 0]]
-    for i in range(n - 1, -1, -1):
-        code = codes[i]
-        opened = probe[nxt[i]] if nxt[i] < n else [OPEN, int(ts[i])]
-        if code == SUCCESS:
-            probe[i], closed = closed[0], [closed[0]] * threshold
-        elif code == TRANSIENT:
-            probe[i], closed = opened, closed[1:] + [opened]
-        elif code == OTHER_FAILURE:
-            probe[i] = closed[0]
-        else:
-            probe[i] = probe[i + 1]
-    probes = []
-    for i in range(min(int(nxt[0]) + 1, n)):
-        if probes and probes[-1][1] == probe[i]:
-            probes[-1][0] = int(ts[i])
-        else:
-            probes.append([int(ts[i]), probe[i]])
-    return {"closed": closed, "half": probe[0], "probes": probes, "last": int(ts[-1])}
-
-
-def _breaker_advance(state, summary, cooldown):
-    name, value = state or (CLOSED, 0)
-    if name == CLOSED:
-        return summary["closed"][value]
-    if name == HALF_OPEN:
-        return summary["half"]
-    for upto, after in summary["probes"]:
-        if upto >= value + cooldown:
-            return after
-    return [name, value]
-
-
-def provider_incidents(
-    attempts: DataFrame,
-    threshold: int = dims.BREAKER_POLICY[0],
-    cooldown_ms: int = dims.BREAKER_POLICY[1],
-    key: str = "provider",
-    chunks: int | None = None,
-) -> DataFrame:
-    """Every attempt with its breaker label and the state it leaves behind.
-
-    ``attempts(provider, ts, event_id, ok, category, reached_network, charged)``.
-    """
-    cooldown = cooldown_ms * 1000
-    df = attempts.select(
-        key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"),
+    rows = attempts.select(
+        key, "event_id", F.coalesce("ok", F.lit(False)).alias("ok"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"),
         outcome_code().alias("_code"),
+    ).withColumn("_bucket", F.floor(F.col("_us") / bucket_us))
+    in_order = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(key, "_bucket").orderBy("_us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    before = (
+        rows.groupBy(F.col(key).alias("_key"), F.col("_bucket").alias("_of")).agg(F.count_if("ok").alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(in_order), F.lit(0)))
     )
-    order = ["_us", "event_id"]
-
-    def summarize(part: pd.DataFrame) -> dict:
-        return _breaker_summary(
-            part["_us"].to_numpy(), part["_code"].to_numpy(), threshold, cooldown
-        )
-
-    def label(entry, part: pd.DataFrame) -> pd.DataFrame:
-        state, labels, after = tuple(entry or (CLOSED, 0)), [], []
-        for ts, code in zip(part["_us"].tolist(), part["_code"].tolist()):
-            name, state = breaker_step(state, ts, code, threshold, cooldown)
-            labels.append(name)
-            after.append(state[0])
-        return part.assign(label=labels, state_after=after)
-
-    return chunked_scan(
-        ordered_chunks(df, key, order, chunks), key, order, summarize,
-        lambda state, summary: _breaker_advance(state, summary, cooldown),
-        label, "label string, state_after string",
-    ).drop("_code")
-
-
-# --- reuse windows ----------------------------------------------------------------------------------
-def reuse_step(expires, ts, useful, ttl):
-    """(hit, expiry after) of one request; the window does not slide, empty answers open none."""
-    if ts < expires:
-        return True, expires
-    return False, ts + ttl if useful and ttl > 0 else 0
-
-
-def ttl_reuse(
-    requests: DataFrame, ttl_ms: int = dims.REUSE_TTL_MS, key: str = "digest", chunks: int | None = None
-) -> DataFrame:
-    """Every request with ``hit`` and the expiry of the stored answer it leaves.
-
-    ``requests(digest, ts, request_id, useful)``.
-    """
-    ttl = ttl_ms * 1000
-    df = requests.select(
-        key, "request_id", "useful", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us")
-    )
-    order = ["_us", "request_id"]
-
-    def summarize(part: pd.DataFrame) -> dict:
-        ts, useful = part["_us"].to_numpy(), part["useful"].to_numpy()
-        n = len(ts)
-        nxt = np.searchsorted(ts, ts + ttl)
-        after = [0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            if not useful[i] or ttl <= 0:
-                after[i] = after[i + 1]
-            else:
-                after[i] = after[nxt[i]] if nxt[i] < n else int(ts[i]) + ttl
-        misses = []
-        for i in range(min(int(nxt[0]) + 1, n)):
-            if misses and misses[-1][1] == after[i]:
-                misses[-1][0] = int(ts[i])
-            else:
-                misses.append([int(ts[i]), after[i]])
-        return {"misses": misses}
-
-    def advance(state, summary):
-        expires = (state or {"expires": 0})["expires"]
-        for upto, after in summary["misses"]:
-            if upto >= expires:
-                return {"expires": after}
-        return {"expires": expires}
-
-    def label(entry, part: pd.DataFrame) -> pd.DataFrame:
-        expires, hits, ends = (entry or {"expires": 0})["expires"], [], []
-        for ts, useful in zip(part["_us"].tolist(), part["useful"].tolist()):
-            hit, expires = reuse_step(expires, ts, useful, ttl)
-            hits.append(hit)
-            ends.append(expires)
-        return part.assign(hit=hits, expires_us=ends)
-
-    return chunked_scan(
-        ordered_chunks(df, key, order, chunks), key, order, summarize, advance, label,
-        "hit boolean, expires_us bigint",
+    numbered = rows.withColumn("_inside", F.sum(F.col("ok").cast("bigint")).over(inside))
+    joined = numbered.filter(F.col("_code") == TRANSIENT).join(
+        before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_of"))
     )
-
-
-def reuse_stats(labelled: DataFrame, now_us: int) -> DataFrame:
-    """Live entries, hits and misses at one instant."""
-    last = labelled.groupBy("digest").agg(
-        F.max("expires_us").alias("expires_us"),
-        F.count_if("hit").alias("hits"),
-        F.count_if(~F.col("hit")).alias("misses"),
-    )
-    return last.agg(
-        F.count_if(F.col("expires_us") > now_us).alias("entries"),
-        F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"),
-        F.coalesce(F.sum("misses"), F.lit(0)).alias("misses"),
-    )
-
-
-# --- throttling -------------------------------------------------------------------------------------
-def throttle_step(state, ts, burst, cost, gap):
-    """(admitted, wait in ms, state after); tokens are kept as microseconds of refill."""
-    level, refilled, last = state
-    if refilled is None:
-        level = burst * cost
-    else:
-        level = min(burst * cost, level + max(0, ts - refilled))
-    refilled = ts if refilled is None else max(refilled, ts)
-    waited = last is None or ts - last >= gap
-    if level >= cost and waited:
-        return True, 0, (level - cost, refilled, ts)
-    wait = cost - level if level < cost else gap - (ts - last)
-    return False, -(-wait // 1000), (level, refilled, last)
-
-
-def throttle_labels(
-    events: DataFrame,
-    burst: int,
-    per_minute: float,
-    min_gap_ms: int = 0,
-    key: str = "provider",
-    chunks: int | None = None,
-) -> DataFrame:
-    """Token bucket verdict for every event: ``admitted`` and the wait a denied one would need.
-
-    ``events(provider, ts, event_id)``. After an idle time long enough to refill the whole bucket the
-    past no longer matters, so each key is cut there and the pieces are folded in parallel. A key that
-    never idles that long is one piece: a token bucket over it is sequential by definition.
-    """
-    cost = round(60e6 / per_minute)
-    gap = min_gap_ms * 1000
-    idle = max(burst * cost, gap)
-    order = ["_us", "event_id"]
-    df = events.select(key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
-    chunked = ordered_chunks(df, key, order, chunks)
-    chunked = with_previous(chunked, key, order, "_us", "_prev")
-    fresh = F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") >= idle)
-    pieces = running_total(chunked, key, order, fresh, "_piece")
-
-    def fold(batches):
-        # rows arrive sorted; only the state of the piece at hand is kept between batches
-        current, state = None, (0, None, None)
-        for pdf in batches:
-            admitted, waits = [], []
-            for name, piece, ts in zip(pdf[key], pdf["_piece"], pdf["_us"].tolist()):
-                if (name, piece) != current:
-                    current, state = (name, piece), (0, None, None)
-                ok, wait, state = throttle_step(state, ts, burst, cost, gap)
-                admitted.append(ok)
-                waits.append(wait)
-            yield pdf[[key, "event_id", "_us"]].assign(admitted=admitted, wait_ms=waits)
-
-    key_type = dict(events.dtypes)[key]
     return (
-        pieces.repartition(key, "_piece")
-        .sortWithinPartitions(key, "_piece", *order)
-        .mapInPandas(
-            fold, f"{key} {key_type}, event_id bigint, _us bigint, admitted boolean, wait_ms bigint"
-        )
-    )
-
-
-# --- failure streaks --------------------------------------------------------------------------------
-def failure_streaks(attempts: DataFrame, key: str = "provider", chunks: int | None = None) -> DataFrame:
-    """Runs of transient failures between successes; other failures neither extend nor break one."""
-    order = ["_us", "event_id"]
-    df = attempts.select(
-        key, "event_id", "ok", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"),
-        outcome_code().alias("_code"),
-    )
-    islands = running_total(ordered_chunks(df, key, order, chunks), key, order, F.col("ok").cast("int"), "island")
-    return (
-        islands.filter(F.col("_code") == TRANSIENT)
+        joined.withColumn("island", F.col("_before") + F.col("_inside"))
         .groupBy(key, "island")
         .agg(
             F.count("*").alias("failures"),
@@ -293,3 +61,35 @@ def failure_streaks(attempts: DataFrame, key: str = "provider", chunks: int | No
             F.max("_us").alias("ended_us"),
         )
     )
+
+
+def moment(ts: str = "ts", event_id: str = "event_id") -> Column:
+    """Time and event number as one decimal, which a hash aggregation can compare (a struct it can't)."""
+    us = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(18,0)")
+    return (us * F.lit(Decimal(10**19)) + F.col(event_id).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def observed_states(attempts: DataFrame, key: str = "provider") -> DataFrame:
+    """Circuit and rate limit as the log shows them, one row per key.
+
+    ``circuit_state`` is open when the newest attempt was skipped with ``circuit_open``, half_open when
+    attempts were made since but none has succeeded, else closed. ``rate_limited`` tells that the newest
+    attempt that was not skipped was refused for its rate.
+    """
+    at, skipped = moment(), F.coalesce(F.col("category") == "circuit_open", F.lit(False))
+    refused = F.coalesce(F.col("category") == "rate_limited", F.lit(False))
+    seen = attempts.groupBy(key).agg(
+        F.max(F.when(skipped, at)).alias("_skipped"),
+        F.max(F.when(~skipped, at)).alias("_tried"),
+        F.max(F.when(F.col("ok"), at)).alias("_succeeded"),
+        F.max(F.when(refused, at)).alias("_refused"),
+    )
+    never = F.lit(-1).cast("decimal(38,0)")
+    after = lambda x, y: F.coalesce(x, never) > F.coalesce(y, never)
+    state = (
+        F.when(after(F.col("_skipped"), F.col("_tried")), F.lit("open"))
+        .when(after(F.col("_skipped"), F.col("_succeeded")), F.lit("half_open"))
+        .otherwise(F.lit("closed"))
+    )
+    limited = F.coalesce(F.col("_refused") == F.col("_tried"), F.lit(False))
+    return seen.select(key, state.alias("circuit_state"), limited.alias("rate_limited"))

@@ -8,7 +8,7 @@ from serploom import dims
 from serploom.functions import requests as request_functions
 from serploom.operators import fusion, health, routing, runs, states
 from serploom.plans.fusion_queries import _FACTS_SQL, fusion_sql, _FLAT_RESPONSES, _TOP, family_sql, ranked_lists
-from serploom.plans.state_queries import _INCIDENTS_SQL, _THROTTLE_SQL, COOLDOWN_MS, THROTTLE
+from serploom.plans.state_queries import OBSERVED_SQL
 from serploom.plans.text_queries import DIGEST_SQL, collapse_sql, digest_of
 from serploom.plans.views import sql, view
 from serploom.sources.probes import read_node_probes
@@ -16,6 +16,8 @@ from serploom.sources.probes import read_node_probes
 QUERIES = {}
 ORACLE = {}
 
+REUSE_MS = 2 * 3600 * 1000
+
 _SETTINGS = [
     ("tavily", True, True), ("brave", True, True), ("mojeek", False, True), ("exa", True, True), ("searxng", True, True),
     ("open_web_search", True, False), ("duckduckgo", True, True), ("startpage", True, True), ("parallel", True, True),
@@ -52,12 +54,7 @@ ORACLE["provider_counters"] = sql(_COUNTERS_SQL, "attempts")
 
 def provider_status_of(spark, sf_dir):
     attempts = view(spark, sf_dir, "attempts")
-    return health.provider_status(
-        health.provider_counters(attempts),
-        states.provider_incidents(attempts, 3, COOLDOWN_MS),
-        states.throttle_labels(attempts, **THROTTLE),
-        settings(spark),
-    )
+    return health.provider_status(health.provider_counters(attempts), states.observed_states(attempts), settings(spark))
 
 
 def provider_status(spark, sf_dir):
@@ -65,16 +62,10 @@ def provider_status(spark, sf_dir):
 
 
 QUERIES["provider_status"] = provider_status
-_STATUS_SQL = (
-    _INCIDENTS_SQL
-    + ", "
-    + _THROTTLE_SQL.strip()[len("with recursive") :].replace("log as", "log2 as").replace("from log)", "from log2)").replace("join log l", "join log2 l").replace("walk as", "walk2 as").replace("from walk w", "from walk2 w").split("select event_id, provider, admitted, wait_ms from walk")[0]
-    + f"""select s.provider, case when not configured then 'not_configured' when not enabled then 'disabled' when c.circuit_state = 'open' then 'circuit_open'
-        when c.circuit_state = 'half_open' then 'probing' when not t.admitted then 'rate_limited' else 'ready' end as status, c.circuit_state, n.requests, n.successes, n.failures
-    from {_SETTINGS_SQL} left join (select provider, arg_max(state, n) as circuit_state from walk where n > 0 group by provider) c using (provider)
-    left join (select provider, arg_max(admitted, n) as admitted from walk2 where n > 0 group by provider) t using (provider)
-    left join ({_COUNTERS_SQL}) n using (provider)"""
-)
+_STATUS_SQL = f"""select s.provider, case when not configured then 'not_configured' when not enabled then 'disabled' when o.circuit_state = 'open' then 'circuit_open'
+        when o.circuit_state = 'half_open' then 'probing' when o.rate_limited then 'rate_limited' else 'ready' end as status,
+        coalesce(o.circuit_state, 'closed') as circuit_state, n.requests, n.successes, n.failures
+    from {_SETTINGS_SQL} left join ({OBSERVED_SQL}) o using (provider) left join ({_COUNTERS_SQL}) n using (provider)"""
 ORACLE["provider_status"] = sql(_STATUS_SQL, "attempts")
 
 
@@ -458,18 +449,34 @@ ORACLE["query_completion"] = sql(
 )
 
 
-def reuse_lookup(spark, sf_dir):
+def _reuse_logs(spark, sf_dir):
+    """Requests with their digest, and the useful ones as stored answers."""
     reqs = view(spark, sf_dir, "requests").withColumn("max_results_raw", F.lit(5))
     reqs = reqs.select("request_id", "ts", "useful", digest_of(reqs).alias("digest"))
     stored = reqs.filter("useful").select("digest", F.col("request_id").alias("answer_id"), F.expr("ts + interval 1 second").alias("stored_at"))
-    return routing.reuse_lookup(reqs, stored, COOLDOWN_MS)
+    return reqs, stored
+
+
+def reuse_lookup(spark, sf_dir):
+    return routing.reuse_lookup(*_reuse_logs(spark, sf_dir), REUSE_MS)
 
 
+_REUSE_LOGS_SQL = f"""r as (select request_id, ts, useful, {DIGEST_SQL} as digest from (select * replace (5 as max_results_raw) from requests)),
+    s as (select digest, request_id as answer_id, ts + interval 1 second as stored_at from r where useful),
+    looked_up as (select r.request_id, r.digest, case when r.ts < s.stored_at + interval 2 hour then s.answer_id end as answer_id
+      from r asof left join s on r.digest = s.digest and r.ts >= s.stored_at)"""
 QUERIES["reuse_lookup"] = reuse_lookup
-ORACLE["reuse_lookup"] = sql(
-    f"""with r as (select request_id, ts, useful, {DIGEST_SQL} as digest from (select * replace (5 as max_results_raw) from requests)),
-    s as (select digest, request_id as answer_id, ts + interval 1 second as stored_at from r where useful)
-    select r.request_id, r.digest, case when r.ts < s.stored_at + interval 2 hour then s.answer_id end as answer_id
-    from r asof left join s on r.digest = s.digest and r.ts >= s.stored_at""",
-    "requests",
-)
+ORACLE["reuse_lookup"] = sql(f"with {_REUSE_LOGS_SQL} select * from looked_up", "requests")
+
+_NOW_US = 1_706_000_000_000_000
+
+
+def reuse_stats(spark, sf_dir):
+    reqs, stored = _reuse_logs(spark, sf_dir)
+    return routing.reuse_stats(routing.reuse_lookup(reqs, stored, REUSE_MS), stored, _NOW_US, REUSE_MS)
+
+
+REUSE_STATS_SQL = f"""select (select count(distinct digest) from s where epoch_us(stored_at) <= {_NOW_US} and epoch_us(stored_at) > {_NOW_US} - {REUSE_MS}000) as entries,
+    (select count(answer_id) from looked_up) as hits, (select count(*) - count(answer_id) from looked_up) as misses"""
+QUERIES["reuse_stats"] = reuse_stats
+ORACLE["reuse_stats"] = sql(f"with {_REUSE_LOGS_SQL} {REUSE_STATS_SQL}", "requests")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from serploom import dims
-from serploom.operators import fusion, states
+from serploom.operators import fusion
 from serploom.plans.fusion_queries import _FLAT_RESPONSES, _TOP, family_sql, fusion_sql, ranked_lists
 from serploom.plans.grounding_queries import CHECKED_SQL, checked_answers_of
-from serploom.plans.health_queries import _COUNTERS_SQL, _FACTS_SQL, _SETTINGS_SQL, _STATUS_SQL, provider_status_of
-from serploom.plans.state_queries import _NOW_US, _REUSE_SQL, COOLDOWN_MS, _digested
+from serploom.plans.health_queries import (
+    _COUNTERS_SQL, _FACTS_SQL, _REUSE_LOGS_SQL, _SETTINGS_SQL, _STATUS_SQL, REUSE_STATS_SQL, provider_status_of, reuse_stats,
+)
 from serploom.plans.views import sql
 from serploom.session import load
 from serploom.sinks import outputs
@@ -155,25 +156,19 @@ def _status(spark, sf_dir):
 
 
 def status_documents(spark, sf_dir):
-    reuse = states.reuse_stats(states.ttl_reuse(_digested(spark, sf_dir), COOLDOWN_MS), _NOW_US)
-    return outputs.status_documents(_status(spark, sf_dir), reuse, 7200)
+    return outputs.status_documents(_status(spark, sf_dir), reuse_stats(spark, sf_dir), 7200)
 
 
 QUERIES["status_documents"] = status_documents
 _STATUS_ROWS = f"status_rows as (select st.*, f.* exclude (provider), s.configured, c.* exclude (provider, requests, successes, failures) from status st join {_FACTS_SQL} using (provider) join {_SETTINGS_SQL} using (provider) left join counters c using (provider))"
-_STATUS_CTES = _STATUS_SQL.split("select s.provider, case when not configured")
-_STATUS_FULL = (
-    _STATUS_CTES[0] + ", status as (select s.provider, case when not configured" + _STATUS_CTES[1] + f"), counters as ({_COUNTERS_SQL}), " + _STATUS_ROWS
-)
-_REUSE_TAIL = _REUSE_SQL.strip()[len("with recursive") :].replace("log as", "log3 as").replace("from log)", "from log3)").replace("join log l", "join log3 l").replace("walk as", "walk3 as").replace("from walk w", "from walk3 w")
+_STATUS_FULL = f"with status as ({_STATUS_SQL}), counters as ({_COUNTERS_SQL}), " + _STATUS_ROWS
 ORACLE["status_documents"] = sql(
-    _STATUS_FULL + ", " + _REUSE_TAIL
+    _STATUS_FULL + ", " + _REUSE_LOGS_SQL
     + f""" select '{{"providers":[' || string_agg('{{"provider_order":' || provider_order || ',"provider":"' || provider || '","status":"' || status || '","configured":' || configured || ',"is_aggregator":' || is_aggregator
       || ',"is_scraper":' || is_scraper || ',"family":"' || family || '","circuit_state":"' || circuit_state || '","requests":' || requests || ',"successes":' || successes || ',"failures":' || failures
       || ',"last_result_count":' || last_result_count || ',"average_latency_ms":' || average_latency_ms || ',"last_error":"' || last_error || '","last_error_category":"' || last_error_category || '","last_success_at":"' || last_success_at || '"}}', ',' order by provider_order)
       || '],"cache":{{"entries":' || any_value(r.entries) || ',"hits":' || any_value(r.hits) || ',"misses":' || any_value(r.misses) || ',"ttl_seconds":7200}}}}' as document
-    from status_rows cross join (select count(*) filter (where e > {_NOW_US}) as entries, cast(sum(h) as bigint) as hits, cast(sum(m) as bigint) as misses
-      from (select digest, max(expires) as e, count(*) filter (where hit) as h, count(*) filter (where not hit) as m from walk3 where n > 0 group by digest)) r""",
+    from status_rows cross join ({REUSE_STATS_SQL}) r""",
     "attempts", "requests",
 )
 

@@ -1,118 +1,16 @@
-"""Registered queries over state machines, with recursive SQL twins."""
+"""Registered queries over what the attempt log shows, with SQL twins."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from serploom.operators import states
-from serploom.plans.text_queries import DIGEST_SQL, digest_of
 from serploom.plans.views import sql, view
 
 QUERIES = {}
 ORACLE = {}
 
-COOLDOWN_MS = 2 * 3600 * 1000
-
-_CODE_SQL = """case when ok then 1 when not reached_network or not charged or coalesce(category in ('cancelled', 'circuit_open'), false) then 0
+CODE_SQL = """case when ok then 1 when not reached_network or not charged or coalesce(category in ('cancelled', 'circuit_open'), false) then 0
     when category in ('rate_limited', 'timeout', 'network', 'server_error') then 2 else 3 end"""
 
-_INCIDENTS_SQL = f"""
-    with recursive log as (select provider, event_id, epoch_us(ts) as us, {_CODE_SQL} as code,
-        row_number() over (partition by provider order by ts, event_id) as n from attempts),
-    walk as (
-      select provider, cast(0 as bigint) as n, cast(0 as bigint) as event_id, cast(0 as bigint) as us, 'none' as label, 'closed' as state, cast(0 as bigint) as val from (select distinct provider from log)
-      union all
-      select l.provider, l.n, l.event_id, l.us, s.label,
-        case s.label when 'open' then 'open'
-          when 'closed' then case when l.code = 2 and w.val + 1 >= 3 then 'open' else 'closed' end
-          else case l.code when 0 then 'half_open' when 2 then 'open' else 'closed' end end,
-        case s.label when 'open' then w.val
-          when 'closed' then case when l.code = 1 then 0 when l.code = 2 then case when w.val + 1 >= 3 then l.us else w.val + 1 end else w.val end
-          else case when l.code = 2 then l.us else 0 end end
-      from walk w join log l on l.provider = w.provider and l.n = w.n + 1
-      cross join lateral (select case when w.state = 'closed' then 'closed' when w.state = 'open' and l.us - w.val < {COOLDOWN_MS * 1000} then 'open' else 'half_open' end as label) s)
-    """
-
-
-def provider_incidents(spark, sf_dir):
-    labelled = states.provider_incidents(view(spark, sf_dir, "attempts"), 3, COOLDOWN_MS)
-    return labelled.select("event_id", "provider", "label", "state_after")
-
-
-QUERIES["provider_incidents"] = provider_incidents
-ORACLE["provider_incidents"] = sql(
-    _INCIDENTS_SQL + "select event_id, provider, label, state as state_after from walk where n > 0",
-    "attempts",
-)
-
-THROTTLE = {"burst": 2, "per_minute": 1 / 60, "min_gap_ms": 600_000}
-
-_THROTTLE_SQL = """
-    with recursive log as (select provider, event_id, epoch_us(ts) as us,
-        row_number() over (partition by provider order by ts, event_id) as n from attempts),
-    walk as (
-      select provider, cast(0 as bigint) as n, cast(0 as bigint) as event_id, cast(0 as bigint) as us, false as admitted, cast(0 as bigint) as wait_ms,
-             cast(7200000000 as bigint) as level, cast(null as bigint) as last_us from (select distinct provider from log)
-      union all
-      select l.provider, l.n, l.event_id, l.us, s.lv >= 3600000000 and s.waited,
-        case when s.lv >= 3600000000 and s.waited then 0 when s.lv < 3600000000 then cast(ceil((3600000000 - s.lv) / 1000) as bigint)
-             else cast(ceil((600000000 - (l.us - w.last_us)) / 1000) as bigint) end,
-        case when s.lv >= 3600000000 and s.waited then s.lv - 3600000000 else s.lv end,
-        case when s.lv >= 3600000000 and s.waited then l.us else w.last_us end
-      from walk w join log l on l.provider = w.provider and l.n = w.n + 1
-      cross join lateral (select case when w.n = 0 then 7200000000 else least(7200000000, w.level + l.us - w.us) end as lv,
-                                 w.last_us is null or l.us - w.last_us >= 600000000 as waited) s)
-    select event_id, provider, admitted, wait_ms from walk where n > 0"""
-
-
-def throttle_labels(spark, sf_dir):
-    labelled = states.throttle_labels(view(spark, sf_dir, "attempts"), **THROTTLE)
-    return labelled.select("event_id", "provider", "admitted", "wait_ms")
-
-
-QUERIES["throttle_labels"] = throttle_labels
-ORACLE["throttle_labels"] = sql(_THROTTLE_SQL, "attempts")
-
-_REUSE_SQL = f"""
-    with recursive log as (select digest, request_id, useful, epoch_us(ts) as us, row_number() over (partition by digest order by ts, request_id) as n
-        from (select *, {DIGEST_SQL} as digest from (select * replace (5 as max_results_raw) from requests))),
-    walk as (
-      select digest, cast(0 as bigint) as n, cast(0 as bigint) as request_id, false as hit, cast(0 as bigint) as expires from (select distinct digest from log)
-      union all
-      select l.digest, l.n, l.request_id, l.us < w.expires,
-        case when l.us < w.expires then w.expires when l.useful then l.us + {COOLDOWN_MS * 1000} else 0 end
-      from walk w join log l on l.digest = w.digest and l.n = w.n + 1)
-    """
-
-
-def _digested(spark, sf_dir):
-    reqs = view(spark, sf_dir, "requests").withColumn("max_results_raw", F.lit(5))
-    return reqs.select("request_id", "ts", "useful", digest_of(reqs).alias("digest"))
-
-
-def ttl_reuse(spark, sf_dir):
-    labelled = states.ttl_reuse(_digested(spark, sf_dir), COOLDOWN_MS)
-    return labelled.select("request_id", "digest", "hit")
-
-
-QUERIES["ttl_reuse"] = ttl_reuse
-ORACLE["ttl_reuse"] = sql(_REUSE_SQL + "select request_id, digest, hit from walk where n > 0", "requests")
-
-_NOW_US = 1_706_000_000_000_000
-
-
-def reuse_stats(spark, sf_dir):
-    return states.reuse_stats(states.ttl_reuse(_digested(spark, sf_dir), COOLDOWN_MS), _NOW_US)
-
-
-QUERIES["reuse_stats"] = reuse_stats
-ORACLE["reuse_stats"] = sql(
-    _REUSE_SQL
-    + f"""select count(*) filter (where e > {_NOW_US}) as entries, cast(sum(h) as bigint) as hits, cast(sum(m) as bigint) as misses
-    from (select digest, max(expires) as e, count(*) filter (where hit) as h, count(*) filter (where not hit) as m from walk where n > 0 group by digest)""",
-    "requests",
-)
-
 
 def failure_streaks(spark, sf_dir):
     return states.failure_streaks(view(spark, sf_dir, "attempts"))
@@ -121,8 +19,22 @@ def failure_streaks(spark, sf_dir):
 QUERIES["failure_streaks"] = failure_streaks
 ORACLE["failure_streaks"] = sql(
     f"""select provider, cast(island as bigint) as island, count(*) as failures, min(event_id) as first_event, min(us) as started_us, max(us) as ended_us
-    from (select provider, event_id, epoch_us(ts) as us, {_CODE_SQL} as code,
+    from (select provider, event_id, epoch_us(ts) as us, {CODE_SQL} as code,
             sum(case when ok then 1 else 0 end) over (partition by provider order by ts, event_id rows unbounded preceding) as island from attempts)
     where code = 2 group by provider, island""",
     "attempts",
 )
+
+OBSERVED_SQL = """select provider, case when category = 'circuit_open' then 'open' when coalesce(opened, -1) > coalesce(succeeded, -1) then 'half_open' else 'closed' end as circuit_state,
+      coalesce(tried = 'rate_limited', false) as rate_limited
+    from (select provider, arg_max_null(category, n) as category, max(n) filter (where category = 'circuit_open') as opened, max(n) filter (where ok) as succeeded,
+            arg_max_null(category, n) filter (where coalesce(category, '') <> 'circuit_open') as tried
+          from (select *, row_number() over (partition by provider order by ts, event_id) as n from attempts) group by provider)"""
+
+
+def observed_states(spark, sf_dir):
+    return states.observed_states(view(spark, sf_dir, "attempts"))
+
+
+QUERIES["observed_states"] = observed_states
+ORACLE["observed_states"] = sql(OBSERVED_SQL, "attempts")

@@ -14,7 +14,7 @@ from check import TABLES, rows_of
 SF = "/root/testdata/sf0.001"
 # one query per area; tools/check.py runs them all
 PICKED = [
-    "url_canonicalize", "admit_resolved", "fused_results", "silver_results", "text_clean", "request_digests", "provider_incidents", "reuse_lookup",
+    "url_canonicalize", "admit_resolved", "fused_results", "silver_results", "text_clean", "request_digests", "failure_streaks", "observed_states", "provider_status", "reuse_lookup",
     "search_summary", "remaining_providers", "checked_answers", "read_searxng", "challenge_pages", "stream_counters", "status_documents",
 ]
 

@@ -1,9 +1,10 @@
+import itertools
 import random
 
 import pytest
 
-from serploom.operators import ordered, routing, states
-from serploom.streaming import live, stateful
+from serploom.operators import routing, states
+from serploom.streaming import live
 
 CATEGORIES = [None, "timeout", "network", "authentication", "cancelled", "circuit_open"]
 
@@ -12,7 +13,7 @@ def attempt_log(seed, n, hot):
     rng, t, rows = random.Random(seed), 0.0, []
     for i in range(n):
         t += rng.choice([0.2, 1, 1, 3, 12])
-        category = rng.choice(CATEGORIES + ["timeout", "timeout"])
+        category = rng.choice(CATEGORIES + ["timeout", "timeout", "rate_limited"])
         provider = "tavily" if rng.random() < hot else rng.choice(["brave", "exa"])
         rows.append((i, provider, t, category is None, category, category != "circuit_open", rng.random() < 0.9))
     return rows
@@ -23,117 +24,44 @@ def as_table(spark, rows):
     return df.selectExpr("*", "timestamp_micros(1700000000000000 + bigint(t * 1000000)) as ts")
 
 
-def brute_breaker(rows, threshold, cooldown):
-    state, out = {}, {}
-    for i, p, t, ok, category, reached, charged in rows:
-        name, streak, opened = state.get(p, ("closed", 0, None))
-        if name == "open" and t - opened < cooldown:
-            out[i] = "open"
-            continue
-        label = "closed" if name == "closed" else "half_open"
-        none = not ok and (not reached or not charged or category == "cancelled")
-        transient = category in ("timeout", "network")
-        if none:
-            name = "closed" if label == "closed" else "half_open"
-        elif ok:
-            name, streak = "closed", 0
-        elif transient:
-            streak += 1
-            if label == "half_open" or streak >= threshold:
-                name, opened = "open", t
-        elif label == "half_open":
-            name, streak = "closed", 0
-        out[i] = label
-        state[p] = (name, streak, opened)
-    return out
-
-
-@pytest.mark.parametrize("seed,chunks", [(1, 1), (2, 9), (3, 40)])
-def test_incidents_in_chunks_equal_one_pass(spark, seed, chunks):
-    rows = attempt_log(seed, 600, 0.8)
-    df = as_table(spark, rows)
-    got = states.provider_incidents(df.repartition(5), 3, 10_000, chunks=chunks).collect()
-    assert {r.event_id: r.label for r in got} == brute_breaker(rows, 3, 10)
-
-
-def test_breaker_literal_sequence():
-    state, labels = ("closed", 0), []
-    for ts, code in [(0, 2), (1, 2), (2, 2), (10, 1), (32, 2), (40, 1), (63, 3), (64, 2)]:
-        label, state = states.breaker_step(state, ts, code, 3, 30)
-        labels.append(label)
-    assert labels == ["closed", "closed", "closed", "open", "half_open", "open", "half_open", "closed"]
-
-
-@pytest.mark.parametrize("seed,chunks", [(4, 1), (5, 12)])
-def test_reuse_in_chunks_equals_one_pass(spark, seed, chunks):
-    rng, t, rows, live_until, want = random.Random(seed), 0, [], {}, {}
-    for i in range(500):
-        t += rng.choice([1, 2, 7])
-        digest, useful = "hot" if rng.random() < 0.7 else f"d{rng.randint(0, 4)}", rng.random() < 0.7
-        rows.append((i, digest, t, useful))
-        want[i] = t < live_until.get(digest, -1)
-        if not want[i]:
-            live_until[digest] = t + 20 if useful else -1
-    df = spark.createDataFrame(rows, "request_id bigint, digest string, t bigint, useful boolean").selectExpr("*", "timestamp_seconds(1700000000 + t) as ts")
-    got = states.ttl_reuse(df.repartition(3), 20_000, chunks=chunks).collect()
-    assert {r.request_id: r.hit for r in got} == want
-
-
-def test_expiry_instant_is_a_miss():
-    assert states.reuse_step(100, 99, True, 50) == (True, 100)
-    assert states.reuse_step(100, 100, True, 50) == (False, 150)
-    assert states.reuse_step(0, 5, False, 50) == (False, 0)
-
-
-@pytest.mark.parametrize("chunks", [1, 11])
-def test_throttle_equals_one_pass(spark, chunks):
-    rng, t, rows = random.Random(7), 0, []
-    for i in range(500):
-        t += rng.choice([100, 400, 1500, 30_000])
-        rows.append((i, "tavily" if rng.random() < 0.8 else "brave", t))
-    want, state = {}, {}
-    for i, p, ms in rows:
-        # tokens in milliseconds of refill: whole numbers, so the border cases are exact
-        level, last, admitted = state.get(p, (4000, ms, None))
-        level = min(4000, level + ms - last)
-        ok = level >= 2000 and (admitted is None or ms - admitted >= 500)
-        want[i] = ok
-        state[p] = (level - 2000 if ok else level, ms, ms if ok else admitted)
-    df = spark.createDataFrame(rows, "event_id bigint, provider string, t bigint").selectExpr("*", "timestamp_millis(1700000000000 + t) as ts")
-    got = states.throttle_labels(df.repartition(4), 2, 30, 500, chunks=chunks).collect()
-    assert {r.event_id: r.admitted for r in got} == want
-
-
-def test_streaks_and_running_total(spark):
+@pytest.mark.parametrize("seed", [1, 2])
+def test_observed_states(spark, seed):
+    rows = attempt_log(seed, 300, 0.8)
+    got = {r.provider: (r.circuit_state, r.rate_limited) for r in states.observed_states(as_table(spark, rows).repartition(5)).collect()}
+    want = {}
+    for provider in {r[1] for r in rows}:
+        newest_first = [r for r in reversed(rows) if r[1] == provider]
+        since_success = [r[4] for r in itertools.takewhile(lambda r: not r[3], newest_first)]
+        tried = [r[4] for r in newest_first if r[4] != "circuit_open"]
+        state = "open" if newest_first[0][4] == "circuit_open" else "half_open" if "circuit_open" in since_success else "closed"
+        want[provider] = (state, bool(tried) and tried[0] == "rate_limited")
+    assert got == want
+
+
+@pytest.mark.parametrize("bucket_us", [1_000_000, 60_000_000, states.HOUR_US])
+def test_streaks(spark, bucket_us):
     rows = attempt_log(9, 400, 0.7)
-    got = {(r.provider, r.first_event): r.failures for r in states.failure_streaks(as_table(spark, rows), chunks=13).collect()}
+    got = {(r.provider, r.first_event): r.failures for r in states.failure_streaks(as_table(spark, rows), bucket_us=bucket_us).collect()}
     want, run = {}, {}
     for i, p, _, ok, category, reached, charged in rows:
         if ok:
             run.pop(p, None)
-        elif category in ("timeout", "network") and reached and charged:
+        elif category in ("timeout", "network", "rate_limited") and reached and charged:
             first = run.setdefault(p, i)
             want[(p, first)] = want.get((p, first), 0) + 1
     assert got == want
-    chunked = ordered.ordered_chunks(spark.range(100).selectExpr("'k' as key", "id"), "key", ["id"], 7)
-    from pyspark.sql import functions as F
 
-    total = ordered.running_total(chunked, "key", ["id"], F.col("id"), "s")
-    assert {r.id: r.s for r in total.collect()} == {i: i * (i + 1) // 2 for i in range(100)}
-    before = ordered.with_previous(chunked, "key", ["id"], "id", "p")
-    assert {r.id: r.p for r in before.collect()} == {i: i - 1 if i else None for i in range(100)}
 
-
-@pytest.mark.parametrize("chunks", [1, 10])
-def test_reuse_lookup_as_of(spark, chunks):
+@pytest.mark.parametrize("ttl", [3, 10, 1000])
+def test_reuse_lookup_as_of(spark, ttl):
     rng = random.Random(3)
     asked = [(f"d{rng.randint(0, 1)}", i, rng.randint(0, 300)) for i in range(200)]
     kept = [(f"d{rng.randint(0, 1)}", 1000 + i, rng.randint(0, 300)) for i in range(60)]
     requests = spark.createDataFrame(asked, "digest string, request_id bigint, t bigint").selectExpr("digest", "request_id", "timestamp_seconds(t) as ts")
     stored = spark.createDataFrame(kept, "digest string, answer_id bigint, t bigint").selectExpr("digest", "answer_id", "timestamp_seconds(t) as stored_at")
-    got = {r.request_id: r.answer_id for r in routing.reuse_lookup(requests, stored, 10_000, chunks=chunks).collect()}
+    got = {r.request_id: r.answer_id for r in routing.reuse_lookup(requests, stored, ttl * 1000).collect()}
     for digest, i, t in asked:
-        valid = [(s, a) for d, a, s in kept if d == digest and s <= t < s + 10]
+        valid = [(s, a) for d, a, s in kept if d == digest and s <= t < s + ttl]
         assert got[i] == (max(valid)[1] if valid else None)
 
 
@@ -167,13 +95,3 @@ def test_live_fusion_appends_batches(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     want = fusion.fuse(rows).collect()
     assert [(r.canonical_url, r.score) for r in got] == [(r.canonical_url, r.score) for r in want]
-
-
-def test_stream_incidents_over_several_batches(spark, tmp_path):
-    rows = attempt_log(11, 120, 0.6)
-    table = as_table(spark, rows)
-    for part in range(3):
-        table.filter(f"event_id div 40 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = live.run_through(stateful.stream_incidents(stream, 3, 10_000), "incidents").collect()
-    assert {r.event_id: r.label for r in got} == brute_breaker(rows, 3, 10)
