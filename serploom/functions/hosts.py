@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from serploom import dims
 from serploom.functions.urls import bind, url_authority, url_host, url_scheme
@@ -82,20 +78,39 @@ def _ipv4_rules(number: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.BinaryType())
-def _v6_bytes(addresses: pd.Series) -> pd.Series:
-    def pack(text):
-        try:
-            return ipaddress.IPv6Address(text).packed if text and "%" not in text else None
-        except ValueError:
-            return None
+_GROUPS = "[0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4})*"
 
-    return addresses.map(pack)
 
+def with_ipv6_hex(df: DataFrame, ip: str, out: str) -> DataFrame:
+    """Adds the 32 upper-case hex digits of a v6 address, NULL when it is not strictly one or names a zone.
 
-def ipv6_bytes(ip: Column) -> Column:
-    """Sixteen bytes of a v6 address (Arrow UDF: Spark cannot parse the compressed form)."""
-    return _v6_bytes(ip)
+    A dotted tail becomes two groups; each side of ``::`` is padded to four digits a group, and zeros
+    fill what is left between the sides.
+    """
+    c = F.col
+    last = F.substring_index(c(ip), ":", -1)
+    octet = lambda i: F.lpad(F.hex(F.get(F.split(last, r"\."), F.lit(i)).try_cast("int")), 2, "0")
+    head = F.substring(c(ip), F.lit(1), F.length(ip) - F.length(last))
+    df = df.withColumn(
+        "_groups",
+        F.when(~c(ip).contains("."), c(ip))
+        .when(last.rlike(_STRICT_QUAD), F.concat(head, octet(0), octet(1), F.lit(":"), octet(2), octet(3))),
+    )
+    df = df.withColumn("_right_at", F.instr("_groups", "::"))
+    short = c("_right_at") > 0
+    df = df.withColumns(
+        {
+            "_left": F.when(short, F.substring(c("_groups"), F.lit(1), c("_right_at") - 1)).otherwise(c("_groups")),
+            "_right": F.when(short, F.expr("substr(_groups, _right_at + 2)")).otherwise(""),
+        }
+    )
+    padded = lambda side: F.regexp_replace(F.regexp_replace(c(side), "([^:]+)", "000$1"), "[^:]*([^:]{4})(:|$)", "$1")
+    valid = c("_left").rlike(f"^({_GROUPS})?$") & c("_right").rlike(f"^({_GROUPS})?$")
+    df = df.withColumns({"_left": F.when(valid, padded("_left")), "_right": F.when(valid, padded("_right"))})
+    missing = F.lit(32) - F.length("_left") - F.length("_right")
+    fits = F.when(short, missing >= 4).otherwise(missing == 0)
+    df = df.withColumn(out, F.when(fits, F.upper(F.concat(c("_left"), F.repeat(F.lit("0"), missing), c("_right")))))
+    return df.drop("_groups", "_right_at", "_left", "_right")
 
 
 def _byte(hexed: Column, i: int) -> Column:
@@ -149,33 +164,19 @@ def ipv4_text(number: Column) -> Column:
 
 
 def with_ip_class(df: DataFrame, ip: str, out: str = "ip_class") -> DataFrame:
-    """Adds the class (``public`` when none applies, NULL when unparseable) and ``embedded_ip``.
-
-    v4 stays native; only rows with a colon go through Python.
-    """
+    """Adds the class (``public`` when none applies, NULL when unparseable) and ``embedded_ip``."""
     is_v6 = F.col(ip).contains(":")
-    v4 = df.filter(~F.coalesce(is_v6, F.lit(False))).withColumn("_n", ipv4_number(F.col(ip)))
-    v4 = v4.withColumns(
-        {
-            out: F.when(
-                F.col("_n").isNotNull(), F.coalesce(ipv4_class(F.col("_n")), F.lit("public"))
-            ),
-            "embedded_ip": F.lit(None).cast("string"),
-        }
-    ).drop("_n")
-    v6 = df.filter(is_v6).withColumn("_h", F.hex(ipv6_bytes(F.col(ip))))
-    v6 = v6.withColumn("_e", embedded_ipv4(F.col("_h")))
-    direct = ipv6_class(F.col("_h"))
+    df = df.withColumns({"_n": F.when(~is_v6, ipv4_number(F.col(ip))), "_v6": F.when(is_v6, F.col(ip))})
+    df = with_ipv6_hex(df, "_v6", "_h").withColumn("_e", embedded_ipv4(F.col("_h")))
+    direct = F.coalesce(ipv4_class(F.col("_n")), ipv6_class(F.col("_h")))
     inner = F.when(ipv4_class(F.col("_e")).isNotNull(), F.lit("embedded"))
-    v6 = v6.withColumns(
+    parsed = F.col("_n").isNotNull() | F.col("_h").isNotNull()
+    return df.withColumns(
         {
-            out: F.when(
-                F.col("_h").isNotNull(), F.coalesce(direct, inner, F.lit("public"))
-            ),
+            out: F.when(parsed, F.coalesce(direct, inner, F.lit("public"))),
             "embedded_ip": F.when(F.col("_e").isNotNull(), ipv4_text(F.col("_e"))),
         }
-    ).drop("_h", "_e")
-    return v4.unionByName(v6)
+    ).drop("_n", "_v6", "_h", "_e")
 
 
 def denial(host: Column, ip_class: Column, embedded_ip: Column) -> Column:
@@ -257,10 +258,10 @@ def admit_resolved(urls: DataFrame, addresses: DataFrame, host: str = "host") ->
     """
     judged = with_ip_class(addresses, "ip", "_class")
     reason = denial(F.col("host"), F.col("_class"), F.col("embedded_ip"))
-    judged = judged.select(
-        F.col("host").alias("_host"), F.struct(F.col("position"), reason.alias("reason")).alias("v")
-    ).filter(F.col("v.reason").isNotNull())
-    verdicts = judged.groupBy("_host").agg(F.min("v").alias("v"))
+    # no filter on the reason: it would be pushed below the staged parsing with all stages inlined
+    judged = judged.select(F.col("host").alias("_host"), "position", reason.alias("reason"))
+    denied = F.when(F.col("reason").isNotNull(), F.struct("position", "reason"))
+    verdicts = judged.groupBy("_host").agg(F.min(denied).alias("v"))
     return (
         urls.join(verdicts, F.col(host) == F.col("_host"), "left")
         .withColumn("resolved_reason", F.col("v.reason"))

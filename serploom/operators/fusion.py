@@ -43,7 +43,8 @@ def best_rank_votes(results: DataFrame) -> DataFrame:
     )
     keys = ["query_id", "canonical_url", "provider"]
     limits = [F.max("result_limit").alias("result_limit")] if "result_limit" in results.columns else []
-    return results.groupBy(*keys).agg(F.min(vote).alias("_vote"), *limits).select(
+    # strings can't be reduced in a hash aggregation; with a number in front, sorting compares numbers
+    return results.groupBy(F.xxhash64(*keys).alias("_number"), *keys).agg(F.min(vote).alias("_vote"), *limits).select(
         *keys, "_vote.*", *(["result_limit"] if limits else [])
     ).drop("_text")
 

@@ -21,6 +21,15 @@ def _latest(value: str, when: Column, order: Column) -> Column:
     return F.max(F.when(when, F.struct(order.alias("at"), F.col(value).alias("value"))))["value"]
 
 
+def _seen(value: str) -> Column:
+    """The distinct values of a closed list, in order.
+
+    With a set among them, Spark keeps all aggregates of a group as objects in memory; without one it
+    would sort the whole log to take the newest row of a few groups.
+    """
+    return F.array_join(F.sort_array(F.collect_set(value)), ",")
+
+
 def provider_counters(attempts: DataFrame) -> DataFrame:
     """Requests, outcomes, latency and last-seen values per provider.
 
@@ -43,6 +52,7 @@ def provider_counters(attempts: DataFrame) -> DataFrame:
         F.max(F.when(failed, F.col("ts"))).alias("last_failure_at"),
         _latest("message", failed, order).alias("last_error"),
         _latest("category", failed, order).alias("last_error_category"),
+        _seen("category").alias("categories"),
     )
 
 
@@ -85,6 +95,7 @@ def probe_status(probes: DataFrame, settings: DataFrame) -> DataFrame:
         F.max_by("result_count", order).alias("last_result_count"),
         F.max_by(F.struct("category"), order)["category"].alias("last_error_category"),
         F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_success_at"),
+        _seen("category").alias("categories"),
     )
     facts = dims.providers(probes.sparkSession).select(
         "provider",
@@ -119,6 +130,7 @@ def node_status(probes: DataFrame) -> DataFrame:
         F.count_if(~up).alias("failures"),
         F.max(F.when(up, F.col("ts"))).alias("last_success_at"),
         F.max_by(newest, order).alias("_newest"),
+        _seen("state").alias("states"),
     )
     rate = F.round((F.col("checks") - F.col("failures")) / F.col("checks"), 6)
     return folded.select("*", "_newest.*", rate.alias("success_rate")).drop("_newest")

@@ -35,7 +35,8 @@ _COUNTERS_SQL = f"""select provider, count(*) filter (where reached_network) as
     coalesce(cast(sum(latency_ms) filter (where ok) // nullif(count(*) filter (where ok), 0) as bigint), 0) as average_latency_ms,
     arg_max(latency_ms, ts) filter (where ok) as last_latency_ms, arg_max(result_count, ts) filter (where ok) as last_result_count,
     strftime(max(ts) filter (where ok), '%Y-%m-%dT%H:%M:%S.%gZ') as last_success_at, strftime(max(ts) filter (where {_FAILED_SQL}), '%Y-%m-%dT%H:%M:%S.%gZ') as last_failure_at,
-    arg_max(message, ts) filter (where {_FAILED_SQL}) as last_error, arg_max(category, ts) filter (where {_FAILED_SQL}) as last_error_category
+    arg_max(message, ts) filter (where {_FAILED_SQL}) as last_error, arg_max(category, ts) filter (where {_FAILED_SQL}) as last_error_category,
+    coalesce(string_agg(distinct category, ',' order by category), '') as categories
     from attempts group by provider"""
 _STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
@@ -71,10 +72,11 @@ ORACLE["provider_status"] = sql(_STATUS_SQL, "attempts")
 
 _PROBE_STATES = """select s.provider, case when healthy then 'OK' when not healthy then 'FAIL' when not enabled then 'OFF' when configured then 'IDLE' else 'NO KEY' end as state,
       case when f.is_scraper then 'scraper' when f.is_aggregator then 'aggregator' when f.is_independent then 'index' else 'search' end as kind,
-      probes, successes, failures, average_latency_ms, last_result_count, last_error_category, coalesce(round(successes / (successes + failures), 6), 0.0) as success_rate
+      probes, successes, failures, average_latency_ms, last_result_count, last_error_category, categories, coalesce(round(successes / (successes + failures), 6), 0.0) as success_rate
     from {settings} join {facts} using (provider) left join (select provider, count(*) as probes, count(*) filter (where ok) as successes, count(*) filter (where not ok) as failures,
       cast(sum(latency_ms) filter (where ok) // count(*) filter (where ok) as bigint) as average_latency_ms, arg_max(ok, ts) as healthy,
-      arg_max(result_count, ts) as last_result_count, arg_max_null(category, ts) as last_error_category from attempts group by provider) p using (provider)"""
+      arg_max(result_count, ts) as last_result_count, arg_max_null(category, ts) as last_error_category,
+      coalesce(string_agg(distinct category, ',' order by category), '') as categories from attempts group by provider) p using (provider)"""
 _PROBE_SQL = _PROBE_STATES.format(settings=_SETTINGS_SQL, facts=_FACTS_SQL)
 
 
@@ -85,7 +87,7 @@ def _probes(spark, sf_dir):
 def probe_status(spark, sf_dir):
     return _probes(spark, sf_dir).select(
         "provider", "state", "kind", "probes", "successes", "failures", "average_latency_ms", "last_result_count",
-        "last_error_category", "success_rate",
+        "last_error_category", "categories", "success_rate",
     )
 
 
@@ -114,7 +116,7 @@ QUERIES["node_probe_states"] = node_probe_states
 ORACLE["node_probe_states"] = sql(
     f"select event_id, node, state, error, latency_ms, result_count, engines, unavailable_engines from ({_READ_PROBES_SQL})", "node_probes"
 )
-_NODES_SQL = f"""select node, bool_or(is_local) as is_local, count(*) as checks, count(*) filter (where state <> 'up') as failures, arg_max(state, ts) as state,
+_NODES_SQL = f"""select node, bool_or(is_local) as is_local, count(*) as checks, count(*) filter (where state <> 'up') as failures, arg_max(state, ts) as state, coalesce(string_agg(distinct state, ',' order by state), '') as states,
       arg_max_null(latency_ms, ts) as latency_ms, arg_max(result_count, ts) as result_count, arg_max(engines, ts) as engines, arg_max(unavailable_engines, ts) as unavailable_engines,
       arg_max_null(error, ts) as error, strftime(max(ts) filter (where state = 'up'), '%Y-%m-%dT%H:%M:%S.%gZ') as last_success_at,
       round((count(*) - count(*) filter (where state <> 'up')) / count(*), 6) as success_rate from ({_READ_PROBES_SQL}) group by node"""

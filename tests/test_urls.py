@@ -1,3 +1,6 @@
+import ipaddress
+import random
+
 from pyspark.sql import functions as F
 
 from serploom.functions import hosts, urls
@@ -91,6 +94,27 @@ def test_addresses(spark):
     assert got == cases
 
 
+def test_v6_digits_equal_the_standard_library(spark):
+    rng = random.Random(5)
+    spelled = [
+        "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8::", "1::2::3", ":::", "::", ":1::", "1:::2", "12345::", "::fe80%eth0", "1:2",
+        "::1.2.3.4", "::1.2.3.04", "::1.2.3", "::1.2.3.256", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "::1.2.3.4:5", "1.2.3.4::", ":", "1:", ":1", "g::", "0000::00001", "ABCD::ef", "::1.2.3.4.5",
+    ]
+    spelled += [":".join(rng.choice(["", "0", "a", "1f", "12ab", "FFFF", "9.9.9.9", "00000"]) for _ in range(rng.randint(2, 10))) for _ in range(1500)]
+
+    def digits(text):
+        try:
+            return ipaddress.IPv6Address(text).packed.hex().upper() if "%" not in text else None
+        except ValueError:
+            return None
+
+    df = spark.createDataFrame([(x,) for x in {*spelled, *(x.replace(":0", ":", 2) for x in spelled)}], "ip string")
+    wrong = [(r.ip, r.h, digits(r.ip)) for r in hosts.with_ipv6_hex(df, "ip", "h").collect() if r.h != digits(r.ip)]
+    assert wrong == []
+    plan = hosts.with_ip_class(df, "ip")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Union" not in plan
+
+
 def test_url_admission(spark):
     cases = {
         "https://example.com/x": True, "http://8.8.8.8/": True, "ftp://example.com/": False, "https://localhost/": False,
