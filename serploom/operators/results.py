@@ -20,7 +20,9 @@ def drop_invalid(
     ``raw`` has ``url``, ``title``, ``snippet`` and optionally ``content``; domain rules are the name of
     an array column or a plain list. No shuffle: a projection and a filter.
     """
-    df = raw.withColumn("url", urls.repair_url(F.col("url"))).filter(F.col("url").isNotNull())
+    # a generator of one value: filters stay above it, so the repair is evaluated once and not pushed into them
+    repaired = F.explode(F.array(urls.repair_url(F.col("url")))).alias("url")
+    df = raw.select(*[repaired if c == "url" else F.col(c) for c in raw.columns]).filter(F.col("url").isNotNull())
     if include or exclude:
         named = lambda rules: F.col(rules) if isinstance(rules, str) else list(rules or [])
         host = urls.url_host(F.col("url"))

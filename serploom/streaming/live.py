@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from serploom import dims
 from serploom.operators import fusion, health
@@ -68,11 +69,22 @@ def fuse_batches(
     results: DataFrame, path: str, progress: str, every: str | None = None,
     fuse: Callable[[DataFrame], DataFrame] = fusion.fuse,
 ) -> StreamingQuery:
-    """Fuses the queries that arrive complete in a micro-batch and appends them."""
+    """Fuses the queries that a micro-batch adds rows to, over all their rows so far.
+
+    Arriving rows are kept under ``path/rows``, fused lists under ``path/fused``, one folder per batch, so
+    a batch that is replayed replaces its own. ``fused_so_far`` reads the newest list of each query: rows
+    of one query that arrive in several batches meet, and end as the batch form would have them.
+    """
+    spark = results.sparkSession
+    kept_schema = StructType([*results.schema.fields, StructField("batch", LongType())])
 
     def write(batch: DataFrame, number: int) -> None:
-        # one folder per batch number: a batch that is replayed replaces its own rows
-        fuse(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        rows = spark.read.schema(kept_schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+        rows = rows.filter(F.col("batch") <= number)
+        touched = rows.filter(F.col("batch") == number).select("query_id").distinct()
+        known = rows.drop("batch").join(touched, "query_id", "left_semi")
+        fuse(known).write.mode("overwrite").parquet(f"{path}/fused/batch={number}")
 
     return (
         results.writeStream.foreachBatch(write)
@@ -82,6 +94,13 @@ def fuse_batches(
     )
 
 
+def fused_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """The newest fused list of every query that ``fuse_batches`` wrote."""
+    lists = spark.read.option("basePath", f"{path}/fused").parquet(f"{path}/fused")
+    newest = lists.groupBy("query_id").agg(F.max("batch").alias("batch"))
+    return lists.join(newest, ["query_id", "batch"], "left_semi").drop("batch")
+
+
 def stream_fan_in(assigned: DataFrame, responses: DataFrame, delay: str = "1 minute") -> DataFrame:
     """Interval left outer join of assigned providers and their responses.
 

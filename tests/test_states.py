@@ -83,15 +83,22 @@ def test_fan_in_stream_settles_what_the_watermark_passed(spark, tmp_path):
     assert got == batch
 
 
-def test_live_fusion_appends_batches(spark, tmp_path):
+def test_live_fusion_joins_what_arrives_in_several_batches(spark, tmp_path):
     from serploom.functions.urls import with_canonical_url
     from serploom.operators import fusion
 
-    rows = spark.createDataFrame([(1, "tavily", 1, "A", "https://a.com/"), (1, "brave", 1, "A", "https://a.com")], "query_id bigint, provider string, provider_rank int, title string, url string")
-    rows = with_canonical_url(rows, "url", host_out="host")
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    parts = [
+        [(1, "tavily", 1, "A", "https://a.com/"), (2, "tavily", 1, "C", "https://c.com/")],
+        [(1, "brave", 1, "A", "https://a.com"), (1, "brave", 2, "B", "https://b.com")],
+        [(3, "exa", 1, "D", "https://d.com")],
+    ]
+    schema = "query_id bigint, provider string, provider_rank int, title string, url string"
+    for part in parts:
+        rows = with_canonical_url(spark.createDataFrame(part, schema), "url", host_out="host")
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    every = spark.read.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     live.fuse_batches(stream, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).collect()
-    want = fusion.fuse(rows).collect()
-    assert [(r.canonical_url, r.score) for r in got] == [(r.canonical_url, r.score) for r in want]
+    assert len(list((tmp_path / "out" / "fused").glob("batch=*"))) == 3
+    shown = lambda df: sorted((r.query_id, r.rank, r.canonical_url, r.score, r.corroborated) for r in df.collect())
+    assert shown(live.fused_so_far(spark, str(tmp_path / "out"))) == shown(fusion.fuse(every))
