@@ -25,7 +25,8 @@ def _seen(value: str) -> Column:
     """The distinct values of a closed list, in order.
 
     With a set among them, Spark keeps all aggregates of a group as objects in memory; without one it
-    would sort the whole log to take the newest row of a few groups.
+    would sort the whole log to take the newest row of a few groups. (A caller that drops this column loses
+    that: the optimizer prunes the set.)
     """
     return F.array_join(F.sort_array(F.collect_set(value)), ",")
 
