@@ -107,21 +107,21 @@ def named_literals(text: str) -> list[tuple[int, int, str, float]]:
     if not pairs:
         return []
     held: dict[str, list[tuple[str, int, int]]] = {}
-    feeds: dict[str, list[str]] = {}
+    fed_by: dict[str, list[str]] = {}
     for name, literals, names in pairs:
         held.setdefault(name, []).extend(literals)
-        for n in names:
-            feeds.setdefault(n, []).append(name)
+        fed_by.setdefault(name, []).extend(names)
+    # the most sensitive name that each constant flows into: from the best target back, each name is met once
+    reached: dict[str, tuple[float, str]] = {}
+    for top, name in sorted(((name_score(n), n) for n in held), reverse=True):
+        todo = [name] if top else []
+        while todo:
+            if (source := todo.pop()) not in reached:
+                reached[source] = (top, name)
+                todo += fed_by.get(source, ())
     best: dict[tuple[int, int], tuple[float, str]] = {}
     for source, literals in held.items():
-        # every name that the constant flows into
-        reach, todo = {source}, [source]
-        while todo:
-            for target in feeds.get(todo.pop(), ()):
-                if target not in reach:
-                    reach.add(target)
-                    todo.append(target)
-        top, name = max((name_score(n), n) for n in reach)
+        top, name = reached.get(source, (0.0, ""))
         if not top:
             continue
         for value, start, end in literals:

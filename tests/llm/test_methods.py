@@ -232,6 +232,31 @@ def test_constants_reach_sensitive_names():
     assert secret_scan.spans_of("It was said: the token of the day. Time: 10:30, see http://a.b/c?d=e".encode()) == []
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c", "d", "salt", "auth", "db_password"]), st.sampled_from(["a", "b", "c", "d", "salt", "auth", '"Zx81kQ0vLm2Pq"', '"Kq7_ws90Lm33x"'])), max_size=12))
+def test_constants_take_the_most_sensitive_name(lines):
+    text = "".join(f"{name} = {value}\n" for name, value in lines)
+    names = {name for name, _ in lines}
+    want, at = [], 0
+    for name, value in lines:
+        reach = {name}
+        for _ in lines:
+            reach |= {n for n, v in lines if v in reach}
+        start = at + len(name) + 4
+        top, best = max((secret_scan.name_score(n), n) for n in reach & names)
+        if value[0] == '"' and top >= secret_scan.MIN_SCORE:
+            want.append((start, start + len(value) - 2, best, top))
+        at += len(name) + len(value) + 4
+    assert secret_scan.named_literals(text) == want
+
+
+def test_long_chain_of_constants():
+    n = 20_000
+    text = "".join(f'c{i} = "Zx81kQ0vLm2P{i}"\nc{i + 1} = c{i}\n' for i in range(n)) + f"db_password = c{n}\n"
+    found = secret_scan.named_literals(text)  # walking on from every constant would take 200 million steps
+    assert len(found) == n and {x[2] for x in found} == {"db_password"}
+
+
 # --- 6 language models
 
 
