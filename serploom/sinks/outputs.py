@@ -221,10 +221,10 @@ def status_cards(status: DataFrame) -> DataFrame:
 
 
 def write_documents(documents: DataFrame, path: str, files: int | None = None) -> None:
-    """Writes documents or cards as parquet, replacing what was there."""
+    """Writes documents or cards as parquet, replacing what was there; ``files`` sets how many files there are.
+
+    The documents are dealt out anew for that, so that building them keeps its parallelism.
+    """
     if files:
-        documents = documents.coalesce(files)
+        documents = documents.repartition(files)
     documents.write.mode("overwrite").parquet(path)
-
-
-write_search = write_answers = write_pages = write_status = write_documents

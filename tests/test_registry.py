@@ -10,12 +10,14 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as entry
 from check import TABLES, rows_of
+from serploom.sinks.outputs import write_documents
 
 SF = "/root/testdata/sf0.001"
 # one query per area; tools/check.py runs them all
 PICKED = [
     "url_canonicalize", "admit_resolved", "fused_results", "silver_results", "text_clean", "request_digests", "failure_streaks", "observed_states", "provider_status", "reuse_lookup",
     "search_summary", "remaining_providers", "checked_answers", "read_searxng", "challenge_pages", "stream_counters", "status_documents",
+    "payload_fusion",
 ]
 
 
@@ -43,6 +45,22 @@ def test_flagship(spark):
     assert entry.entry(spark).limit(1).count() == 1
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_documents_from_payloads_are_written_and_read_back(spark, tmp_path):
+    path = str(tmp_path / "documents")
+    write_documents(entry.queries()["payload_documents"](spark, SF), path, files=3)
+    written = spark.read.parquet(path)
+    assert len(list((tmp_path / "documents").glob("part-*"))) == 3
+    con = duckdb.connect()
+    for table in TABLES:
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    want = dict(con.execute(entry.oracle_sql()["payload_documents"]).fetchall())
+    assert {r.query_id: r.document for r in written.collect()} == want
+    # writing again replaces what was there
+    write_documents(spark.createDataFrame([(1, "{}")], "query_id bigint, document string"), path)
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(1, "{}")]
+
+
 def test_registry_needs_no_session():
     import subprocess
 
