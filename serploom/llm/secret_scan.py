@@ -4,7 +4,8 @@ A text is read as source and configuration syntax: assignments ``name = literal`
 ``name => literal``, ``"name": literal`` and ``<name>literal</name>`` become name-literal pairs. Names
 assigned from other names or joined literals (``a = b``, ``a = "x" + b``) take over the constants they
 stand for. A literal is scored by how sensitive the target names are that it reaches and by whether it
-looks like a placeholder. Three fixed kinds (assign, access, hex) are found besides, whatever the score.
+looks like a placeholder. An unquoted value that is no name is one literal up to white space, a quote, a
+bracket, a comma or a semicolon, so ``- / + = & #`` belong to it. Three fixed kinds (assign, access, hex) are found besides, whatever the score.
 
 Spans count code points, end exclusive. Defined results: a null or empty text has no spans; a span found
 as several kinds is listed once per kind; repeated rows are scanned each by itself; extra columns stay
@@ -46,11 +47,17 @@ MIN_SCORE = 0.75
 MIN_LITERAL = 8
 
 _NAME = r"[A-Za-z_$@][A-Za-z0-9_$.@-]{0,99}"
+_STOP = r"\s\"';,{}()<>\[\]"
+_REFERENCE = r"[A-Za-z_$][A-Za-z0-9_$.]*+"
+_HEAD = rf"""(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?:\[["'](?P<sub>[A-Za-z0-9_.-]+)["']\])?[\x20\t]*(?P<op>:=|=>|[=:](?!=))[\x20\t]*"""
+# an unquoted value is a reference, or some joined, only if nothing else stands before its end; else it is one literal
 _PAIR = re.compile(
-    rf"""(?P<q>["']?)(?P<name>{_NAME})(?P=q)(?:\[["'](?P<sub>[A-Za-z0-9_.-]+)["']\])?[\x20\t]*(?P<op>:=|=>|[=:](?!=))[\x20\t]*"""
-    r"""(?P<value>(?:(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_$][A-Za-z0-9_$.]*)(?:[\x20\t]*[+][\x20\t]*)?)+|[^\s"'#;,{}()<>\[\]]+)""",
+    rf"""{_HEAD}(?:(?!{_REFERENCE}(?:[+]{_REFERENCE})*+[+]?(?![^{_STOP}]))(?P<whole>[^#{_STOP}][^{_STOP}]*)"""
+    rf"""|(?P<value>(?:(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|{_REFERENCE})(?:[\x20\t]*[+][\x20\t]*)?)+))""",
     re.ASCII,
 )
+#: pairs inside an unquoted literal, as in ``url=http://h/?user=u&token=t``
+_INNER = re.compile(rf"(?<=(?P<by>[&?|/:!*%^~\\+-]))(?P<name>{_NAME}):?=(?!=)", re.ASCII)
 _ELEMENT = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\s]+)</(?P=name)>", re.ASCII)
 _PIECE = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z_$][A-Za-z0-9_$.]*)""", re.ASCII)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
@@ -76,28 +83,44 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 2.5) if kinds > 1 or entropy > 3.2 else 0.3
 
 
-def _pairs(text: str) -> list[tuple[str, list[tuple[str, int, int]], list[str]]]:
-    """Per assignment: name, its literals with places, and the names it refers to."""
+def _inner(text: str, start: int, end: int) -> list[tuple]:
+    """Pairs inside an unquoted literal; a value ends where the next pair behind the same separator begins."""
+    out, last = [], {}
+    for m in reversed(list(_INNER.finditer(text, start, end))):
+        by = "&" if m["by"] == "?" else m["by"]
+        to = last.get(by, end + 1) - 1
+        if m.end() < to:
+            value = text[m.end() : to]
+            out.append((m["name"], [(value, m.end(), to, [value])], [value]))
+        last[by] = m.start()
+    return out[::-1]
+
+
+def _pairs(text: str) -> list[tuple[str, list[tuple[str, int, int, list[str]]], list[str]]]:
+    """Per assignment: name, its literals with places and the names they may be instead, and the names it refers to."""
     out = []
     for m in _PAIR.finditer(text):
         name = f"{m['name']}.{m['sub']}" if m["sub"] else m["name"]
-        literals, names, at = [], [], m.start("value")
-        value = m["value"]
+        literals, names, part = [], [], "value" if m["whole"] is None else "whole"
+        value, at = m[part], m.start(part)
+        if part == "whole":
+            out += _inner(text, at, m.end(part))
         if m["op"] == ":" and value[0] not in "\"'" and not m["q"] and text[max(0, m.start() - 1)] not in "\n{, \t":
             continue
-        quoted = list(_PIECE.finditer(value)) if value[0] in "\"'" or "+" in value else []
+        quoted = list(_PIECE.finditer(value)) if part == "value" and (value[0] in "\"'" or "+" in value) else []
         for p in quoted:
             if p[3] is not None:
                 names.append(p[3])
             else:
                 k = 1 if p[1] is not None else 2
-                literals.append((p[k], at + p.start(k), at + p.end(k)))
+                literals.append((p[k], at + p.start(k), at + p.end(k), [p[k]]))
         if not quoted:
-            literals.append((value, at, at + len(value)))
             names.append(value)
+        if len(names) and not literals and not re.search(r"\s", value):  # also +, which base64 has as well
+            literals.append((value, at, at + len(value), list(names)))
         out.append((name, literals, names))
     for m in _ELEMENT.finditer(text):
-        out.append((m["name"], [(m["value"], m.start("value"), m.end("value"))], []))
+        out.append((m["name"], [(m["value"], m.start("value"), m.end("value"), [m["value"]])], []))
     return out
 
 
@@ -106,7 +129,7 @@ def named_literals(text: str) -> list[tuple[int, int, str, float]]:
     pairs = _pairs(text)
     if not pairs:
         return []
-    held: dict[str, list[tuple[str, int, int]]] = {}
+    held: dict[str, list[tuple[str, int, int, list[str]]]] = {}
     fed_by: dict[str, list[str]] = {}
     for name, literals, names in pairs:
         held.setdefault(name, []).extend(literals)
@@ -124,9 +147,9 @@ def named_literals(text: str) -> list[tuple[int, int, str, float]]:
         top, name = reached.get(source, (0.0, ""))
         if not top:
             continue
-        for value, start, end in literals:
+        for value, start, end, also in literals:
             score = top * literal_score(value)
-            if score >= MIN_SCORE and value not in held and (score, name) > best.get((start, end), (0.0, "")):
+            if score >= MIN_SCORE and not any(n in held for n in also) and (score, name) > best.get((start, end), (0.0, "")):
                 best[(start, end)] = (score, name)
     return [(s, e, name, round(score, 6)) for (s, e), (score, name) in sorted(best.items())]
 

@@ -257,6 +257,30 @@ def test_long_chain_of_constants():
     assert len(found) == n and {x[2] for x in found} == {"db_password"}
 
 
+@pytest.mark.parametrize("line, value", [
+    ("AUTH_KEY=sk-live-9f8a7b6c5d4e", "sk-live-9f8a7b6c5d4e"),
+    ("export private_key=MIIEvQ/IBADANBg+kqhkiG9w0==", "MIIEvQ/IBADANBg+kqhkiG9w0=="),
+    ("signing_key=QUJDREVG+a1b2c3", "QUJDREVG+a1b2c3"),
+    ("db_pwd: Tr0ub4dor&3xyz", "Tr0ub4dor&3xyz"),
+    ("  client_pwd: Tr0ub#4d=or-3 # note", "Tr0ub#4d=or-3"),
+    ("signing_key=9fA-live-abc", "9fA-live-abc"),
+    ("url=http://h.example/p?user=bob&auth_key=sk-live=9f8a7b6c&n=1", "sk-live=9f8a7b6c"),
+    ("a = db_pwd = Zx81-kQ0v/Lm2Pq;", None),
+])
+def test_unquoted_literals_are_read_whole(line, value):
+    text = f"x: 1\n{line}\ny=2\n"
+    found = [text[x[3] : x[4]] for x in secret_scan.spans_of(text.encode())]
+    assert found == ([value] if value else [])
+    if value:
+        assert secret_scan.masked(text.encode(), secret_scan.spans_of(text.encode())) == text.replace(value, secret_scan.MASK)
+
+
+def test_unquoted_names_stay_references():
+    text = 'part = "Zx81kQ0vLm2Pq"\nrest = "Kq7_ws90Lm33x"\ndb_pwd = part+rest\nauth_key=part\n'
+    assert [(text[s:e], n) for s, e, n, _ in secret_scan.named_literals(text)] == [("Zx81kQ0vLm2Pq", "auth_key"), ("Kq7_ws90Lm33x", "db_pwd")]
+    assert len(secret_scan.named_literals("x=" + "&auth_key=sk-live-9f8a7b" * 40_000)) == 40_000  # linear in the literal
+
+
 # --- 6 language models
 
 
