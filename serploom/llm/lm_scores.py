@@ -6,10 +6,11 @@ leave and p(w) = (c(w) + A) / (N + A (V + 1)) with one entry for unknown words.
 mean over its words of target loss less background loss (natural logarithm): the lower, the more it is like
 the target.
 
-Counts cover all documents. The vocabulary has the words that make up ``MIN_SHARE`` of the running text or
-more, and the list the bigrams that do; so neither can have more than 1 / MIN_SHARE entries, whatever the
-input, which bounds what is sent to the driver and broadcast. A listed bigram has only listed words, so
-bigrams with others need not be counted. Counts are summed within batches before they are shuffled.
+Counts cover all documents, and every word and bigram met ``MIN_COUNT`` times or more is listed, however many
+there are. (A bigram met that often has words met that often, so bigrams are counted without the vocabulary.)
+A document's log probability is a sum over its words and listed bigrams, so the model is a written table of
+hashed keys and what each adds. Entries with ``MIN_SHARE`` of the running text or more, of which there can only
+be a fixed number, are broadcast; a document's other keys are joined with the table and summed by document.
 
 Defined results: a null or empty text has 0 words and null losses; without target documents the target model
 is uniform over the vocabulary; documents without an id are no targets; repeated rows count as often as they
@@ -22,119 +23,65 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from serploom.llm.common import WordHashes, bytes_of, fresh, landed, words_of
 
+#: share of the running text from which on an entry is broadcast instead of joined; it changes no result
 MIN_SHARE = 2e-6
 MIN_COUNT = 2
 INTERPOLATION = 0.6
 ADDED = 0.5
+DIGITS = 12
 
-_UNIGRAM = np.int64(1) << np.int64(62)
-_MODELS: dict[str, object] = {}
+_TURN = 23
+_LAST = np.uint64(0x9E3779B97F4A7C15)
+_MODELS: dict[str, tuple] = {}
 
 
-def _batch_hashes(texts: pa.Array, hashes_of: WordHashes) -> list[np.ndarray]:
-    return [hashes_of(words_of(t.as_py())) for t in texts]
+def pair_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of neighbouring words: the hash of the first, turned, and that of the second."""
+    v = hashes[:-1]
+    return (v << np.uint64(_TURN) | v >> np.uint64(64 - _TURN)) ^ hashes[1:]
 
 
-def word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """Rows (word hash, n) over all documents."""
+def pair_key(v: Column, w: Column) -> Column:
+    """``pair_keys`` of two columns."""
+    return F.shiftleft(v, _TURN).bitwiseOR(F.shiftrightunsigned(v, 64 - _TURN)).bitwiseXOR(w)
 
-    def count(batches):
-        hashes_of = WordHashes()
-        for b in batches:
-            found = _batch_hashes(b.column(0), hashes_of)
-            if found:
-                words, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
-
-    parts = docs.select(bytes_of(F.col(text)).alias("t")).mapInArrow(count, "word bigint, n bigint")
-    return parts.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def ids_of(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Place of each hash in the sorted vocabulary; its length for unknown words."""
-    if not len(vocabulary):
-        return np.zeros(len(hashes), np.int64)
-    at = np.searchsorted(vocabulary, hashes)
-    at[at == len(vocabulary)] = 0
-    return np.where(vocabulary[at] == hashes, at, len(vocabulary)).astype(np.int64)
 
-
-def pair_keys(ids: np.ndarray, size: int) -> np.ndarray:
-    """Keys of neighbouring known words; -1 where one is unknown."""
-    return np.where((ids[:-1] < size) & (ids[1:] < size), ids[:-1] << np.int64(31) | ids[1:], np.int64(-1))
-
-
-def ngram_counts(docs: DataFrame, text: str, target: str, vocabulary) -> DataFrame:
-    """Rows (key, n, t): counts over all documents and over the targets, of words and of known bigrams."""
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """Rows (v, w, n, t): counts over all documents and over the targets, of words (w null) and of bigrams. docs: body, target."""
 
     def count(batches):
-        hashes_of, known = WordHashes(), vocabulary.value
+        hashes_of = WordHashes()
         for b in batches:
-            keys, flags = [], []
-            for t, good in zip(b.column(0), b.column(1), strict=True):
-                ids = ids_of(hashes_of(words_of(t.as_py())), known)
-                pairs = pair_keys(ids, len(known))
-                own = np.concatenate([ids | _UNIGRAM, pairs[pairs >= 0]])
-                keys.append(own)
-                flags.append(np.full(len(own), good.as_py(), np.int64))
-            if keys:
-                key, place, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-                t = np.bincount(place.ravel(), weights=np.concatenate(flags), minlength=len(key)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64)), pa.array(t)], names=["key", "n", "t"])
-
-    parts = docs.select(bytes_of(F.col(text)).alias("b"), F.col(target).alias("g")).mapInArrow(count, "key bigint, n bigint, t bigint")
-    return parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-class Model:
-    """Log probabilities of both models; both loss differences come from the same entries."""
-
-    def __init__(self, vocabulary: np.ndarray, unigrams: np.ndarray, keys: np.ndarray, bigrams: np.ndarray):
-        """unigrams: (V + 1, 2) and bigrams: (len(keys), 2) counts, background and target."""
-        self.vocabulary, self.keys = vocabulary, keys
-        total = unigrams.sum(axis=0)
-        share = (unigrams + ADDED) / (total + ADDED * len(unigrams))
-        before, after = (keys >> np.int64(31)).astype(np.int64), (keys & np.int64((1 << 31) - 1)).astype(np.int64)
-        context = np.maximum(unigrams[before], 1)
-        held = INTERPOLATION * bigrams / context
-        rest = np.ones_like(share)
-        for k in (0, 1):
-            rest[:, k] -= np.bincount(before, weights=held[:, k], minlength=len(share))
-        rest = np.maximum(rest, 1e-9)
-        self.word = np.log(share)
-        self.rest = np.log(rest)
-        self.pair = np.log(held + rest[before] * share[after])
-
-    def losses(self, hashes: np.ndarray) -> tuple[float, float] | None:
-        """Mean loss under the background and under the target model."""
-        if not len(hashes):
-            return None
-        ids = ids_of(hashes, self.vocabulary)
-        logs = self.word[ids]
-        if len(ids) > 1:
-            logs[1:] += self.rest[ids[:-1]]
-            if len(self.keys):
-                pairs = pair_keys(ids, len(self.vocabulary))
-                at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
-                hit = self.keys[at] == pairs
-                logs[1:][hit] = self.pair[at[hit]]
-        background, target = -logs.mean(axis=0)
-        return float(background), float(target)
-
-
-def fit(docs: DataFrame, targets: DataFrame, id: str = "doc_id", text: str = "text") -> tuple:
-    """Arrays of the model. ``targets``: the ids of the target documents."""
-    context = docs.sparkSession.sparkContext
-    counts = landed(word_counts(docs, text), "lm-words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(MIN_COUNT, MIN_SHARE * total)
-    words = counts.filter(F.col("n") >= least).select("word").toArrow()  # at most 1 / MIN_SHARE rows
-    vocabulary = np.sort(words.column(0).to_numpy().view(np.uint64))
+            found = [hashes_of(words_of(t.as_py())) for t in b.column(0)]
+            if not found:
+                continue
+            good = np.repeat(b.column(1).to_numpy(), [len(h) for h in found])
+            words = np.concatenate(found)
+            ends = np.cumsum([len(h) for h in found])
+            inside = np.ones(max(len(words) - 1, 0), bool)
+            inside[ends[(ends > 0) & (ends < len(words))] - 1] = False  # not over the end of a document
+            first = np.flatnonzero(inside)
+            for keys, at, flags in ((words, None, good), (pair_keys(words)[first], first, good[first])):
+                key, where, place, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+                t = np.bincount(place.ravel(), weights=flags, minlength=len(key)).astype(np.int64)
+                v = key if at is None else words[at[where]]
+                w = pa.nulls(len(key), pa.int64()) if at is None else pa.array(words[at[where] + 1].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), w, pa.array(n.astype(np.int64)), pa.array(t)], names=["v", "w", "n", "t"])
+
+    parts = docs.select(bytes_of(F.col("body")).alias("b"), "target").mapInArrow(count, "v bigint, w bigint, n bigint, t bigint")
+    return parts.groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+def fit(docs: DataFrame, targets: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, float, list[float]]:
+    """The model: a table (key, n, b, t), the count from which on entries are broadcast, log probabilities of the
+    unknown word. ``targets``: the ids of the target documents. b and t are what a key adds to the log probability
+    under the background and the target model; keys are words (against the unknown word, with what they leave to
+    the next), last words (which have no next) and bigrams (against their words)."""
     (flag, key, good) = fresh(docs, "flag", "key", "good")
     wanted = targets.select(F.col(targets.columns[0]).alias(key)).filter(F.col(key).isNotNull()).distinct().withColumn(good, F.lit(1))
     # the ids grow with the documents, so they are never broadcast, whatever a planner thinks of their size
@@ -144,35 +91,103 @@ def fit(docs: DataFrame, targets: DataFrame, id: str = "doc_id", text: str = "te
     flagged = docs.select(spread.alias(flag), F.col(id).isNotNull().alias("known"), F.col(text).alias("body")).join(
         wanted, (F.col(flag) == F.col(key)) & F.col("known"), "left"
     ).select("body", F.coalesce(F.col(good), F.lit(0)).alias("target"))
-    grams = ngram_counts(flagged, "body", "target", context.broadcast(vocabulary))
-    kept = grams.filter((F.col("key") >= int(_UNIGRAM)) | (F.col("n") >= least)).toArrow()  # at most 2 / MIN_SHARE rows
-    keys = kept.column("key").to_numpy()
-    both = np.stack([kept.column("n").to_numpy(), kept.column("t").to_numpy()], axis=1) if len(keys) else np.zeros((0, 2))
-    order = np.argsort(keys)
-    keys, both = keys[order], both[order].astype(float)
-    single = keys >= _UNIGRAM
-    unigrams = np.zeros((len(vocabulary) + 1, 2))
-    unigrams[keys[single] ^ _UNIGRAM] = both[single]
-    return vocabulary, unigrams, keys[~single], both[~single]
+    grams = landed(gram_counts(flagged).filter((F.col("n") >= MIN_COUNT) | F.col("w").isNull()), "lm-grams")
+    single, pairs = grams.filter("w is null"), grams.filter("w is not null")
+    rare = F.col("n") < MIN_COUNT
+    size, *sums = single.agg(
+        F.count(F.when(~rare, 1)), *[F.coalesce(F.sum(x), F.lit(0)) for c in ("n", "t") for x in (F.col(c), F.when(rare, F.col(c)))]
+    ).first()
+    totals = [sums[0] + ADDED * (size + 1), sums[2] + ADDED * (size + 1)]
+    unknown = [float(np.log(((x or 0) + ADDED) / total)) for x, total in zip((sums[1], sums[3]), totals, strict=True)]
+    heads = pairs.groupBy("v").agg(F.sum("n").alias("hn"), F.sum("t").alias("ht"))
+    left = lambda c: F.greatest(1 - INTERPOLATION * F.coalesce(f"h{c}", F.lit(0)) / F.greatest(F.col(c), F.lit(1)), F.lit(1e-9))
+    words = landed(
+        single.filter(~rare).select("v", "n", "t").join(heads.hint("merge"), "v", "left").select(
+            "v", "n", "t", *[left(c).alias(f"rest_{c}") for c in "nt"],
+            *[((F.col(c) + ADDED) / F.lit(total)).alias(f"share_{c}") for c, total in zip("nt", totals, strict=True)],
+        ), "lm-words",
+    )
+    one = words.select(
+        F.col("v").alias("key"), "n",
+        *[(F.log(f"share_{c}") - F.lit(u) + F.log(f"rest_{c}")).alias(o) for c, u, o in zip("nt", unknown, "bt", strict=True)],
+    )
+    last = words.select(pair_key(F.col("v"), F.lit(int(_LAST.view(np.int64)))).alias("key"), "n", *[(-F.log(f"rest_{c}")).alias(o) for c, o in (("n", "b"), ("t", "t"))])
+    before = words.select("v", *[F.col(c).alias(f"c{c}") for c in "nt"], "rest_n", "rest_t").hint("merge")
+    after = words.select(F.col("v").alias("w"), "share_n", "share_t").hint("merge")
+    base = lambda c: F.col(f"rest_{c}") * F.col(f"share_{c}")
+    held = lambda c: INTERPOLATION * F.col(c) / F.greatest(F.col(f"c{c}"), F.lit(1))
+    two = pairs.join(before, "v").join(after, "w").select(
+        pair_key(F.col("v"), F.col("w")).alias("key"), "n", *[F.log((held(c) + base(c)) / base(c)).alias(o) for c, o in (("n", "b"), ("t", "t"))]
+    )
+    model = landed(one.unionByName(last).unionByName(two), "lm-model")
+    return model, max(MIN_COUNT, MIN_SHARE * sums[0]), unknown
+
+
+def keys_of(hashes: np.ndarray) -> np.ndarray:
+    """All keys of a text: its words, its last word, its bigrams."""
+    if not len(hashes):
+        return hashes
+    return np.concatenate([hashes, pair_keys(np.array([hashes[-1], _LAST])), pair_keys(hashes)])
+
+
+def _often(name: str, shared) -> tuple[np.ndarray, np.ndarray]:
+    """The broadcast entries, once a process: sorted keys, and what they add (with a row of zeros for others)."""
+    if name not in _MODELS:
+        _MODELS.clear()
+        _MODELS[name] = shared.value
+    return _MODELS[name]
+
+
+def _places(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Place of each key in the sorted known ones; their number if it is none of them."""
+    at = np.searchsorted(known, keys)
+    return np.where(np.append(known, 0)[at] == keys, at, len(known)) if len(known) else at
 
 
 def with_lm_scores(docs: DataFrame, targets: DataFrame, id: str = "doc_id", text: str = "text", out: str = "lm") -> DataFrame:
     """Adds a struct: n_tokens, loss_background, loss_target, score (target less background)."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, targets, id, text))
+    model, least, unknown = fit(docs, targets, id, text)
+    often = model.filter(F.col("n") >= least).select("key", "b", "t").toArrow()  # at most 3 / MIN_SHARE rows
+    known = often.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    adds = np.stack([often.column(c).to_numpy() for c in "bt"], axis=1)[order] if len(known) else np.zeros((0, 2))
+    shared = docs.sparkSession.sparkContext.broadcast((known[order], np.concatenate([adds, np.zeros((1, 2))])))
     name = uuid.uuid4().hex
+    # equal texts have equal scores, so a text is known by 64 bits; those without a character are dealt by their id
+    same = F.when(F.length(F.col(text)) > 0, F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col(id)))
 
-    @F.arrow_udf(returnType="n_tokens bigint, loss_background double, loss_target double, score double")
+    def asked(batches):
+        hashes_of = WordHashes()
+        for b in batches:
+            entries, _ = _often(name, shared)
+            found = [keys_of(hashes_of(words_of(t.as_py()))) for t in b.column(1)]
+            if found:
+                keys = np.concatenate(found)
+                at = np.flatnonzero(_places(keys, entries) == len(entries))
+                ids = np.repeat(b.column(0).to_numpy(), [len(k) for k in found])[at]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys[at].view(np.int64))], names=["tid", "key"])
+
+    rare = model.filter(F.col("n") < least).select("key", "b", "t").hint("merge")
+    wanted = docs.select(same.alias("tid"), bytes_of(F.col(text)).alias("body")).mapInArrow(asked, "tid bigint, key bigint")
+    more = wanted.join(rare, "key").select("tid", "b", "t", F.lit(0).alias("copies"))
+    copies = docs.select(same.alias("tid"), F.lit(0.0).alias("b"), F.lit(0.0).alias("t"), F.lit(1).alias("copies"))
+    tid, base, of, mb, mt = fresh(docs, "tid", "base", "of", "more_b", "more_t")
+    sums = more.unionByName(copies).groupBy("tid").agg(*[F.sum(c).alias(c) for c in ("b", "t", "copies")]).select(
+        F.col("tid").alias(of), (F.col("b") / F.col("copies")).alias(mb), (F.col("t") / F.col("copies")).alias(mt)
+    ).hint("merge")
+
+    @F.arrow_udf(returnType="n bigint, b double, t double")
     def scored(texts: pa.Array) -> pa.Array:
-        if name not in _MODELS:
-            _MODELS.clear()
-            _MODELS[name] = Model(*shared.value)
-        model, hashes_of = _MODELS[name], WordHashes()
-        found = _batch_hashes(texts, hashes_of)
-        losses = [model.losses(h) for h in found]
-        pick = lambda f: pa.array([None if x is None else f(x) for x in losses], pa.float64())
-        return pa.StructArray.from_arrays(
-            [pa.array(list(map(len, found)), pa.int64()), pick(lambda x: x[0]), pick(lambda x: x[1]), pick(lambda x: x[1] - x[0])],
-            names=["n_tokens", "loss_background", "loss_target", "score"],
-        )
-
-    return docs.withColumn(out, scored.asNondeterministic()(bytes_of(F.col(text))))
+        hashes_of, (entries, values) = WordHashes(), _often(name, shared)
+        rows = [hashes_of(words_of(t.as_py())) for t in texts]
+        sums = [values[_places(keys_of(h), entries)].sum(axis=0) + len(h) * np.array(unknown) for h in rows]
+        pick = lambda k: pa.array([float(x[k]) for x in sums], pa.float64())
+        return pa.StructArray.from_arrays([pa.array(list(map(len, rows)), pa.int64()), pick(0), pick(1)], names=["n", "b", "t"])
+
+    read = docs.withColumn(tid, same).withColumn(base, scored.asNondeterministic()(bytes_of(F.col(text))))
+    joined = read.join(sums, F.col(tid) == F.col(of), "left")
+    n = F.col(base)["n"]
+    loss = lambda c, m: F.when(n > 0, F.round(-(F.col(base)[c] + F.coalesce(F.col(m), F.lit(0.0))) / n, DIGITS))
+    b, t = loss("b", mb), loss("t", mt)
+    made = F.struct(n.alias("n_tokens"), b.alias("loss_background"), t.alias("loss_target"), F.round(t - b, DIGITS).alias("score"))
+    return joined.withColumn(out, made).drop(tid, base, of, mb, mt)

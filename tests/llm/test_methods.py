@@ -323,6 +323,18 @@ def test_lm_loss_brute_force(spark):
         assert got[i].score == (None if background[i] is None else pytest.approx(target[i] - background[i]))
 
 
+def test_lm_scores_list_rare_entries_too(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(rng.randrange(0, 60)))) for i in range(60)] * 2, "doc_id bigint, text string")
+    runs = []
+    for share in (2e-6, 0.01, 1.0):  # what is broadcast changes no score
+        monkeypatch.setattr(lm_scores, "MIN_SHARE", share)
+        runs.append(sorted((r.doc_id, r.lm.n_tokens, r.lm.loss_background, r.lm.score) for r in lm_scores.with_lm_scores(docs, docs.filter("doc_id < 9").select("doc_id")).collect()))
+    for run in runs[1:]:
+        for x, y in zip(runs[0], run, strict=True):
+            assert x[:2] == y[:2] and (x[2:] == y[2:] if x[2] is None else x[2:] == pytest.approx(y[2:], abs=1e-9))
+
+
 # --- 7 decontamination
 
 
