@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from serploom.llm.common import WordHashes, bytes_of, fresh, landed, mixed, windows_hash, words_of
 
@@ -123,10 +123,19 @@ def common_subsequence(a: list, b: list, band: int) -> int:
 
 def distance(a: list, b: list) -> int:
     """Words to delete and insert, n1 + n2 - 2 L; the pair's own sum if it can't be similar."""
-    total = len(a) + len(b)
+    return bounds(a, b)[0]
+
+
+def bounds(a: list, b: list) -> tuple[int, int]:
+    """``distance`` and a lower bound of the true n1 + n2 - 2 L, which it exceeds where the alignment is left out or banded."""
+    total, least = len(a) + len(b), abs(len(a) - len(b))
     if 2 * min(len(a), len(b)) < SIMILARITY * total:
-        return total
-    return total - 2 * common_subsequence(a, b, int((1 - SIMILARITY) * total) + 1)
+        return total, least
+    limit = int((1 - SIMILARITY) * total + 1e-9)
+    d = total - 2 * common_subsequence(a, b, limit + 1)
+    if d <= limit or len(a) <= 4096:  # every alignment of a link stands in the band
+        return d, d
+    return d, max(least, limit + 1)
 
 
 def text_id(raw: bytes, words: list[bytes]) -> int | None:
@@ -163,18 +172,19 @@ def sketched(text: Column) -> Column:
     return measured.asNondeterministic()(bytes_of(text))
 
 
-@F.arrow_udf(returnType=LongType())
+@F.arrow_udf(returnType=StructType([StructField("d", LongType()), StructField("least", LongType())]))
 def _distances(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([distance(words_of(x.as_py()), words_of(y.as_py())) for x, y in zip(a, b, strict=True)], pa.int64())
+    found = [bounds(words_of(x.as_py()), words_of(y.as_py())) for x, y in zip(a, b, strict=True)]
+    return pa.StructArray.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["d", "least"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) with their distance and whether they are links."""
+    """Distinct pairs (a < b) with their distance, its lower bound and whether they are links."""
     left = texts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("body").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("body").alias("tb"))
     joined = pairs.join(left, "a").join(right, "b")
     total = F.col("na") + F.col("nb")
-    return joined.select("a", "b", "na", "nb", _distances("ta", "tb").alias("d")).withColumn(
+    return joined.select("a", "b", "na", "nb", _distances("ta", "tb").alias("m")).select("a", "b", "na", "nb", "m.d", "m.least").withColumn(
         "link", F.col("d") <= (1 - SIMILARITY) * total + 1e-9
     )
 
@@ -202,14 +212,14 @@ def links_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
         # what stays open: members that are no links of their leader
         states = landed(
             with_leader.filter("id <> leader").withColumns({"a": F.least("id", "leader"), "b": F.greatest("id", "leader")})
-            .join(tried.select("a", "b", "d", "link"), ["a", "b"]).select("bucket", "id", "n", "central", "d", "link"), "dup-states",
+            .join(tried.select("a", "b", "d", "least", "link"), ["a", "b"]).select("bucket", "id", "n", "central", "d", "least", "link"), "dup-states",
         )
         rest = states.filter("not link")
-        # metric: d(x, y) >= d(y, leader) - d(x, leader)
+        # metric: d(x, y) >= d(y, leader) - d(x, leader); that of a link is exact, of the other only a lower bound may be known
         near, far = states.filter("link").alias("x"), rest.alias("y")
         open_pairs.append(
             far.join(near, (F.col("x.bucket") == F.col("y.bucket"))
-                     & (F.col("y.d") - F.col("x.d") <= (1 - SIMILARITY) * (F.col("x.n") + F.col("y.n")))
+                     & (F.col("y.least") - F.col("x.d") <= (1 - SIMILARITY) * (F.col("x.n") + F.col("y.n")))
                      & (F.abs(F.col("x.n") - F.col("y.n")) <= (1 - SIMILARITY) * (F.col("x.n") + F.col("y.n"))))
             .select(*_pair(F.col("x.id"), F.col("y.id")))
         )
@@ -222,13 +232,13 @@ def links_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
         second = active.join(members.select(F.col("bucket").alias("other"), F.col("id")), "id").filter("other <> bucket")
         # two sketches in either order are one meeting; distances compare only with the same leader
         mine = second.groupBy(F.least("bucket", "other").alias("low"), F.greatest("bucket", "other").alias("high"), "id", "n").agg(
-            F.min(F.struct("bucket", "d")).alias("s")
+            F.min(F.struct("bucket", "d", "least")).alias("s")
         )
         x, y = mine.alias("x"), mine.alias("y")
         limit = (1 - SIMILARITY) * (F.col("x.n") + F.col("y.n"))
         open_pairs.append(
             x.join(y, (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high")) & (F.col("x.id") < F.col("y.id"))
-                   & ((F.col("x.s.bucket") != F.col("y.s.bucket")) | (F.abs(F.col("x.s.d") - F.col("y.s.d")) <= limit))
+                   & ((F.col("x.s.bucket") != F.col("y.s.bucket")) | (F.greatest(F.col("x.s.least") - F.col("y.s.d"), F.col("y.s.least") - F.col("x.s.d")) <= limit))
                    & (F.abs(F.col("x.n") - F.col("y.n")) <= limit))
             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         )

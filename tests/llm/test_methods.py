@@ -117,6 +117,31 @@ def test_banded_alignment_of_long_texts():
     assert neardup.common_subsequence(a, b, 1000) == len(b) == neardup.common_subsequence(a, b, 10_000)
 
 
+def _links(spark, texts, buckets):
+    """Links of texts (id: words) with given buckets (id: bucket list); the id with the most buckets leads."""
+    size = Counter(k for b in buckets.values() for k in b)
+    rows = [(i, len(w), " ".join(w).encode()) for i, w in texts.items()]
+    keys = [(i, len(texts[i]), k, size[k]) for i, b in buckets.items() for k in b]
+    found = neardup.links_of(spark.createDataFrame(rows, "id bigint, n bigint, body binary"), spark.createDataFrame(keys, "id bigint, n bigint, bucket bigint, size bigint"))
+    return {(r.a, r.b) for r in found.collect()}
+
+
+def test_truncated_versions_are_not_pruned(spark):
+    words = [f"w{i}" for i in range(100)]
+    texts = {9: words, 2: words[:70], 1: words[:60]}
+    assert _links(spark, texts, {9: [5], 2: [5], 1: [5]}) == {(2, 9), (1, 2)}
+
+
+@pytest.mark.parametrize("n, m", [(100, 60), (6000, 5000), (6000, 4500)])
+def test_distance_bounds(n, m):
+    rng = random.Random(n + m)
+    a = [rng.randrange(50) for _ in range(n)]
+    b = a[n - m :] if m == 5000 else [rng.randrange(50) for _ in range(m)]
+    true = len(a) + len(b) - 2 * neardup.common_subsequence(a, b, n + m)
+    d, least = neardup.bounds(a, b)
+    assert least <= true <= d and d == neardup.distance(a, b)
+
+
 # --- 3 mixing
 
 
