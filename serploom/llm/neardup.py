@@ -11,7 +11,9 @@ Copies (the same words, or the same text if it has none) are one text from the s
 pairs are emitted: members are compared with the bucket's leader, the member whose sketches are the most
 common ones. Members that are no links go to the next round with a new leader, and since n1 + n2 - 2 L is a
 metric, only those linked members that the distances to the leader leave open are compared with them. After
-``ROUNDS`` rounds the few members left over meet those that share a second sketch with them as well. Links
+``ROUNDS`` rounds, and others while these close a tenth of the open members, all pairs of members still open are
+compared by counts of their words, a lower bound of the distance, and those that it leaves open are aligned.
+So two texts that share a sketch are linked, or linked by others, if they are similar, however crowded the bucket. Links
 become classes by alternating star contraction, all as shuffles of number pairs.
 
 Defined results: null and empty texts are no copies of one another, each is a class of its own; texts of
@@ -27,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from serploom.llm.common import WordHashes, bytes_of, fresh, landed, mixed, windows_hash, words_of
 
@@ -35,7 +37,12 @@ SHINGLE = 5
 PICKED = 2
 SKETCHES = 16
 SIMILARITY = 0.8
+#: leader rounds at least, and the share of open members above which more of them close too few
 ROUNDS = 5
+CLOSING = 0.9
+#: counters of a text's words, and members of a bucket that one task compares with as many others
+BINS = 256
+BLOCK = 1024
 
 _SEEDS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -193,12 +200,54 @@ def _pair(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+@F.arrow_udf(returnType=BinaryType())
+def _bags(texts: pa.Array) -> pa.Array:
+    """Counts of a text's words by hash, up to 255 each."""
+    hashes_of = WordHashes()
+    return pa.array(
+        [np.minimum(np.bincount((hashes_of(words_of(t.as_py())) % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() for t in texts],
+        pa.binary(),
+    )
+
+
+def close_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """All pairs (a < b) of a bucket's members that can be links by length and by words. members: bucket, id.
+
+    A word deleted or inserted changes one counter by one, so counters that differ by more than a link's distance
+    are no link: nothing else is left out. A bucket is dealt in blocks, each pair of which is a task of its own."""
+    bags = texts.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", _bags("body").alias("bag"))
+    blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.select("bucket", "id").join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id"
+    ).join(bags, "id")
+
+    def compared(rows: pa.Table) -> pa.Table:
+        ids, n, own = (rows[c].to_numpy() for c in ("id", "n", "own"))
+        bag = np.frombuffer(b"".join(rows["bag"].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
+        firsts, seconds = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        a, b = [], []
+        for k, x in enumerate(firsts):
+            ys = seconds[k + 1 :] if low == high else seconds
+            limit = (1 - SIMILARITY) * (n[ys] + n[x]) + 1e-9
+            ys, limit = ys[near := np.abs(n[ys] - n[x]) <= limit], limit[near]
+            ys = ys[np.abs(bag[ys] - bag[x]).sum(axis=1) <= limit]
+            a.append(np.minimum(ids[ys], ids[x]))
+            b.append(np.maximum(ids[ys], ids[x]))
+        join = lambda parts: pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64())
+        return pa.table({"a": join(a), "b": join(b)})
+
+    return met.groupBy("bucket", "low", "high").applyInArrow(compared, "a bigint, b bigint")
+
+
 def links_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """Links (a, b) between different texts. texts: id, n, body; keys: id, n, bucket, size of the bucket."""
     central = keys.groupBy("id").agg(F.sum("size").alias("central"))
     members = landed(keys.select("bucket", "id", "n").join(central, "id"), "dup-members")
     found, open_pairs, active, tried = [], [], members, None
-    for _ in range(ROUNDS):
+    rounds, left = 0, members.count()
+    while True:
         leaders = active.groupBy("bucket").agg(F.max(F.struct("central", "id")).alias("top")).select(
             "bucket", F.col("top.id").alias("leader")
         )
@@ -225,23 +274,11 @@ def links_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
         )
         several = rest.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
         active = landed(rest.join(several.select("bucket"), "bucket", "left_semi"), "dup-open")
-        if active.isEmpty():
+        rounds, before, left = rounds + 1, left, active.count()
+        if not left or rounds >= ROUNDS and left > CLOSING * before:
             break
-    else:
-        # the rest meet those that share a second sketch with them
-        second = active.join(members.select(F.col("bucket").alias("other"), F.col("id")), "id").filter("other <> bucket")
-        # two sketches in either order are one meeting; distances compare only with the same leader
-        mine = second.groupBy(F.least("bucket", "other").alias("low"), F.greatest("bucket", "other").alias("high"), "id", "n").agg(
-            F.min(F.struct("bucket", "d", "least")).alias("s")
-        )
-        x, y = mine.alias("x"), mine.alias("y")
-        limit = (1 - SIMILARITY) * (F.col("x.n") + F.col("y.n"))
-        open_pairs.append(
-            x.join(y, (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high")) & (F.col("x.id") < F.col("y.id"))
-                   & ((F.col("x.s.bucket") != F.col("y.s.bucket")) | (F.greatest(F.col("x.s.least") - F.col("y.s.d"), F.col("y.s.least") - F.col("x.s.d")) <= limit))
-                   & (F.abs(F.col("x.n") - F.col("y.n")) <= limit))
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        )
+    if not active.isEmpty():
+        open_pairs.append(close_pairs(active, texts))
     more = open_pairs[0]
     for p in open_pairs[1:]:
         more = more.unionByName(p)

@@ -132,6 +132,20 @@ def test_truncated_versions_are_not_pruned(spark):
     assert _links(spark, texts, {9: [5], 2: [5], 1: [5]}) == {(2, 9), (1, 2)}
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+def test_pairs_in_a_crowded_bucket_meet(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+    rng = random.Random(8)
+    texts = {i: [f"w{rng.randrange(2000)}" for _ in range(60)] for i in range(40)}
+    pairs = {(k, k + 1) for k in (0, 2, 4)}
+    for a, b in pairs:
+        texts[b] = texts[a][:30] + texts[a][33:]
+    extra = {i: [100 + i] for i in range(10, 40)}  # others lead: they are in one more bucket, with one more text
+    texts |= {1000 + i: [f"x{i}-{k}" for k in range(60)] for i in extra}
+    buckets = {i: [5, *extra.get(i, [])] for i in range(40)} | {1000 + i: e for i, e in extra.items()}
+    assert _links(spark, texts, buckets) == pairs
+
+
 @pytest.mark.parametrize("n, m", [(100, 60), (6000, 5000), (6000, 4500)])
 def test_distance_bounds(n, m):
     rng = random.Random(n + m)
