@@ -310,7 +310,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, class_id (smallest id of its class), n_copies of its text, n_links of its text."""
+    """One row per document: id, class_id (smallest id of its class), n_copies of its text, n_links.
+
+    n_links is the number of verified links found with other texts: members that both link to a leader need not be
+    compared, so it is no count of all similar texts and depends on which leaders were drawn."""
     rows = docs.select(F.col(id).alias("doc"), F.col(text).alias("body"))
     marked = rows.select("doc", sketched(F.col("body")).alias("s")).select("doc", "s.tid", "s.n", "s.keys")
     narrow = landed(marked, "dup-docs")
