@@ -48,6 +48,13 @@ def fresh(table: DataFrame, *bases: str) -> list[str]:
     return out
 
 
+def refused(table: DataFrame, *names: str) -> None:
+    """Refuses output names that the table already has, whatever their case."""
+    taken = {c.lower() for c in table.columns} & {n.lower() for n in names}
+    if taken:
+        raise ValueError(f"the table already has {', '.join(sorted(taken))}; name another output column")
+
+
 def landed(table: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes the table to the shared checkpoint folder and reads it again."""
     spark = table.sparkSession

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serploom.llm import chat, decontam, licenses, lm_scores, mixing, neardup, quality, secret_scan, token_counts, wrappers
+from serploom.llm import chat, decontam, licenses, lm_scores, mixing, neardup, periodic_runs, quality, secret_scan, token_counts, wrappers
 from serploom.llm.common import LOWER, UPPER
 
 #: folder with the files of public tokenizers
@@ -85,6 +85,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "n_tokens")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.with_runs(docs, out="r", plant=F.when(h % 10 == 0, F.floor(h / 10))).select("doc_id", "r.*")
+    line = lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))
+    best = found.withColumn("best", periodic_runs.longest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_near_duplicates": op2_near_duplicates,
@@ -96,6 +109,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
