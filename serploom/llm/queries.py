@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serploom.llm import chat, decontam, licenses, lm_scores, mixing, neardup, periodic_runs, quality, secret_scan, token_counts, wrappers
+from serploom.llm import chat, chunked_bpe, decontam, licenses, lm_scores, mixing, neardup, periodic_runs, quality, secret_scan, token_counts, wrappers
 from serploom.llm.common import LOWER, UPPER
 
 #: folder with the files of public tokenizers
@@ -85,6 +85,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "n_tokens")
 
 
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    encoded = chunked_bpe.with_token_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return encoded.select("doc_id", chunked_bpe.digests(F.col("token_ids"), path).alias("d")).select("doc_id", "d.*")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -109,6 +115,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op12_bpe_round_trip": op12_bpe_round_trip,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
