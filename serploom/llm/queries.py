@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serploom.llm import chat, chunked_bpe, decontam, licenses, lm_scores, mixing, neardup, periodic_runs, quality, secret_scan, token_counts, wrappers
+from serploom.llm import chat, chunked_bpe, decontam, licenses, lm_scores, mixing, neardup, periodic_runs, quality, ranked_search, secret_scan, token_counts, wrappers
 from serploom.llm.common import LOWER, UPPER
 
 #: folder with the files of public tokenizers
@@ -85,6 +85,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "n_tokens")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{TOKENIZERS}/word_bpe_49k.json"
     encoded = chunked_bpe.with_token_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -115,6 +119,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_ranked_search": op11_ranked_search,
     "op12_bpe_round_trip": op12_bpe_round_trip,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -165,6 +170,24 @@ select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_cha
 from said
 """,
     "op1_license_scan": _license_sql(),
+    "op11_ranked_search": f"""
+with docs as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+counted as (select r, doc_id, len(w) as n, w from docs where len(w) > 0),
+totals as (select count(*) as n_docs, cast(sum(n) as bigint) as n_terms from counted),
+asked as (select item_id, term, count(*) as c from (select item_id, unnest({_WORDS}) as term from benchmark) group by all),
+tfs as (select r, doc_id, n, term, count(*) as tf from (select r, doc_id, n, unnest(w) as term from counted) where term in (select term from asked) group by all),
+dfs as (select term, count(*) as df from tfs group by term),
+weights as (select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) as bigint) as w from dfs, totals),
+impacts as (
+  select r, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_docs) // n_terms))) as impact
+  from tfs, totals),
+scores as (
+  select item_id, r, doc_id, cast(sum(c * w * impact) as bigint) as score
+  from asked join weights using (term) join impacts using (term) group by item_id, r, doc_id)
+select item_id, cast(rank as integer) as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0)
+where rank <= 20
+""",
     "op7_decontamination": f"""
 with dw as (select doc_id, {_WORDS} as w from documents),
 iw as (select item_id, {_WORDS} as w from benchmark),
