@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +41,14 @@ from serploom.llm.common import bytes_of, fresh, landed, mixed, refused
 LEAST, EXPECTED, MOST = 64, 256, 4096
 #: bits of the table of shared chunks
 BITS_A_CHUNK, MOST_BITS = 16, 1 << 26
-#: runs between blanks that a worker remembers, twice over
-REMEMBERED = 200_000
+#: pieces that a worker remembers, twice over
+REMEMBERED = 300_000
 
 _GEAR = mixed(np.arange(1, 257, dtype=np.uint64) << np.uint64(32)).astype(np.uint32)
 _LIMIT = np.uint32((1 << 32) // EXPECTED)
 _BLANKS = b" \t\n\x0b\x0c\r"
+#: closing marks behind a letter or digit are tokens of their own, so a blank before them changes nothing
+_CLOSING = re.compile(rb"(?<=[a-z0-9])([.,;:!?]+)(?=[\s]|$)")
 
 
 # --- chunks
@@ -141,6 +145,15 @@ def blank_separated(tok: Tokenizer) -> bool:
     return not any(ids(blanks + b) for b in blanks) and all(ids(a + blanks[(i + j) % 6] + b) == alone[a] + alone[b] for i, a in enumerate(signs) for j, b in enumerate(signs))
 
 
+def lower_cased(rules: dict) -> tuple[bool, bool]:
+    """Whether the tokenizer lower-cases, and whether letters, digits and other signs are never one token."""
+    steps = rules["normalizer"] or {}
+    splits = rules["pre_tokenizer"]
+    first = splits["pretokenizers"][0] if splits["type"] == "Sequence" else splits
+    parts = first["pattern"].get("Regex", "").split("|")
+    return any(s["type"] == "Lowercase" for s in steps.get("normalizers", [steps])), parts[-3:] == [r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"]
+
+
 def tokenizer_of(definition: str) -> Tokenizer:
     tok = Tokenizer.from_str(definition)
     tok.no_truncation()
@@ -149,28 +162,30 @@ def tokenizer_of(definition: str) -> Tokenizer:
 
 
 class Encoder:
-    """Encodes texts as int32 bytes; remembers pieces between blanks, dropping those not met for longest."""
+    """Encodes texts as int32 bytes; remembers pieces between blanks, a text's own and many more, dropping those not met for longest."""
 
     def __init__(self, definition: str):
         self.tok, self.young, self.old = tokenizer_of(definition), {}, {}
+        rules = json.loads(definition)
+        self.special = [a["content"].encode().lower() for a in rules["added_tokens"]]
+        self.plain = all(lower_cased(rules))
 
-    def piece(self, piece: bytes) -> bytes:
-        found = self.old.get(piece)
-        if found is None:
-            found = np.array(self.tok.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32).tobytes()
-            if len(piece) > 64:
-                return found
-        if len(self.young) >= REMEMBERED:
-            self.old, self.young = self.young, {}
-        self.young[piece] = found
-        return found
+    def ids(self, piece: bytes) -> bytes:
+        return array("i", self.tok.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def __call__(self, data: bytes) -> bytes:
-        out = []
-        for piece in data.split():
-            found = self.young.get(piece)
-            out.append(self.piece(piece) if found is None else found)
-        return b"".join(out)
+        if self.plain:
+            lower = data.lower()  # A-Z; the tokenizer does the same and more
+            if not any(special in lower for special in self.special):
+                data = _CLOSING.sub(rb" \1", lower)
+        pieces = data.split()
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        known = self.young
+        for piece in pieces:
+            if piece not in known:
+                known[piece] = self.old.get(piece) or self.ids(piece)
+        return b"".join(map(known.__getitem__, pieces))
 
     def with_shared(self, data: bytes, shared: dict[tuple[int, int], bytes]) -> bytes:
         """Tokens of a text, those of the shared chunks' kept parts given."""
@@ -292,7 +307,9 @@ def with_token_ids(docs: DataFrame, tokenizer: str, text: str = "text", out: str
         table, encode, of = BitTable(bits.value), encoder_of(definition), []
         for t in texts:
             whole = t.as_py()
-            of.append(None if any(key in table for _, _, key in chunks_of(whole)) else encode(whole))
+            ends = chunk_ends(whole)
+            hit = any(key_of(whole[s:e]) in table for s, e in zip([0, *ends], ends))  # noqa: B905
+            of.append(None if hit else encode(whole))
         return _lists(of)
 
     @F.arrow_udf(returnType="array<int>")
