@@ -26,7 +26,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +41,11 @@ LEAST, EXPECTED, MOST = 64, 256, 4096
 #: bits of the table of shared chunks
 BITS_A_CHUNK, MOST_BITS = 16, 1 << 26
 #: pieces that a worker remembers, twice over
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: bytes of texts whose new pieces are encoded in one call
+GROUP = 1 << 17
+#: texts whose tokens are put together at a time
+SLICE = 512
 
 _GEAR = mixed(np.arange(1, 257, dtype=np.uint64) << np.uint64(32)).astype(np.uint32)
 _LIMIT = np.uint32((1 << 32) // EXPECTED)
@@ -112,6 +115,15 @@ class BitTable:
         return all(t[p >> 3] >> (p & 7) & 1 for p in probes(key, self.bits))
 
 
+def any_hit(data: bytes, table: BitTable) -> bool:
+    start = 0
+    for end in chunk_ends(data):
+        if key_of(data[start:end]) in table:
+            return True
+        start = end
+    return False
+
+
 def kept_part(chunk: bytes) -> tuple[int, int]:
     """From the first blank to the last, both included (none: empty)."""
     first, last = len(chunk), -1
@@ -170,35 +182,67 @@ class Encoder:
         self.special = [a["content"].encode().lower() for a in rules["added_tokens"]]
         self.plain = all(lower_cased(rules))
 
-    def ids(self, piece: bytes) -> bytes:
-        return array("i", self.tok.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
-
-    def __call__(self, data: bytes) -> bytes:
-        if self.plain:
-            lower = data.lower()  # A-Z; the tokenizer does the same and more
-            if not any(special in lower for special in self.special):
-                data = _CLOSING.sub(rb" \1", lower)
-        pieces = data.split()
+    def learn(self, pieces: list[bytes]) -> None:
+        """Tokens of pieces not remembered: all in one call, told apart by their offsets."""
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        found = self.tok.encode(" ".join(texts), add_special_tokens=False)
+        ids, begins = np.array(found.ids, np.int32), np.array([a for a, _ in found.offsets], np.int64)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        if (begins[1:] < begins[:-1]).any():
+            each = [np.array(self.tok.encode(t, add_special_tokens=False).ids, np.int32) for t in texts]
+        else:
+            each = np.split(ids, np.searchsorted(begins, ends[:-1]))
+        self.young.update(zip(pieces, [x.tobytes() for x in each], strict=True))
+
+    def many(self, texts: list[bytes]) -> list[bytes]:
+        rows = []
+        for data in texts:
+            if self.plain:
+                lower = data.lower()  # A-Z; the tokenizer does the same and more
+                if not any(special in lower for special in self.special):
+                    data = _CLOSING.sub(rb" \1", lower)
+            rows.append(data.split())
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        known = self.young
-        for piece in pieces:
-            if piece not in known:
-                known[piece] = self.old.get(piece) or self.ids(piece)
-        return b"".join(map(known.__getitem__, pieces))
+        known, old = self.young, self.old
+        new = [p for p in dict.fromkeys(p for row in rows for p in row if p not in known)]
+        known.update((p, old[p]) for p in new if p in old)
+        new = [p for p in new if p not in old]
+        if new:
+            self.learn(new)
+        return [b"".join(map(known.__getitem__, row)) for row in rows]
+
+    def __call__(self, data: bytes) -> bytes:
+        return self.many([data])[0]
+
+    def in_groups(self, texts: list[bytes | None]) -> list[bytes | None]:
+        """As ``many``, some texts at a time; null stays."""
+        out: list[bytes | None] = [None] * len(texts)
+        group: list[int] = []
+        size = 0
+        for i, t in enumerate(texts):
+            if t is not None:
+                group.append(i)
+                size += len(t)
+            if group and (size > GROUP or i == len(texts) - 1):
+                for at, ids in zip(group, self.many([texts[g] for g in group]), strict=True):
+                    out[at] = ids
+                group, size = [], 0
+        return out
 
     def with_shared(self, data: bytes, shared: dict[tuple[int, int], bytes]) -> bytes:
         """Tokens of a text, those of the shared chunks' kept parts given."""
-        out, done = [], 0
+        between, kept, done = [], [], 0
         for start, end, key in chunks_of(data):
             ids = shared.get(key)
             if ids is not None:
                 a, b = kept_part(data[start:end])
                 if b > a:
-                    out += [self(data[done : start + a]), ids]
+                    between.append(data[done : start + a])
+                    kept.append(ids)
                     done = start + b
-        out.append(self(data[done:]))
-        return b"".join(out)
+        between.append(data[done:])
+        return b"".join(x for pair in zip(self.many(between), [*kept, b""], strict=True) for x in pair)
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -262,20 +306,23 @@ def with_token_ids(docs: DataFrame, tokenizer: str, text: str = "text", out: str
     bits = docs.sparkSession.sparkContext.broadcast(bit_table(shared))
     data = bytes_of(F.col(text))
 
-    def chunk_texts(batches):
+    def hit_chunks(batches):
+        """Each chunk that may be shared with the key of its text, and once in a while the chunk itself."""
         table, seen = BitTable(bits.value), set()
         for batch in batches:
-            found = {}
+            rows = []
             for t in batch.column(0):
                 whole = t.as_py()
-                for s, e, key in chunks_of(whole):
-                    if key not in seen and key not in found and key in table:
-                        found[key] = whole[s:e]
+                hits = {key: (s, e) for s, e, key in chunks_of(whole) if key in table}
+                of = key_of(whole) if hits else None
+                for key, (s, e) in hits.items():
+                    rows.append((*of, *key, None if key in seen else whole[s:e]))
+                seen.update(hits)
             if len(seen) > 1_000_000:
                 seen.clear()
-            seen.update(found)
-            columns = [pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "chunk"])
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            arrays = [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "h1", "h2", "chunk"])
 
     @F.arrow_udf(returnType="binary")
     def kept_ids(chunks: pa.Array) -> pa.Array:
@@ -283,47 +330,43 @@ def with_token_ids(docs: DataFrame, tokenizer: str, text: str = "text", out: str
         for c in chunks:
             chunk = c.as_py()
             a, b = kept_part(chunk)
-            of.append(encode(chunk[a:b]))
-        return pa.array(of, pa.binary())
+            of.append(chunk[a:b])
+        return pa.array(encode.in_groups(of), pa.binary())
 
-    # each shared chunk is encoded once
-    chunks = docs.select(data.alias("t")).mapInArrow(chunk_texts, "h1 bigint, h2 bigint, chunk binary")
-    entries = chunks.groupBy("h1", "h2").agg(F.any_value("chunk").alias("chunk")).select("h1", "h2", kept_ids.asNondeterministic()("chunk").alias("ids"))
+    hits = landed(docs.select(data.alias("t")).mapInArrow(hit_chunks, "k1 bigint, k2 bigint, h1 bigint, h2 bigint, chunk binary"), "hit-chunks")
+    # each shared chunk is encoded once, and each text asks for each of its chunks once, however many copies there are
+    chunks = hits.filter("chunk is not null").groupBy("h1", "h2").agg(F.any_value("chunk").alias("chunk"))
+    entries = chunks.select("h1", "h2", kept_ids.asNondeterministic()("chunk").alias("ids"))
 
-    @F.arrow_udf(returnType="k1 bigint, k2 bigint, hits array<struct<h1:bigint,h2:bigint>>")
-    def marks(texts: pa.Array) -> pa.Array:
-        table, keys, hits = BitTable(bits.value), [], []
+    @F.arrow_udf(returnType="k1 bigint, k2 bigint")
+    def text_key(texts: pa.Array) -> pa.Array:
+        table, keys = BitTable(bits.value), []
         for t in texts:
             whole = t.as_py()
-            of = {key for _, _, key in chunks_of(whole) if key in table}
-            keys.append(key_of(whole) if of else (0, 0))
-            hits.append([{"h1": a, "h2": b} for a, b in of])
-        columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                   pa.array(hits, pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64())])))]
-        return pa.StructArray.from_arrays(columns, names=["k1", "k2", "hits"])
+            keys.append(key_of(whole) if any_hit(whole, table) else None)
+        columns = [pa.array([k and k[i] for k in keys], pa.int64()) for i in (0, 1)]
+        return pa.StructArray.from_arrays(columns, names=["k1", "k2"], mask=pa.array([k is None for k in keys], pa.bool_()))
 
     @F.arrow_udf(returnType="array<int>")
     def alone(texts: pa.Array) -> pa.Array:
-        table, encode, of = BitTable(bits.value), encoder_of(definition), []
-        for t in texts:
-            whole = t.as_py()
-            ends = chunk_ends(whole)
-            hit = any(key_of(whole[s:e]) in table for s, e in zip([0, *ends], ends))  # noqa: B905
-            of.append(None if hit else encode(whole))
-        return _lists(of)
+        table, encode, parts = BitTable(bits.value), encoder_of(definition), []
+        for at in range(0, len(texts), SLICE):  # a whole batch would be held several times over
+            whole = [t.as_py() for t in texts[at : at + SLICE]]
+            parts.append(_lists(encode.in_groups([None if any_hit(t, table) else t for t in whole])))
+        return pa.concat_arrays(parts) if parts else _lists([])
 
     @F.arrow_udf(returnType="array<int>")
     def repaired(texts: pa.Array, given: pa.Array) -> pa.Array:
-        encode, of = encoder_of(definition), []
-        for t, g in zip(texts, given, strict=True):
-            of.append(encode.with_shared(t.as_py(), {(x["h1"], x["h2"]): x["ids"] for x in g.as_py() or []}))
-        return _lists(of)
+        encode, parts = encoder_of(definition), []
+        for at in range(0, len(texts), SLICE):
+            pairs = zip(texts[at : at + SLICE], given[at : at + SLICE], strict=True)
+            parts.append(_lists([encode.with_shared(t.as_py(), {(x["h1"], x["h2"]): x["ids"] for x in g.as_py() or []}) for t, g in pairs]))
+        return pa.concat_arrays(parts) if parts else _lists([])
 
     mark, k1, k2, given = fresh(docs, "mark", "k1", "k2", "given")
-    marked = docs.withColumn(mark, marks.asNondeterministic()(data)).filter(F.size(F.col(mark).hits) > 0)
+    marked = docs.withColumn(mark, text_key.asNondeterministic()(data)).filter(F.col(mark).isNotNull())
     marked = marked.withColumns({k1: F.col(mark).k1, k2: F.col(mark).k2})
-    # each text asks for each of its chunks once, however many copies of the text there are
-    asked = marked.select(k1, k2, F.explode(F.col(mark).hits).alias("h")).select(k1, k2, "h.h1", "h.h2").distinct()
+    asked = hits.select(F.col("k1").alias(k1), F.col("k2").alias(k2), "h1", "h2").distinct()
     answers = asked.join(entries, ["h1", "h2"]).groupBy(k1, k2).agg(F.collect_list(F.struct("h1", "h2", "ids")).alias(given))
     joined = marked.drop(mark).join(answers, [k1, k2], "left").withColumn(out, repaired.asNondeterministic()(data, F.col(given)))
     whole = docs.withColumn(out, alone.asNondeterministic()(data)).filter(F.col(out).isNotNull())
@@ -345,7 +388,7 @@ def digests(ids: Column, tokenizer: str) -> Column:
             numbers.extend(b"%d" % i for i in range(len(texts)))
         sizes, a, b = [], [], []
         for v in values:
-            of = v.values.to_pylist()
+            of = v.values.to_numpy().tolist()
             sizes.append(len(of))
             a.append(hashlib.sha256(b" ".join(map(numbers.__getitem__, of))).hexdigest())
             # the tokenizer has no decoder (``blank_separated``): its tokens are joined by blanks

@@ -8,13 +8,15 @@ band, gives 2 L / (n1 + n2) >= ``SIMILARITY``. Texts whose five-word shingles ar
 but for about one pair in ten million; of less similar ones that still align, most do.
 
 Copies (the same words, or the same text if it has none) are one text from the start. Inside a bucket no
-pairs are emitted: members are compared with the bucket's leader, the member whose sketches are the most
-common ones. Members that are no links go to the next round with a new leader, and since n1 + n2 - 2 L is a
-metric, only those linked members that the distances to the leader leave open are compared with them. After
-``ROUNDS`` rounds, and others while these close a tenth of the open members, all pairs of members still open are
-compared by counts of their words, a lower bound of the distance, and those that it leaves open are aligned.
-So two texts that share a sketch are linked, or linked by others, if they are similar, however crowded the bucket. Links
-become classes by alternating star contraction, all as shuffles of number pairs.
+pairs are emitted: all members are compared with the bucket's leader, the member whose sketches are the most
+common ones; the next leader comes from those that are no links of one so far. What the leaders link are first
+classes. After ``ROUNDS`` rounds, and others while these close a tenth of the open members, each member is compared with
+its neighbours by length if they are of another class. The texts of buckets that still hold several classes then
+go through an exact similarity join: words are labelled by occurrence and ordered by rarity;
+L >= 0.4 (n1 + n2) means that as many labelled words are shared, so the two share one among the first n + 1 - 0.4 (n1 + n2)
+of each, and only pairs of different classes that meet so, and whose sets of words allow it, are aligned. So two texts that share a sketch are linked, or
+linked by others, if they are similar, however crowded the bucket. Links become classes by alternating star
+contraction, all as shuffles of number pairs.
 
 Defined results: null and empty texts are no copies of one another, each is a class of its own; texts of
 fewer than five words have one shingle; a repeated row is a copy; extra columns stay untouched; documents are
@@ -24,12 +26,14 @@ ids only is null. A text is known by 64 bits of its words.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from serploom.llm.common import WordHashes, bytes_of, fresh, landed, mixed, windows_hash, words_of
 
@@ -38,20 +42,20 @@ PICKED = 2
 SKETCHES = 16
 SIMILARITY = 0.8
 #: leader rounds at least, and the share of open members above which more of them close too few
-ROUNDS = 5
+ROUNDS = 2
 CLOSING = 0.9
-#: counters of a text's words, and members of a bucket that one task compares with as many others
-BINS = 256
-BLOCK = 1024
+#: parts of a bucket that are put in order apart, so that a crowded one is not sorted in one task
+CHAINS = 8
+#: bits that tell words apart in a first comparison
+BITS = 1024
+#: a text's length is at most so many times that of a shorter one it is similar to
+RATIO = SIMILARITY / (2 - SIMILARITY)
 
 _SEEDS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def labelled_shingles(hashes: np.ndarray) -> np.ndarray:
-    """Hashes of the five-word shingles in text order, each with its occurrence number mixed in."""
-    if not len(hashes):
-        return hashes
-    h = windows_hash(hashes, SHINGLE) if len(hashes) >= SHINGLE else windows_hash(hashes, len(hashes))
+def labelled(h: np.ndarray) -> np.ndarray:
+    """Hashes with the number of their occurrence so far mixed in."""
     order = np.argsort(h, kind="stable")
     s = h[order]
     if (s[1:] == s[:-1]).any():
@@ -63,6 +67,14 @@ def labelled_shingles(hashes: np.ndarray) -> np.ndarray:
     return h
 
 
+def labelled_shingles(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the five-word shingles in text order, each with its occurrence number mixed in."""
+    if not len(hashes):
+        return hashes
+    h = windows_hash(hashes, SHINGLE) if len(hashes) >= SHINGLE else windows_hash(hashes, len(hashes))
+    return labelled(h)
+
+
 def sketches(labelled: np.ndarray) -> np.ndarray:
     """One value per hash function: the picked shingles of smallest hash, in text order."""
     if not len(labelled):
@@ -200,94 +212,111 @@ def _pair(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-@F.arrow_udf(returnType=BinaryType())
-def _bags(texts: pa.Array) -> pa.Array:
-    """Counts of a text's words by hash, up to 255 each."""
-    hashes_of = WordHashes()
-    return pa.array(
-        [np.minimum(np.bincount((hashes_of(words_of(t.as_py())) % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() for t in texts],
-        pa.binary(),
-    )
-
-
-def close_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """All pairs (a < b) of a bucket's members that can be links by length and by words. members: bucket, id.
-
-    A word deleted or inserted changes one counter by one, so counters that differ by more than a link's distance
-    are no link: nothing else is left out. A bucket is dealt in blocks, each pair of which is a task of its own."""
-    bags = texts.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", _bags("body").alias("bag"))
-    blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.select("bucket", "id").join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id"
-    ).join(bags, "id")
-
-    def compared(rows: pa.Table) -> pa.Table:
-        ids, n, own = (rows[c].to_numpy() for c in ("id", "n", "own"))
-        bag = np.frombuffer(b"".join(rows["bag"].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
-        low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
-        firsts, seconds = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        a, b = [], []
-        for k, x in enumerate(firsts):
-            ys = seconds[k + 1 :] if low == high else seconds
-            limit = (1 - SIMILARITY) * (n[ys] + n[x]) + 1e-9
-            ys, limit = ys[near := np.abs(n[ys] - n[x]) <= limit], limit[near]
-            ys = ys[np.abs(bag[ys] - bag[x]).sum(axis=1) <= limit]
-            a.append(np.minimum(ids[ys], ids[x]))
-            b.append(np.maximum(ids[ys], ids[x]))
-        join = lambda parts: pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64())
-        return pa.table({"a": join(a), "b": join(b)})
-
-    return met.groupBy("bucket", "low", "high").applyInArrow(compared, "a bigint, b bigint")
-
-
-def links_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """Links (a, b) between different texts. texts: id, n, body; keys: id, n, bucket, size of the bucket."""
+@F.arrow_udf(returnType=StructType([StructField("words", ArrayType(LongType())), StructField("bits", ArrayType(LongType()))]))
+def _labelled_words(texts: pa.Array) -> pa.Array:
+    """Hashes of a text's labelled words, and which of ``BITS`` bits they set."""
+    hashes_of, words, bits = WordHashes(), [], []
+    for t in texts:
+        h = labelled(hashes_of(words_of(t.as_py())))
+        table = np.zeros(BITS, np.uint8)
+        table[(h % np.uint64(BITS)).astype(np.int64)] = 1
+        words.append(h.view(np.int64))
+        bits.append(np.packbits(table, bitorder="little").view(np.int64))
+    lists = []
+    for of in (words, bits):
+        sizes = pa.array(np.cumsum([0, *map(len, of)]), pa.int32())
+        lists.append(pa.ListArray.from_arrays(sizes, pa.array(np.concatenate(of) if of else np.empty(0, np.int64), pa.int64())))
+    return pa.StructArray.from_arrays(lists, names=["words", "bits"])
+
+
+def _size(n: str) -> Column:
+    """Class of a length: two texts of like length are in one class or in neighbours."""
+    return F.floor(F.log(n) / float(-np.log(RATIO)))
+
+
+def similar_pairs(open_texts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a < b) of different classes that can be links, no link left out. open_texts: id, n, root; texts: id, body.
+
+    Both sides carry only the words of which a link shares one: the shorter text as many as any partner of its length or more
+    asks for, the longer as many as its shortest partner does, and the pair's own lengths decide in the join. Lengths
+    meet by classes whose width is the largest ratio of two similar lengths, so a text looks into its own and the next."""
+    read = landed(open_texts.join(texts.select("id", "body"), "id").select("id", "n", "root", _labelled_words("body").alias("w")).select("id", "n", "root", "w.*"), "dup-words")
+    words = read.select("id", "n", F.explode("words").alias("word"))
+    often = words.groupBy("word").agg(F.count("*").alias("df")).filter("df > 1")
+    # words of one text alone come first and meet nobody: they take places but needn't be sorted
+    alone = words.join(often, "word", "left_anti").groupBy("id").agg(F.count("*").alias("alone"))
+    order = Window.partitionBy("id").orderBy("df", "word")
+    least = lambda share: F.expr(f"n + 1 - ceil({share}D * n - 1e-9)")
+    shared = words.join(often, "word").join(alone, "id", "left").withColumn("k", F.row_number().over(order) + F.coalesce("alone", F.lit(0)))
+    first = shared.filter(F.col("k") <= least(RATIO)).select("id", "word", "k").join(read.select("id", "n", "root", "bits"), "id")
+    first = landed(first.withColumn("size", _size("n")), "dup-prefixes")
+    x = first.filter(F.col("k") <= least(SIMILARITY)).alias("x")
+    y = first.withColumn("size", F.explode(F.array(F.col("size"), F.col("size") - 1))).alias("y")
+    shared = f"ceil({SIMILARITY / 2}D * (x.n + y.n) - 1e-9)"
+    # a bit that the other text does not set is a word, or more, that it does not have
+    lacks = lambda a, b: " + ".join(f"bit_count({a}.bits[{i}] & ~{b}.bits[{i}])" for i in range(BITS // 64))
+    met = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.size") == F.col("y.size")) & F.expr(
+        f"(x.n < y.n or x.n = y.n and x.id < y.id) and x.root <> y.root and x.k <= x.n + 1 - {shared} and y.k <= y.n + 1 - {shared}"
+        f" and {lacks('x', 'y')} <= x.n - {shared} and {lacks('y', 'x')} <= y.n - {shared}"
+    ))
+    return met.select(*_pair(F.col("x.id"), F.col("y.id"))).distinct()
+
+
+def linked(texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between different texts, and the classes (id, root) they make. texts: id, n, body; keys: id, n, bucket, size of the bucket."""
     central = keys.groupBy("id").agg(F.sum("size").alias("central"))
     members = landed(keys.select("bucket", "id", "n").join(central, "id"), "dup-members")
-    found, open_pairs, active, tried = [], [], members, None
-    rounds, left = 0, members.count()
+    active, tried, rounds, left, all_leaders = members, None, 0, members.count(), []
     while True:
-        leaders = active.groupBy("bucket").agg(F.max(F.struct("central", "id")).alias("top")).select(
-            "bucket", F.col("top.id").alias("leader")
-        )
-        with_leader = active.select("bucket", "id", "n", "central").join(leaders, "bucket")
-        pairs = with_leader.filter("id <> leader").select(*_pair(F.col("id"), F.col("leader"))).distinct()
+        leaders = landed(active.groupBy("bucket").agg(F.max(F.struct("central", "id")).alias("top")).select("bucket", F.col("top.id").alias("leader")), "dup-leaders")
+        all_leaders.append(leaders)
+        # a leader meets all members, so that what several leaders are linked to joins their classes
+        pairs = members.join(leaders, "bucket").filter("id <> leader").select(*_pair(F.col("id"), F.col("leader"))).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         done = landed(_verified(pairs, texts), "dup-pairs")
-        found.append(done)
         tried = done if tried is None else tried.unionByName(done)
-        # what stays open: members that are no links of their leader
-        states = landed(
-            with_leader.filter("id <> leader").withColumns({"a": F.least("id", "leader"), "b": F.greatest("id", "leader")})
-            .join(tried.select("a", "b", "d", "least", "link"), ["a", "b"]).select("bucket", "id", "n", "central", "d", "least", "link"), "dup-states",
-        )
-        rest = states.filter("not link")
-        # metric: d(x, y) >= d(y, leader) - d(x, leader); that of a link is exact, of the other only a lower bound may be known
-        near, far = states.filter("link").alias("x"), rest.alias("y")
-        open_pairs.append(
-            far.join(near, (F.col("x.bucket") == F.col("y.bucket"))
-                     & (F.col("y.least") - F.col("x.d") <= (1 - SIMILARITY) * (F.col("x.n") + F.col("y.n")))
-                     & (F.abs(F.col("x.n") - F.col("y.n")) <= (1 - SIMILARITY) * (F.col("x.n") + F.col("y.n"))))
-            .select(*_pair(F.col("x.id"), F.col("y.id")))
-        )
+        # what stays open: members that are no links of a leader
+        met = active.join(leaders, "bucket").filter("id <> leader").select("bucket", "id", "n", "central", *_pair(F.col("id"), F.col("leader")))
+        rest = met.join(tried.filter("link").select("a", "b"), ["a", "b"], "left_anti").drop("a", "b")
         several = rest.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
         active = landed(rest.join(several.select("bucket"), "bucket", "left_semi"), "dup-open")
         rounds, before, left = rounds + 1, left, active.count()
         if not left or rounds >= ROUNDS and left > CLOSING * before:
             break
-    if not active.isEmpty():
-        open_pairs.append(close_pairs(active, texts))
-    more = open_pairs[0]
-    for p in open_pairs[1:]:
-        more = more.unionByName(p)
-    more = more.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    found.append(landed(_verified(more, texts), "dup-more"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.filter("link").select("a", "b")
+    links = tried.filter("link").select("a", "b")
+    known = members.select("bucket", "id", "n").join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    # leaders have met all members of their buckets
+    led = landed(reduce(DataFrame.unionByName, all_leaders).distinct(), "dup-led")
+    rest = landed(known.join(led.withColumnRenamed("leader", "id"), ["bucket", "id"], "left_anti").withColumn("size", _size("n")), "dup-rest")
+    roots = known.select("id", "root").distinct()
+    # neighbours by length first: a member has as many of them as it has buckets, so a large class takes in most of what belongs to it
+    order = Window.partitionBy("bucket", F.pmod(F.xxhash64("id"), F.lit(CHAINS))).orderBy("n", F.xxhash64("bucket", "id"))
+    chained = rest.select("id", "root", *[F.lag(c, k).over(order).alias(f"{c}{k}") for c in ("id", "root") for k in (1, 2)])
+    beside = [chained.filter(f"root <> root{k}").select(*_pair(F.col("id"), F.col(f"id{k}"))) for k in (1, 2)]
+    done = landed(_verified(beside[0].unionByName(beside[1]).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts), "dup-beside")
+    tried, more = tried.unionByName(done), done.filter("link").select("a", "b")
+    links, roots = links.unionByName(more), landed(_merged(roots, more), "dup-roots")
+    # of the others, those that have a text of another class and like length beside them
+    rest = rest.drop("root").join(roots, "id")
+    near = rest.select("bucket", F.explode(F.array(F.col("size") - 1, "size", F.col("size") + 1)).alias("size"), "root")
+    several = near.groupBy("bucket", "size").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    still = landed(rest.join(several.select("bucket", "size"), ["bucket", "size"], "left_semi").select("id", "n", "root").distinct(), "dup-still")
+    more = similar_pairs(still, texts).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    more = landed(_verified(more, texts), "dup-more").filter("link").select("a", "b")
+    return links.unionByName(more), _merged(roots, more)
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes (id, root) after further links between their members; only the classes that are linked are contracted."""
+    ends = links.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
+    above = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("id").alias("root"), F.col("root").alias("top"))
+    return roots.join(above, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+
+
+def links_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The links of ``linked``."""
+    return linked(texts, keys)[0]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -328,8 +357,7 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
         rows.join(wanted, "doc").select("id", "n", bytes_of(F.col("body")).alias("body")).filter(_text_id("body") == F.col("id")).dropDuplicates(["id"]),
         "dup-bodies",
     )
-    links = landed(links_of(texts, keys), "dup-links")
-    roots = components(links)
+    links, roots = linked(texts, keys)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     members = owners.join(roots, owners.tid == roots.id, "left").select("tid", "doc", "copies", F.coalesce("root", "tid").alias("root"))
     smallest = members.groupBy("root").agg(F.min("doc").alias("class_id"))
