@@ -338,11 +338,8 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
 
 
-def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, class_id (smallest id of its class), n_copies of its text, n_links.
-
-    n_links is the number of verified links found with other texts: members that both link to a leader need not be
-    compared, so it is no count of all similar texts and depends on which leaders were drawn."""
+def _classified(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc, tid), tid null for texts without a character, and one row per text: tid, root, class_id, n_copies, n_links."""
     rows = docs.select(F.col(id).alias("doc"), F.col(text).alias("body"))
     marked = rows.select("doc", sketched(F.col("body")).alias("s")).select("doc", "s.tid", "s.n", "s.keys")
     narrow = landed(marked, "dup-docs")
@@ -362,8 +359,17 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     members = owners.join(roots, owners.tid == roots.id, "left").select("tid", "doc", "copies", F.coalesce("root", "tid").alias("root"))
     smallest = members.groupBy("root").agg(F.min("doc").alias("class_id"))
     named = members.join(smallest, "root").join(degree, members.tid == degree.id, "left").select(
-        "tid", "class_id", F.col("copies").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "tid", "root", "class_id", F.col("copies").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
+    return narrow.select("doc", "tid"), named
+
+
+def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: id, class_id (smallest id of its class), n_copies of its text, n_links.
+
+    n_links is the number of verified links found with other texts: members that both link to a leader need not be
+    compared, so it is no count of all similar texts and depends on which leaders were drawn."""
+    narrow, named = _classified(docs, id, text)
     # texts without a character stay alone; they are dealt by their id so that they don't meet in one task
     key = fresh(narrow, "deal")[0]
     left = narrow.select("doc", "tid", F.coalesce("tid", F.xxhash64("doc")).alias(key))
@@ -375,12 +381,17 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
 
 
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class stays (the one of smallest id, one row of it), with its own columns only."""
-    of = landed(classes(docs, id, text), "dup-classes")
-    class_id, one = fresh(docs, "class_id", "one")
-    gone = of.filter(F.col(id) != F.col("class_id")).select(F.col(id)).distinct()
-    kept = docs.join(gone, id, "left_anti")
-    # rows that repeat an id: one of each, the smallest text; ids are spread, nulls are rows of their own
-    extra = docs.groupBy(id).agg(F.count("*").alias(class_id)).filter((F.col(class_id) > 1) & F.col(id).isNotNull()).select(F.col(id), F.lit(True).alias(one))
-    again = kept.join(extra, id, "left_semi").dropDuplicates([id])
-    return kept.join(extra, id, "left_anti").unionByName(again)
+    """One document of each class stays, with its own columns only: the one of smallest id (null last), then of smallest text number.
+
+    Decided by text, not by id: rows that share an id stay if their texts do, and of rows equal in both one stays. Texts
+    without a character all stay."""
+    narrow, named = _classified(docs, id, text)
+    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "tid")
+    of, one = fresh(docs, "tid", "one")
+    kept = landed(narrow.join(named.select("tid", "root"), "tid").groupBy("root").agg(F.min(place).alias("first")).select(F.col("first.tid").alias(of)), "dup-kept")
+    told = docs.withColumn(of, _text_id.asNondeterministic()(bytes_of(F.col(text))))
+    # one row of each text is left before anything travels, and the classes are met on the same key
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # others have no hash
+    order = Window.partitionBy(of).orderBy(F.asc_nulls_last(id), F.xxhash64(*plain))
+    single = told.filter(F.col(of).isNotNull()).withColumn(one, F.row_number().over(order)).filter(F.col(one) == 1)
+    return single.join(kept, of, "left_semi").select(*docs.columns).unionByName(told.filter(F.col(of).isNull()).select(*docs.columns))
