@@ -10,9 +10,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from serploom import dims
+from serploom.functions import punycode
 
 _UNRESERVED_ESCAPE = "(?i)^%(2d|2e|3[0-9]|4[1-9a-f]|5[0-9a]|5f|6[1-9a-f]|7[0-9a]|7e)$"
 
@@ -136,8 +136,8 @@ def with_canonical_url(
 
     The parts are staged in projections of their own: each is used several times, so the optimizer
     leaves the stages apart and every string function runs once per row in generated code. Regular
-    expressions and lambdas run only on URLs that have something to rewrite. Hosts outside ASCII stay
-    in lower case here; ``with_ascii_host`` turns them into punycode.
+    expressions and lambdas run only on URLs that have something to rewrite. A host outside ASCII gets its
+    ASCII spelling, so both spellings of one host have one key.
     """
     c = F.col
     is_web = (
@@ -162,9 +162,10 @@ def with_canonical_url(
             "_tail": F.expr("substr(_rest, length(_authority) + 1)"),
         }
     )
+    # scheme and port are ASCII, so the whole site can be taken label by label
     df = df.withColumns(
         {
-            "_site": _canonical_site(c("_site")),
+            "_site": _canonical_site(ascii_site(c("_site"))),
             "_path": F.substring_index(c("_tail"), "?", 1),
             "_query": F.expr(
                 "case when contains(_tail, '?') then substr(_tail, instr(_tail, '?') + 1) end"
@@ -190,6 +191,15 @@ def with_canonical_url(
     )
 
 
+def ascii_site(site: Column) -> Column:
+    """``scheme://host[:port]`` with the host in its ASCII spelling."""
+    start = F.expr("instr(_site, '://') + 2")
+    host = F.regexp_replace(F.substring(site, start + 1, F.length(site)), ":[0-9]*$", "")
+    port = F.regexp_extract(site, "(:[0-9]*)$", 1)
+    foreign = F.concat(F.substring(site, F.lit(1), start), punycode.ascii_labels(host), port)
+    return F.when(punycode.is_foreign(site), foreign).otherwise(site)
+
+
 def _canonical_site(site: Column) -> Column:
     """Scheme and host without the default port or an empty one, and without one trailing dot."""
 
@@ -224,29 +234,9 @@ def _canonical_path(path: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.StringType())
-def _to_punycode(hosts):
-    def encode(host):
-        if host is None:
-            return None
-        try:
-            return host.encode("idna").decode("ascii")
-        except UnicodeError:
-            return host
-
-    return hosts.map(encode)
-
-
 def ascii_host(host: Column) -> Column:
-    """Punycode for hosts outside ASCII; Spark has no built-in, so an Arrow UDF does the encoding."""
-    return _to_punycode(host)
-
-
-def with_ascii_host(df: DataFrame, host: str, out: str) -> DataFrame:
-    """Only rows that need it are sent to Python: the two branches are separate plans."""
-    foreign = F.col(host).rlike(r"[^\x00-\x7F]")
-    plain = df.filter(~F.coalesce(foreign, F.lit(False))).withColumn(out, F.col(host))
-    return plain.unionByName(df.filter(foreign).withColumn(out, ascii_host(F.col(host))))
+    """The ASCII spelling of a lower-case host; hosts in ASCII stay as they are."""
+    return F.when(punycode.is_foreign(host), punycode.ascii_labels(host)).otherwise(host)
 
 
 def normalize_domain(raw: Column) -> Column:
@@ -302,11 +292,12 @@ def domain_filter(
     return rules(host) if listed else bind(host, rules)
 
 
-def absolute_url(href: Column, base: str = "https://duckduckgo.com") -> Column:
+def absolute_url(href: Column, base: str | Column = "https://duckduckgo.com") -> Column:
+    start = base if isinstance(base, Column) else F.lit(base)
     return bind(
         href,
         lambda h: F.when(h.startswith("//"), F.concat(F.lit("https:"), h))
-        .when(h.startswith("/"), F.concat(F.lit(base), h))
+        .when(h.startswith("/"), F.concat(start, h))
         .otherwise(h),
     )
 

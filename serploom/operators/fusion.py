@@ -1,9 +1,10 @@
 """Weighted reciprocal-rank fusion of many ranked lists per query.
 
-Shuffles: one for the votes (partially aggregated first, so repeated URLs collapse before they
-travel), one on (query, salt) that the resale lookup and the cluster aggregation share, and two for
-the ranking windows, both cut to their row limit on the map side. A query that owns a third of all
-rows is spread over ``salts`` tasks and is never held in one.
+Ranking needs numbers only. Votes are reduced to one row per (query, URL) with a number for each of the nine
+providers, in a hash aggregation that is partial before its shuffle; families are bits, resale is bit tests against
+one row of numbers per query. The ranking windows are both cut to their row limit on the map side. Titles and
+texts are read again for the URLs that are left. A query that owns a third of all rows is spread by
+its URLs; only the join with the row of its query, which AQE may split, and its ranked rows meet by query.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from serploom import dims
-from serploom.functions.labels import engine_family, is_independent
+from serploom.functions.urls import bind
+from serploom.session import landed
 
 _OPTIONAL = {
     "snippet": "string",
@@ -55,75 +57,146 @@ def owned_families(responses: DataFrame) -> DataFrame:
     return facts.filter(~F.col("is_aggregator")).select("query_id", "family").distinct()
 
 
-def _query_context(responses: DataFrame) -> DataFrame:
-    """One row per query: owned families, and what each aggregator said its engines were."""
-    if "upstream_engines" not in responses.columns:
-        responses = responses.withColumn("upstream_engines", F.lit(None).cast("array<string>"))
-    facts = attach_provider(responses.select("query_id", "provider", "upstream_engines"))
-    engines = F.when(F.col("is_aggregator"), F.struct("provider", "upstream_engines"))
-    return facts.groupBy("query_id").agg(
-        F.collect_set(F.when(~F.col("is_aggregator"), F.col("family"))).alias("_owned"),
-        F.collect_set(engines).alias("_engines"),
+# --- scores on columns of fixed width -----------------------------------------------------------------
+_FAMILIES = sorted({p[2] for p in dims.PROVIDERS} | set(dims.INDEPENDENT_FAMILIES))
+_INDEPENDENT_BITS = sum(1 << _FAMILIES.index(f) for f in dims.INDEPENDENT_FAMILIES)
+#: what a row says of its engines is a number below 256; this one says that it names none
+_UNNAMED = 255
+_AGGREGATORS = [p[0] for p in dims.PROVIDERS if p[3]]
+
+
+def _vote(provider: str) -> str:
+    return f"_vote_{provider}"
+
+
+def _family_bit(provider: Column) -> Column:
+    """Bit of a direct provider's family, 0 for aggregators."""
+    bit = F.lit(0)
+    for name, _, family, aggregator, *_ in dims.PROVIDERS:
+        if not aggregator:
+            bit = F.when(provider == name, F.lit(1 << _FAMILIES.index(family))).otherwise(bit)
+    return bit
+
+
+def _offer(engines: Column) -> Column:
+    """The independent families that a list of engines names, in order: three digits of base four, the first lowest."""
+
+    def digit(engine: Column) -> Column:
+        # as ``labels.engine_family``, with the family's number at once
+        name, number = F.lower(engine), F.lit(0)
+        for needle, family in reversed(dims.ENGINE_FAMILIES):
+            independent = family in dims.INDEPENDENT_FAMILIES
+            place = dims.INDEPENDENT_FAMILIES.index(family) + 1 if independent else 0
+            number = F.when(name.contains(needle), F.lit(place)).otherwise(number)
+        return number
+
+    def coded(named: Column) -> Column:
+        return sum((F.coalesce(F.try_element_at(named, F.lit(i + 1)), F.lit(0)) * 4**i for i in range(3)), F.lit(0))
+
+    named = F.array_distinct(F.filter(F.transform(engines, digit), lambda n: n > 0))
+    return F.when(engines.isNull(), F.lit(_UNNAMED)).when(F.size(engines) == 0, F.lit(0)).otherwise(bind(named, coded))
+
+
+def _resold(offer: Column, owned: Column) -> Column:
+    """Bit of the first family of an offer whose own index answered the query too, else 0."""
+    bit = F.lit(0)
+    for place in (2, 1, 0):
+        digit = F.shiftright(offer, 2 * place).bitwiseAND(3)
+        for i, family in enumerate(dims.INDEPENDENT_FAMILIES):
+            value = 1 << _FAMILIES.index(family)
+            bit = F.when((digit == i + 1) & (owned.bitwiseAND(value) != 0), F.lit(value)).otherwise(bit)
+    return F.when(offer == _UNNAMED, F.lit(0)).otherwise(bit)
+
+
+def _best_votes(results: DataFrame) -> DataFrame:
+    """One row per (query, URL): for each provider its best rank, with what the row said of its engines in the low byte.
+
+    Keys may be strings in a hash aggregation as long as what is reduced has a fixed width, so nothing is sorted
+    and no text travels. The host goes with the URL it is part of.
+    """
+    rank = F.greatest("provider_rank", F.lit(1)).cast("bigint")
+    offer = F.lit(_UNNAMED)
+    if "upstream_engines" in results.columns:
+        offer = F.when(F.col("provider").isin(*_AGGREGATORS), _offer(F.col("upstream_engines"))).otherwise(0)
+    keyed = results.select(
+        "query_id", "canonical_url", "host", "provider", (rank * 256 + offer).alias("_vote"),
+        *(["result_limit"] if "result_limit" in results.columns else []),
+    ).filter(F.col("provider").isin(*[p[0] for p in dims.PROVIDERS]))
+    limits = [F.max("result_limit").alias("result_limit")] if "result_limit" in results.columns else []
+    return keyed.groupBy("query_id", "canonical_url", "host").agg(
+        *[F.min(F.when(F.col("provider") == p[0], F.col("_vote"))).alias(_vote(p[0])) for p in dims.PROVIDERS], *limits
     )
 
 
-def _resold(engines: Column, owned: Column) -> Column:
-    """Family of the first engine whose own index answered the query too."""
-    hits = F.filter(
-        F.transform(engines, engine_family),
-        lambda f: is_independent(f) & F.array_contains(owned, f),
+def _query_context(responses: DataFrame) -> DataFrame:
+    """One row of numbers per query: the families owned, and for each aggregator what its response said of its engines."""
+    if "upstream_engines" not in responses.columns:
+        responses = responses.withColumn("upstream_engines", F.lit(None).cast("array<string>"))
+    said = F.when(F.col("provider").isin(*_AGGREGATORS), _offer(F.col("upstream_engines")))
+    coded = responses.select("query_id", "provider", _family_bit(F.col("provider")).alias("_bit"), said.alias("_said"))
+    return coded.groupBy("query_id").agg(
+        F.bit_or("_bit").alias("_owned"), *[F.min(F.when(F.col("provider") == p, F.col("_said"))).alias(f"_said_{p}") for p in _AGGREGATORS]
     )
-    return F.try_element_at(hits, F.lit(1))
 
 
-def with_contributions(
-    votes: DataFrame,
-    responses: DataFrame,
+def scored_clusters(
+    results: DataFrame,
+    responses: DataFrame | None = None,
     weights: dict[str, float] | None = None,
     k: float = 60.0,
     independent_weight: float = 1.0,
     resold_weight: float = 0.7,
     scraper_weight: float = 1.0,
-    salts: int = 16,
 ) -> DataFrame:
-    """Adds the family a vote counts for, whether it is resold, and its reciprocal-rank share.
+    """One row per (query, URL): score, corroboration, families and best rank, with the votes as numbers.
 
     A row that names its engines, even an empty list, is judged by them; only a row without the list
-    falls back to what the whole response said.
+    falls back to what the whole response said. Shuffles: one for the clusters, which are reduced before it, and
+    one by query for what is known of it, a row of a few numbers, so AQE may split a query with many URLs.
     """
-    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-    context = _query_context(responses).select("*", salt)
-    votes = attach_provider(votes, weights).withColumn(
-        "_salt", F.pmod(F.xxhash64("canonical_url"), F.lit(salts)).cast("int")
-    )
-    # the context is a fraction of the votes in every partition, so hashing it saves sorting them
-    joined = votes.join(context.hint("shuffle_hash"), ["query_id", "_salt"], "left")
-    said = F.flatten(
-        F.transform(
-            F.filter("_engines", lambda e: e["provider"] == F.col("provider")),
-            lambda e: F.coalesce(e["upstream_engines"], F.array().cast("array<string>")),
+    votes = _best_votes(results)
+    if responses is None:
+        responses = results.select("query_id", "provider")
+    df = votes.join(_query_context(responses), "query_id", "left").withColumn("_owned", F.coalesce("_owned", F.lit(0)))
+    score, families, best, staged = F.lit(0.0), F.lit(0), [], {}
+    for name, _, family, aggregator, scraper, _ in dims.PROVIDERS:
+        vote = F.col(_vote(name))
+        rank = F.shiftright(vote, 8)
+        own = 1 << _FAMILIES.index(family)
+        bit, resold = F.lit(own), F.lit(False)
+        if aggregator:
+            offer = vote.bitwiseAND(255).cast("int")
+            named = _resold(offer, F.col("_owned"))
+            bit = F.when(named != 0, named).otherwise(F.lit(own))
+            by_response = _resold(F.coalesce(f"_said_{name}", F.lit(_UNNAMED)), F.col("_owned"))
+            resold = F.when(offer == _UNNAMED, by_response != 0).otherwise(named != 0)
+        staged[f"_bit_{name}"] = F.when(vote.isNotNull(), bit).otherwise(0)
+        weight = (
+            F.lit((weights or {}).get(name, 1.0) * (scraper_weight if scraper else 1.0))
+            * F.when(bit.bitwiseAND(_INDEPENDENT_BITS) != 0, F.lit(independent_weight)).otherwise(1.0)
+            * F.when(resold, F.lit(resold_weight)).otherwise(1.0)
         )
+        staged[f"_share_{name}"] = F.when(vote.isNotNull(), weight / (F.lit(k) + rank)).otherwise(0.0)
+        score = score + F.col(f"_share_{name}")
+        families = families.bitwiseOR(F.col(f"_bit_{name}"))
+        best.append(rank)
+    df = df.withColumns(staged).withColumns({"score": F.round(score, 12), "_families": families, "best_rank": F.least(*best).cast("int")})
+    corroborated = (F.bit_count("_families") >= 2) & (F.col("_families").bitwiseAND(_INDEPENDENT_BITS) != 0)
+    return df.withColumn("corroborated", corroborated).drop(
+        *staged, "_owned", *[f"_said_{p}" for p in _AGGREGATORS]
     )
-    named = F.when(F.col("is_aggregator"), _resold(F.col("upstream_engines"), F.col("_owned")))
-    joined = joined.withColumns(
-        {
-            "vote_family": F.coalesce(named, F.col("family")),
-            "is_resold": F.coalesce(
-                F.when(
-                    F.col("is_aggregator") & F.col("upstream_engines").isNull(),
-                    _resold(said, F.col("_owned")).isNotNull(),
-                ).otherwise(named.isNotNull()),
-                F.lit(False),
-            ),
-        }
-    )
-    weight = (
-        F.col("weight")
-        * F.when(is_independent(F.col("vote_family")), F.lit(independent_weight)).otherwise(1.0)
-        * F.when(F.col("is_resold"), F.lit(resold_weight)).otherwise(1.0)
-        * F.when(F.col("is_scraper"), F.lit(scraper_weight)).otherwise(1.0)
-    )
-    return joined.withColumn("share", weight / (F.lit(k) + F.col("rank"))).drop("_owned", "_engines")
+
+
+def with_sources(scored: DataFrame) -> DataFrame:
+    """Votes as lists: ``sources``, best rank first, and ``families`` in order."""
+    seen = F.array(*[
+        F.when(F.col(_vote(p[0])).isNotNull(), F.struct(F.shiftright(_vote(p[0]), 8).alias("rank"), F.lit(p[5]).alias("place"), F.lit(p[0]).alias("provider")))
+        for p in dims.PROVIDERS
+    ])
+    families = F.array_compact(F.array(*[F.when(F.col("_families").bitwiseAND(1 << i) != 0, F.lit(f)) for i, f in enumerate(_FAMILIES)]))
+    return scored.withColumns(
+        {"sources": F.transform(F.array_sort(F.array_compact(seen)), lambda x: x["provider"]), "families": families}
+    ).drop("_families", *[_vote(p[0]) for p in dims.PROVIDERS])
 
 
 def _longest(name: str) -> Column:
@@ -134,33 +207,18 @@ def _longest(name: str) -> Column:
     return F.max(F.when(F.col(name).isNotNull(), candidate))["text"]
 
 
-def clusters(contributions: DataFrame) -> DataFrame:
-    """One row per (query, URL): score, corroboration, sources and the merged representative."""
+def representatives(results: DataFrame) -> DataFrame:
+    """What a cluster shows: title and URL of its best rank, the richest texts, the earliest date."""
+    votes = attach_provider(best_rank_votes(results))
     place = ["rank", "provider_order"]
     titled = F.when(F.col("title") != "", F.struct(*place, "title"))
-    limits = (
-        [F.max("result_limit").alias("result_limit")]
-        if "result_limit" in contributions.columns
-        else []
-    )
-    grouped = contributions.groupBy("query_id", "_salt", "canonical_url").agg(
-        F.round(F.sum("share"), 12).alias("score"),
-        F.min("rank").alias("best_rank"),
-        F.sort_array(F.collect_set("vote_family")).alias("families"),
-        F.max(is_independent(F.col("vote_family"))).alias("_independent"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(*place, "provider"))), lambda x: x["provider"]
-        ).alias("sources"),
+    return votes.groupBy("query_id", "canonical_url").agg(
         F.min(titled)["title"].alias("title"),
         F.min(F.struct(*place, "url"))["url"].alias("url"),
-        F.min("host").alias("host"),
         _longest("snippet").alias("snippet"),
         _longest("content").alias("content"),
         F.min("published_at").alias("published_at"),
-        *limits,
     )
-    corroborated = (F.size("families") >= 2) & F.col("_independent")
-    return grouped.withColumn("corroborated", corroborated).drop("_independent", "_salt")
 
 
 def rank_clusters(scored: DataFrame, limit: int = 8, per_host: int = 2) -> DataFrame:
@@ -200,15 +258,20 @@ def fuse(
     published_at, upstream_engines, result_limit])``; ``responses(query_id, provider[,
     upstream_engines])`` also names providers that answered with nothing, and is taken from the
     results when not given.
+
+    Two passes over the results: ranking on numbers, whose few rows are landed in the shared folder (a job runs when this
+    is called); then texts of the ranked URLs alone. The planner knows the landed size, so it may keep the join from
+    shuffling when the ranked rows are few.
     """
-    scored = fusion_diagnostics(results, responses, **weighting)
-    return rank_clusters(scored, limit, per_host)
+    scored = scored_clusters(results, responses, **weighting)
+    ranked = landed(with_sources(rank_clusters(scored, limit, per_host)), "ranked")
+    keys = ["query_id", "canonical_url"]
+    shown = representatives(results.join(ranked.select(*keys), keys, "left_semi"))
+    return ranked.join(shown, keys)
 
 
 def fusion_diagnostics(
     results: DataFrame, responses: DataFrame | None = None, **weighting
 ) -> DataFrame:
-    """Every cluster of every query before ranking."""
-    if responses is None:
-        responses = results.select("query_id", "provider").distinct()
-    return clusters(with_contributions(best_rank_votes(results), responses, **weighting))
+    """Every cluster of every query before ranking: score, corroboration, best rank, families and sources."""
+    return with_sources(scored_clusters(results, responses, **weighting))

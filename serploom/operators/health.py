@@ -11,24 +11,53 @@ from pyspark.sql import functions as F
 
 from serploom import dims
 from serploom.functions.labels import provider_kind
+from serploom.operators import folds
+from serploom.operators.folds import Fold
 
 # Numbers of skipped attempts and cancellations never reach the counters.
 _UNCOUNTED = ("circuit_open", "cancelled")
 
 
-def _latest(value: str, when: Column, order: Column) -> Column:
-    """``value`` of the newest row that satisfies ``when``."""
-    return F.max(F.when(when, F.struct(order.alias("at"), F.col(value).alias("value"))))["value"]
-
-
-def _seen(value: str) -> Column:
-    """The distinct values of a closed list, in order.
+def _listed(name: str) -> Column:
+    """A set of a closed list of values, in order.
 
     With a set among them, Spark keeps all aggregates of a group as objects in memory; without one it
     would sort the whole log to take the newest row of a few groups. (A caller that drops this column loses
     that: the optimizer prunes the set.)
     """
-    return F.array_join(F.sort_array(F.collect_set(value)), ",")
+    return F.array_join(F.sort_array(name), ",")
+
+
+def counter_folds() -> list[Fold]:
+    """States of ``provider_counters`` per provider."""
+    at = F.struct("ts", "event_id")
+    failed = ~F.col("ok") & F.col("reached_network") & ~F.coalesce(F.col("category").isin(*_UNCOUNTED), F.lit(False))
+    return [
+        folds.count("requests", F.col("reached_network")),
+        folds.count("successes", F.col("ok")),
+        folds.count("failures", failed),
+        Fold("latency_total_ms", "sum", F.col("latency_ms").cast("bigint"), F.col("ok")),
+        Fold("last_latency_ms", "newest", F.col("latency_ms"), F.col("ok"), at),
+        Fold("last_result_count", "newest", F.col("result_count"), F.col("ok"), at),
+        Fold("last_success_at", "max", F.col("ts"), F.col("ok")),
+        Fold("last_failure_at", "max", F.col("ts"), failed),
+        Fold("last_error", "newest", F.col("message"), failed, at),
+        Fold("last_error_category", "newest", F.col("category"), failed, at),
+        Fold("categories", "seen", F.col("category")),
+    ]
+
+
+def counters_of(states: DataFrame) -> DataFrame:
+    """Provider counters from one state per provider."""
+    total = F.coalesce("latency_total_ms", F.lit(0).cast("bigint"))
+    return states.select(
+        "provider", "requests", "successes", "failures", total.alias("latency_total_ms"),
+        F.coalesce(F.call_function("try_divide", total, F.col("successes")), F.lit(0)).cast("bigint").alias("average_latency_ms"),
+        *[F.col(c)["value"].alias(c) for c in ("last_latency_ms", "last_result_count")],
+        "last_success_at", "last_failure_at",
+        *[F.col(c)["value"].alias(c) for c in ("last_error", "last_error_category")],
+        _listed("categories").alias("categories"),
+    )
 
 
 def provider_counters(attempts: DataFrame) -> DataFrame:
@@ -37,24 +66,7 @@ def provider_counters(attempts: DataFrame) -> DataFrame:
     ``attempts(provider, ts, event_id, ok, category, message, latency_ms, result_count,
     reached_network)``. The average is an integer division over successes.
     """
-    failed = ~F.col("ok") & F.col("reached_network") & ~F.coalesce(F.col("category").isin(*_UNCOUNTED), F.lit(False))
-    order = F.struct("ts", "event_id")
-    successes = F.count_if("ok")
-    total = F.coalesce(F.sum(F.when(F.col("ok"), F.col("latency_ms").cast("bigint"))), F.lit(0))
-    return attempts.groupBy("provider").agg(
-        F.count_if("reached_network").alias("requests"),
-        successes.alias("successes"),
-        F.count_if(failed).alias("failures"),
-        total.alias("latency_total_ms"),
-        F.coalesce(F.call_function("try_divide", total, successes), F.lit(0)).cast("bigint").alias("average_latency_ms"),
-        _latest("latency_ms", F.col("ok"), order).alias("last_latency_ms"),
-        _latest("result_count", F.col("ok"), order).alias("last_result_count"),
-        F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_success_at"),
-        F.max(F.when(failed, F.col("ts"))).alias("last_failure_at"),
-        _latest("message", failed, order).alias("last_error"),
-        _latest("category", failed, order).alias("last_error_category"),
-        _seen("category").alias("categories"),
-    )
+    return counters_of(folds.parts(attempts, ["provider"], counter_folds()))
 
 
 def provider_status(counters: DataFrame, observed: DataFrame, settings: DataFrame) -> DataFrame:
@@ -79,26 +91,39 @@ def provider_status(counters: DataFrame, observed: DataFrame, settings: DataFram
     return df.withColumn("status", status).drop("rate_limited")
 
 
+def probe_folds() -> list[Fold]:
+    """States of ``probe_status`` per provider."""
+    at = F.struct("ts", "event_id")
+    return [
+        folds.count("probes"),
+        folds.count("successes", F.col("ok")),
+        folds.count("failures", ~F.col("ok")),
+        Fold("latency_total_ms", "sum", F.col("latency_ms").cast("bigint"), F.col("ok")),
+        Fold("newest", "newest", F.struct("ok", "result_count", "category"), None, at),
+        Fold("last_success_at", "max", F.col("ts"), F.col("ok")),
+        Fold("categories", "seen", F.col("category")),
+    ]
+
+
 def probe_status(probes: DataFrame, settings: DataFrame) -> DataFrame:
     """Probe counters per provider with state OK, FAIL, IDLE, NO KEY or OFF.
 
     ``probes(provider, ts, event_id, ok, latency_ms, result_count, category)``.
     """
-    order = F.struct("ts", "event_id")
-    successes = F.count_if("ok")
-    total = F.sum(F.when(F.col("ok"), F.col("latency_ms").cast("bigint")))
-    folded = probes.groupBy("provider").agg(
-        F.count("*").alias("probes"),
-        successes.alias("successes"),
-        F.count_if(~F.col("ok")).alias("failures"),
-        F.call_function("try_divide", total, successes).cast("bigint").alias("average_latency_ms"),
-        F.max_by("ok", order).alias("_healthy"),
-        F.max_by("result_count", order).alias("last_result_count"),
-        F.max_by(F.struct("category"), order)["category"].alias("last_error_category"),
-        F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_success_at"),
-        _seen("category").alias("categories"),
-    )
-    facts = dims.providers(probes.sparkSession).select(
+    return probe_status_of(folds.parts(probes, ["provider"], probe_folds()), settings)
+
+
+def probe_status_of(states: DataFrame, settings: DataFrame) -> DataFrame:
+    """Probe status from one state per provider."""
+    folded = states.select(
+        "provider", "probes", "successes", "failures",
+        F.call_function("try_divide", F.col("latency_total_ms"), F.col("successes")).cast("bigint").alias("average_latency_ms"),
+        F.col("newest.value.ok").alias("_healthy"),
+        F.col("newest.value.result_count").alias("last_result_count"),
+        F.col("newest.value.category").alias("last_error_category"),
+        "last_success_at", _listed("categories").alias("categories"),
+    )
+    facts = dims.providers(states.sparkSession).select(
         "provider",
         provider_kind(F.col("is_scraper"), F.col("is_aggregator"), F.col("is_independent")).alias("kind"),
     )
@@ -116,25 +141,35 @@ def probe_status(probes: DataFrame, settings: DataFrame) -> DataFrame:
     ).drop("_healthy")
 
 
+def node_folds() -> list[Fold]:
+    """States of ``node_status`` per node."""
+    at, up = F.struct("ts", "event_id"), F.col("state") == "up"
+    newest = F.struct("state", "latency_ms", "result_count", "engines", "unavailable_engines", "error")
+    return [
+        Fold("is_local", "max", F.col("is_local")),
+        folds.count("checks"),
+        folds.count("failures", ~up),
+        Fold("last_success_at", "max", F.col("ts"), up),
+        Fold("newest", "newest", newest, None, at),
+        Fold("states", "seen", F.col("state")),
+    ]
+
+
 def node_status(probes: DataFrame) -> DataFrame:
     """Check counters and the newest probe of every node.
 
     ``probes`` is what ``read_node_probes`` returns: node, ts, event_id, is_local, state, latency_ms,
     result_count, engines, unavailable_engines, error. Everything but "up" counts as a failure.
     """
-    order = F.struct("ts", "event_id")
-    newest = F.struct("state", "latency_ms", "result_count", "engines", "unavailable_engines", "error")
-    up = F.col("state") == "up"
-    folded = probes.groupBy("node").agg(
-        F.max("is_local").alias("is_local"),
-        F.count("*").alias("checks"),
-        F.count_if(~up).alias("failures"),
-        F.max(F.when(up, F.col("ts"))).alias("last_success_at"),
-        F.max_by(newest, order).alias("_newest"),
-        _seen("state").alias("states"),
-    )
+    return node_status_of(folds.parts(probes, ["node"], node_folds()))
+
+
+def node_status_of(states: DataFrame) -> DataFrame:
+    """Node status from one state per node."""
     rate = F.round((F.col("checks") - F.col("failures")) / F.col("checks"), 6)
-    return folded.select("*", "_newest.*", rate.alias("success_rate")).drop("_newest")
+    return states.select(
+        "node", "is_local", "checks", "failures", "last_success_at", _listed("states").alias("states"), "newest.value.*", rate.alias("success_rate")
+    )
 
 
 def fleet_warnings(nodes: DataFrame, providers: DataFrame) -> DataFrame:

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import codecs
-import re
+from collections.abc import Sequence
+from encodings.aliases import aliases
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from serploom import dims
 from serploom.functions import text, urls
@@ -51,42 +50,74 @@ def has_markup(body: Column) -> Column:
     return body.rlike("<[A-Za-z/!]")
 
 
-@F.pandas_udf(T.StringType())
-def _decode_other(bodies: pd.Series, charsets: pd.Series) -> pd.Series:
-    def named(body: bytes, name):
+#: charsets of one byte a character, decoded by tables that the codecs give
+SINGLE_BYTE = [
+    *[f"cp{n}" for n in (437, 850, 852, 855, 857, 858, 862, 866, 874, *range(1250, 1259))],
+    *[f"iso8859-{n}" for n in (*range(2, 12), *range(13, 17))], "koi8-r", "koi8-u", "mac-roman", "mac-cyrillic",
+]
+#: other charsets, by the names pages use for them
+_BUILT_IN = {"UTF-8": ["utf-8", "utf8"], "ISO-8859-1": ["iso-8859-1", "latin1", "latin-1"], "US-ASCII": ["us-ascii", "ascii"]}
+_HIGH = "".join(map(chr, range(128, 256)))
+
+
+def _names(charset: str) -> list[str]:
+    """What a codec is called in pages, lower-case."""
+    name = codecs.lookup(charset).name
+    known = {charset, name, *[alias for alias, codec in aliases.items() if codec == name.replace("-", "_")]}
+    known |= {n.replace("_", "-") for n in known} | {n.replace("cp", "windows-") for n in known if n.startswith("cp12")}
+    return sorted(known | {n.replace("iso8859", "iso-8859") for n in known})
+
+
+def high_characters(charset: str) -> list[str | None]:
+    """The characters of the bytes from 128 on, null where the charset has none."""
+
+    def of(byte: int) -> str | None:
         try:
-            return body.decode(codecs.lookup(name).name) if name else None
-        except (LookupError, UnicodeDecodeError, TypeError):
+            return bytes([byte]).decode(charset)
+        except UnicodeDecodeError:
             return None
 
-    def meta(body: bytes):
-        found = re.search(r"charset[^=]*=[\"']?([\w-]+)", body[:4096].decode("latin-1"), re.I)
-        return found and found[1].lower()
+    return [of(b) for b in range(128, 256)]
 
-    def decode(body, name):
-        for charset in (name, "utf-8", meta(body)):
-            decoded = named(body, charset)
-            if decoded is not None:
-                return decoded
-        return body.decode("latin-1")
 
-    return pd.Series([None if b is None else decode(b, c) for b, c in zip(bodies, charsets)])
+def _by_name(body: Column, latin: Column, name: Column) -> Column:
+    """Text in the named charset; null if the name is not known or the bytes are not in it."""
+    whole = F.col("_whole")
+    found = F.when(name.isin(_BUILT_IN["UTF-8"]), F.when(whole, body.cast("string")))
+    found = found.when(name.isin(_BUILT_IN["ISO-8859-1"]), latin)
+    found = found.when(name.isin(_BUILT_IN["US-ASCII"]), F.when(~latin.rlike(r"[^\x00-\x7F]"), latin))
+    for charset in SINGLE_BYTE:
+        table = high_characters(charset)
+        lost = "".join(chr(128 + i) for i, c in enumerate(table) if c is None)
+        text = F.translate(latin, _HIGH, "".join(c or "?" for c in table))
+        found = found.when(name.isin(_names(charset)), F.when(~latin.rlike(f"[{lost}]"), text) if lost else text)
+    return found
 
 
 def decode_body(pages: DataFrame, body: str = "body", content_type: str = "content_type") -> DataFrame:
     """Adds ``html``: declared charset, then UTF-8, then the charset the page names, then Latin-1.
 
-    UTF-8 and Latin-1 pages are decoded natively; only the rest goes through Arrow.
+    One projection: charsets of one byte are tables over the Latin-1 reading of the bytes. A charset of several
+    bytes other than UTF-8 is not known (Spark's own decoding fails on broken bytes) and goes on to the next
+    rule; ``multibyte_bodies`` are such pages.
     """
-    df = pages.withColumn("_charset", charset_of(F.col(content_type)))
-    charset = F.coalesce("_charset", F.lit("utf-8"))
-    utf8 = charset.isin("utf-8", "utf8") & F.is_valid_utf8(F.col(body).cast("string"))
-    latin = charset.isin("iso-8859-1", "latin1", "latin-1")
-    native = F.coalesce(utf8 | latin, F.lit(False))
-    decoded = F.when(latin, F.decode(body, "ISO-8859-1")).otherwise(F.col(body).cast("string"))
-    fast = df.filter(native).withColumn("html", decoded)
-    slow = df.filter(~native).withColumn("html", _decode_other(F.col(body), F.col("_charset")))
-    return fast.unionByName(slow).drop("_charset")
+    raw = F.col(body)
+    df = pages.withColumns({
+        "_declared": charset_of(F.col(content_type)), "_latin": F.decode(raw, "ISO-8859-1"), "_whole": F.is_valid_utf8(raw.cast("string")),
+    })
+    df = df.withColumn("_meta", F.lower(F.regexp_extract(F.substring("_latin", 1, 4096), "(?i)charset[^=]*=[\"']?([\\w-]+)", 1)))
+    html = F.coalesce(
+        _by_name(raw, F.col("_latin"), F.col("_declared")), F.when(F.col("_whole"), raw.cast("string")),
+        _by_name(raw, F.col("_latin"), F.col("_meta")), F.col("_latin"),
+    )
+    return df.withColumn("html", html).drop("_declared", "_latin", "_whole", "_meta")
+
+
+def multibyte_bodies(pages: DataFrame, content_type: str = "content_type") -> DataFrame:
+    """Pages that declare a charset ``decode_body`` has no rule for."""
+    known = [n for names in _BUILT_IN.values() for n in names] + [n for c in SINGLE_BYTE for n in _names(c)]
+    charset = charset_of(F.col(content_type))
+    return pages.filter(charset.isNotNull() & ~charset.isin(known))
 
 
 def admit_bodies(pages: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
@@ -175,6 +206,55 @@ def prefer_extraction(
 
 
 # --- links ------------------------------------------------------------------------------------------
+# Fixed values of a link worth following.
+LINK_TEXT, LINKS_A_PAGE = (12, 300), 30
+
+_UNSEEN = r"(?is)<!--.*?-->|<(script|style|template|textarea|title|xmp|iframe)\b.*?</\1\s*>"
+# attributes, quoted or not; the text up to the end tag or to the next link
+_ANCHOR = r"""(?is)<a\s((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>(.*?)(?=</a\s*>|<a[\s>]|\z)"""
+_HREF = r"""(?is)(?:^|[\s"'])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# elements that part words; other tags leave nothing
+_PARTING = (
+    "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|h[1-6]|header|hr|li|nav|ol|p|pre|section|table|td|th|tr|ul"
+)
+
+
+def link_text(inner: Column) -> Column:
+    """The words inside a link on one line."""
+    parted = F.regexp_replace(inner, rf"(?i)</?(?:{_PARTING})\b[^>]*>", " ")
+    return text.collapse_ws(text.decode_entities(F.regexp_replace(parted, "<[^>]*>", "")))
+
+
+def extract_outlinks(
+    pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id", exclude: Sequence[str] = (), limit: int = LINKS_A_PAGE
+) -> DataFrame:
+    """Links of a page that read like titles: key, position, url, title, canonical_url, host.
+
+    Every anchor with a target in page order; redirect targets are unwrapped, relative ones completed from the page's own
+    address; hosts of ``exclude`` and below are left out. A link's words have 12 to 300 characters and a space. The
+    first link to an address stays, the first ``limit`` links of a page do. Expressions and one shuffle by page.
+    """
+    seen = F.regexp_replace(html, _UNSEEN, " ")
+    groups = F.arrays_zip(*[F.regexp_extract_all(F.col("_seen"), F.lit(_ANCHOR), F.lit(g)).alias(n) for g, n in ((1, "attributes"), (2, "inner"))])
+    base = F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    found = pages.select(key, base.alias("_base"), seen.alias("_seen")).select(key, "_base", F.posexplode(groups).alias("_pos", "_a"))
+    raw = F.regexp_replace(F.regexp_extract("_a.attributes", _HREF, 1), "^[\"']|[\"']$", "")
+    links = found.select(key, "_pos", "_base", urls.trim_ws(text.decode_entities(raw)).alias("_href"), F.col("_a.inner").alias("_inner"))
+    links = links.filter("_href <> ''").withColumn("url", urls.absolute_url(urls.unwrap_redirect(F.col("_href")), F.col("_base")))
+    links = urls.with_canonical_url(links, "url", host_out="host").filter("host <> ''")
+    if exclude:
+        links = links.filter(urls.domain_filter(F.col("host"), [], list(exclude)))
+    # its own projection: the words are used three times
+    links = links.select(key, "_pos", "url", "canonical_url", "host", link_text(F.col("_inner")).alias("title"))
+    links = links.filter(F.length("title").between(*LINK_TEXT) & F.contains("title", F.lit(" ")))
+    # both windows are met by one deal of the pages
+    first = Window.partitionBy(key, "canonical_url").orderBy("_pos")
+    in_page = Window.partitionBy(key).orderBy("_pos")
+    kept = links.repartition(key).withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    ranked = kept.withColumn("position", F.row_number().over(in_page)).filter(F.col("position") <= limit)
+    return ranked.select(key, "position", "url", "title", "canonical_url", "host")
+
+
 def challenge_pages(pages: DataFrame, link_rows: DataFrame, key: str = "page_id") -> DataFrame:
     """Pages that carry an anti-bot marker and yielded no rows; a page with rows never counts."""
     marked = pages.filter(text.contains_any(F.lower("html"), dims.CHALLENGE_MARKERS))

@@ -10,29 +10,41 @@ from pyspark.sql import functions as F
 from serploom.functions import text, urls
 
 
-def drop_invalid(
+def keyed_results(
     raw: DataFrame,
     include: str | Sequence[str] | None = None,
     exclude: str | Sequence[str] | None = None,
 ) -> DataFrame:
-    """Repaired, canonical result rows; unusable URLs and filtered domains are dropped.
+    """Rows with a repaired URL, its canonical form and host; unusable URLs and filtered domains are dropped.
 
-    ``raw`` has ``url``, ``title``, ``snippet`` and optionally ``content``; domain rules are the name of
-    an array column or a plain list. No shuffle: a projection and a filter.
+    Domain rules are the name of an array column or a plain list. No shuffle: projections and filters.
     """
     df = raw.withColumn("url", urls.repair_url(F.col("url"))).filter(F.col("url").isNotNull())
+    df = urls.with_canonical_url(df, "url", host_out="host")
     if include or exclude:
         named = lambda rules: F.col(rules) if isinstance(rules, str) else list(rules or [])
-        host = urls.url_host(F.col("url"))
-        df = df.filter(urls.domain_filter(host, named(include), named(exclude)))
-    df = urls.with_canonical_url(df, "url", host_out="host")
+        df = df.filter(urls.domain_filter(F.col("host"), named(include), named(exclude)))
+    return df
+
+
+def cleaned_results(keyed: DataFrame) -> DataFrame:
+    """Titles and texts without markup; a row without a title is named by its host."""
     added = {
         "title": F.coalesce(text.clean_text(F.col("title")), F.col("host")),
         "snippet": text.clean_text(F.col("snippet")),
     }
-    if "content" in raw.columns:
+    if "content" in keyed.columns:
         added["content"] = F.nullif(urls.trim_ws(F.col("content")), F.lit(""))
-    return df.withColumns(added)
+    return keyed.withColumns(added)
+
+
+def drop_invalid(
+    raw: DataFrame,
+    include: str | Sequence[str] | None = None,
+    exclude: str | Sequence[str] | None = None,
+) -> DataFrame:
+    """Repaired, canonical and cleaned result rows; ``raw`` has ``url``, ``title``, ``snippet`` and optionally ``content``."""
+    return cleaned_results(keyed_results(raw, include, exclude))
 
 
 def dedupe_in_response(results: DataFrame) -> DataFrame:
@@ -47,36 +59,34 @@ def dedupe_in_response(results: DataFrame) -> DataFrame:
     return results.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
-def filter_domains_at_scale(
-    results: DataFrame, rules: DataFrame, host: str = "host", salts: int = 16
+def silver_results(
+    raw: DataFrame,
+    include: str | Sequence[str] | None = None,
+    exclude: str | Sequence[str] | None = None,
 ) -> DataFrame:
+    """The silver step: keys first, then the first row of each URL in a response, and only its texts are cleaned."""
+    return cleaned_results(dedupe_in_response(keyed_results(raw, include, exclude)))
+
+
+def filter_domains_at_scale(results: DataFrame, rules: DataFrame, host: str = "host") -> DataFrame:
     """Keeps result rows whose host passes the include / exclude rules of their query.
 
-    ``rules(query_id, kind, domain)`` with kind include or exclude. Suffix matching becomes an equi
-    join: a host is expanded to its few dot suffixes, and the rule side is small per query. Result
-    rows are salted so that one busy query is spread over ``salts`` tasks.
+    ``rules(query_id, kind, domain)`` with kind include or exclude; they stay rows, so a block list of millions of
+    domains is never gathered. Suffix matching becomes an equi join on (query_id, suffix): a host has a few dot
+    suffixes, and only the distinct (query_id, host) pairs are joined. Their verdicts come back by a left
+    join on (query_id, host), so a busy query is spread over its hosts.
     """
-    clean = (
-        rules.withColumn("domain", urls.normalize_domain(F.col("domain")))
-        .groupBy("query_id", "kind")
-        .agg(F.collect_set(F.nullif(F.col("domain"), F.lit(""))).alias("domains"))
-    )
-    per_query = clean.groupBy("query_id").agg(
-        F.first(F.when(F.col("kind") == "include", F.col("domains")), True).alias("_include"),
-        F.first(F.when(F.col("kind") == "exclude", F.col("domains")), True).alias("_exclude"),
-        F.max(F.col("kind") == "include").alias("_limited"),
-    )
-    per_query = per_query.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    labels = F.split(F.lower(F.col(host)), r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
-    salted = results.withColumns(
-        {"_salt": F.pmod(F.xxhash64(host), F.lit(salts)).cast("int"), "_suffixes": suffixes}
+    clean = rules.select("query_id", "kind", urls.normalize_domain(F.col("domain")).alias("_suffix"))
+    clean = clean.filter("_suffix <> ''").groupBy("query_id", "_suffix").agg(
+        F.max(F.col("kind") == "exclude").alias("_out"), F.max(F.col("kind") == "include").alias("_in")
     )
-    joined = salted.join(per_query, ["query_id", "_salt"], "left")
-    blocked = F.coalesce(F.arrays_overlap("_suffixes", "_exclude"), F.lit(False))
-    wanted = F.coalesce(F.arrays_overlap("_suffixes", "_include"), F.lit(False))
-    kept = joined.filter(~blocked & (~F.coalesce(F.col("_limited"), F.lit(False)) | wanted))
-    return kept.drop("_salt", "_suffixes", "_include", "_exclude", "_limited")
+    # an empty inclusion still limits its query
+    limited = rules.filter("kind = 'include'").select("query_id").distinct().withColumn("_limited", F.lit(True))
+    of = results.select("query_id", F.col(host).alias("_host")).distinct()
+    labels = F.split(F.lower("_host"), r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    met = of.select("query_id", "_host", F.explode(suffixes).alias("_suffix")).join(clean, ["query_id", "_suffix"])
+    verdict = met.groupBy(F.col("query_id").alias("_query"), F.col("_host").alias("_of")).agg(F.max("_out").alias("_out"), F.max("_in").alias("_in"))
+    judged = results.join(verdict, (F.col("query_id") == F.col("_query")) & (F.col(host) == F.col("_of")), "left")
+    kept = judged.filter(~F.coalesce("_out", F.lit(False))).join(limited, "query_id", "left")
+    return kept.filter(F.col("_limited").isNull() | F.coalesce("_in", F.lit(False))).drop("_query", "_of", "_out", "_in", "_limited")

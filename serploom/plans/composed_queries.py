@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from serploom.operators import fusion
-from serploom.operators.results import dedupe_in_response, drop_invalid
+from serploom.operators.results import silver_results
 from serploom.plans import payload_queries as built
 from serploom.plans.fusion_queries import _TOP, family_sql, fusion_sql
 from serploom.plans.output_queries import _TAIL_JSON, _TOP_COLUMNS, _searches
@@ -25,7 +25,7 @@ def fused_from_payloads(spark, sf_dir):
         .unionByName(built.payloads(spark, sf_dir, "searxng", built._searxng))
     )
     parsed = read_payloads(landed)
-    silver = dedupe_in_response(drop_invalid(result_rows(parsed)))
+    silver = silver_results(result_rows(parsed))
     answered = response_rows(parsed).filter("outcome = 'ok'").select("query_id", "provider", "upstream_engines")
     return fusion.fuse(silver, answered, limit=8, per_host=2)
 

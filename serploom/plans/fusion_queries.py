@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from serploom import dims
 from serploom.functions import labels, urls
 from serploom.operators import fusion
-from serploom.operators.results import dedupe_in_response, drop_invalid
+from serploom.operators.results import dedupe_in_response
+from serploom.operators.results import silver_results as clean_silver
 from serploom.plans.url_queries import canonical_sql
 from serploom.plans.views import sql, view
-from serploom.session import load
 
 QUERIES = {}
 ORACLE = {}
@@ -216,7 +216,7 @@ def silver_results(spark, sf_dir):
         F.expr("case when provider_rank % 4 = 0 then '<i></i>' else '<b>' || title || '</b> &amp;&nbsp;more' end").alias("title"),
         F.expr("coalesce(snippet, '  ') || '<br'").alias("snippet"),
     )
-    silver = dedupe_in_response(drop_invalid(raw, ["example.com"], ["large-7.example.com", "WWW.standard-9.example.com"]))
+    silver = clean_silver(raw, ["example.com"], ["large-7.example.com", "WWW.standard-9.example.com"])
     return silver.select("query_id", "provider", "provider_rank", "canonical_url", "host", "title", "snippet")
 
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from serploom import dims
-from serploom.functions import requests as request_functions
 from serploom.operators import fusion, health, routing, runs, states
 from serploom.plans.fusion_queries import _FACTS_SQL, fusion_sql, _FLAT_RESPONSES, _TOP, family_sql, ranked_lists
 from serploom.plans.state_queries import OBSERVED_SQL
-from serploom.plans.text_queries import DIGEST_SQL, collapse_sql, digest_of
+from serploom.plans.text_queries import DIGEST_SQL, digest_of
 from serploom.plans.views import sql, view
 from serploom.sources.probes import read_node_probes
 
@@ -84,11 +83,14 @@ def _probes(spark, sf_dir):
     return health.probe_status(view(spark, sf_dir, "attempts"), settings(spark))
 
 
+PROBE_COLUMNS = [
+    "provider", "state", "kind", "probes", "successes", "failures", "average_latency_ms", "last_result_count",
+    "last_error_category", "categories", "success_rate",
+]
+
+
 def probe_status(spark, sf_dir):
-    return _probes(spark, sf_dir).select(
-        "provider", "state", "kind", "probes", "successes", "failures", "average_latency_ms", "last_result_count",
-        "last_error_category", "categories", "success_rate",
-    )
+    return _probes(spark, sf_dir).select(*PROBE_COLUMNS)
 
 
 QUERIES["probe_status"] = probe_status
@@ -309,13 +311,14 @@ ORACLE["run_verdict"] = sql(
 
 
 def silent_providers(spark, sf_dir):
-    attempts = view(spark, sf_dir, "attempts")
+    """Exa only answers slowly here, and slow answers are left out."""
+    attempts = view(spark, sf_dir, "attempts").filter("provider <> 'exa' or latency_ms < 0")
     return runs.silent_providers(attempts, settings(spark))
 
 
 QUERIES["silent_providers"] = silent_providers
 ORACLE["silent_providers"] = sql(
-    f"""select provider from {_SETTINGS_SQL} except select provider from attempts where ok""",
+    f"""select provider from {_SETTINGS_SQL} except select provider from attempts where ok and (provider <> 'exa' or latency_ms < 0)""",
     "attempts",
 )
 
@@ -343,8 +346,8 @@ def thin_queries(spark, sf_dir):
 
     fused = fusion.fuse(ranked_lists(spark, sf_dir), limit=8, per_host=2)
     requests = load(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("query_id"), F.lit("thorough").alias("mode"), (F.col("s_suppkey") % 8 + 1).cast("int").alias("result_limit")
-    )
+        (2 * F.col("s_suppkey")).alias("query_id"), F.lit("thorough").alias("mode"), (F.col("s_suppkey") % 8 + 1).cast("int").alias("result_limit")
+    )  # every other supplier, and as many queries that found nothing
     return runs.thin_queries(requests, fused).select("query_id", "result_limit", "fused_rows")
 
 
@@ -354,7 +357,7 @@ ORACLE["thin_queries"] = sql(
         _FLAT_RESPONSES, family_sql("v.upstream_engine"), "true",
         _TOP.format(cap=2, limit=8, columns="query_id, score").replace("select query_id, score from", ", fusedrows as (select query_id, score from")
         + """), n as (select query_id, count(*) as n from fusedrows group by query_id)
-        select s_suppkey as query_id, cast(s_suppkey % 8 + 1 as int) as result_limit, coalesce(n.n, 0) as fused_rows from supplier left join n on n.query_id = s_suppkey
+        select 2 * s_suppkey as query_id, cast(s_suppkey % 8 + 1 as int) as result_limit, coalesce(n.n, 0) as fused_rows from supplier left join n on n.query_id = 2 * s_suppkey
         where coalesce(n.n, 0) < least(s_suppkey % 8 + 1, 3)""",
     ),
     "ranked_lists",

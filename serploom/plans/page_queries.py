@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from serploom import dims
 from serploom.operators import pages
 from serploom.plans.text_queries import collapse_sql, decode_sql, strip_sql
 from serploom.plans.views import sql, view
@@ -33,22 +32,40 @@ ORACLE["page_types"] = """
       ['utf-8', 'iso-8859-1', null, null, null, 'koi8-r'][1 + page_id % 6] as charset, page_id % 6 not in (2, 5) as textual from pages"""
 
 
+# (form, content type, charset of the body, charset that the page names); other signs than ASCII become one of the charset
+_FORMS = [
+    ("text/html", "utf-8", "utf-8"), ("text/html; charset=iso-8859-1", "latin-1", "utf-8"), ("text/html", "latin-1", "iso-8859-1"),
+    ("text/html; charset=Windows-1251", "cp1251", "utf-8"), ("text/html", "koi8-r", "koi8-r"), ("text/html;charset='cp1252'", "cp1252", "utf-8"),
+    ("text/html; charset=unheard-of", "cp1253", "windows-1253"), ("text/html; charset=utf-8", "koi8-r", "KOI8-R"),
+]
+_SIGNS = {"utf-8": "語", "latin-1": "ÿ", "cp1251": "Ж", "koi8-r": "Я", "cp1252": "€", "cp1253": "Ω"}
+
+
+def encoded(text, charset):
+    """The bytes of a text in a charset, by its table the other way round."""
+    if charset == "utf-8":
+        return F.encode(text, "UTF-8")
+    if charset != "latin-1":
+        table = [(c, chr(128 + i)) for i, c in enumerate(pages.high_characters(charset)) if c]
+        text = F.translate(text, "".join(c for c, _ in table), "".join(b for _, b in table))
+    return F.encode(text, "ISO-8859-1")
+
+
 def page_decode(spark, sf_dir):
-    """Bodies in UTF-8, declared Latin-1 and undeclared Latin-1."""
-    raw = load(spark, sf_dir, "pages")
-    western = raw["html"].rlike(r"^[\x00-\x7F\xA0-\xFF]*$")
-    form = F.when(western, F.col("page_id") % 3).otherwise(0)
-    df = raw.select(
-        "page_id",
-        F.when(form == 0, F.encode("html", "UTF-8")).otherwise(F.encode("html", "ISO-8859-1")).alias("body"),
-        F.when(form == 1, F.lit("text/html; charset=iso-8859-1")).otherwise("text/html").alias("content_type"),
-        F.regexp_replace("html", "utf-8", "iso-8859-1").alias("unused"),
-    )
-    return pages.decode_body(df).select("page_id", "html")
+    """Bodies in eight forms: declared and undeclared, named by the page only, declared wrongly."""
+    df = load(spark, sf_dir, "pages")
+    body, kind = F.lit(None).cast("binary"), F.lit(None).cast("string")
+    for i, (content_type, charset, meta) in enumerate(_FORMS):
+        text = F.replace(F.regexp_replace("html", r"[^\x00-\x7F]", _SIGNS[charset]), F.lit('charset="utf-8"'), F.lit(f'charset="{meta}"'))
+        here = F.col("page_id") % len(_FORMS) == i
+        body, kind = F.when(here, encoded(text, charset)).otherwise(body), F.when(here, F.lit(content_type)).otherwise(kind)
+    return pages.decode_body(df.select("page_id", body.alias("body"), kind.alias("content_type"))).select("page_id", "html")
 
 
 QUERIES["page_decode"] = page_decode
-ORACLE["page_decode"] = "select page_id, html from pages"
+ORACLE["page_decode"] = f"""
+    select page_id, replace(regexp_replace(html, '[^\x00-\x7F]', [{", ".join(f"'{_SIGNS[c]}'" for _, c, _ in _FORMS)}][1 + page_id % {len(_FORMS)}], 'g'),
+      'charset="utf-8"', 'charset="' || [{", ".join(f"'{m}'" for _, _, m in _FORMS)}][1 + page_id % {len(_FORMS)}] || '"') as html from pages"""
 
 
 def page_markup(spark, sf_dir):
@@ -114,6 +131,46 @@ QUERIES["challenge_pages"] = challenge_pages
 ORACLE["challenge_pages"] = "select page_id from pages where page_id % 5 = 0 and not regexp_matches(html, '<a [^>]*>[^<]{12,300}</a>')"
 
 
+# (link as it stands in the page, what it leads to, its words) in page order; null: no link worth following
+_LINKS = [
+    ('<a class=x href="/story/{p}">Story number {p} of the site</a>', "{b}/story/{p}", "Story number {p} of the site"),
+    ("<A HREF='/story/{p}?utm_source=feed#top'>Story again with <b>b</b>old words</A>", None, None),
+    ('<a href="https://duckduckgo.com/l/?uddg=https%3A%2F%2Fexample.org%2Fp%2F{p}&amp;rut=1">Wrapped  link\n<i>num</i>ber {p}', "https://example.org/p/{p}", "Wrapped link number {p}"),
+    ('<a href="//cdn.excluded.net/{p}">Excluded host by its suffix</a>', None, None),
+    ('<a href="/short">too short</a><a href="/one">Oneverylongsingleword</a><a href="mailto:x@y.z">Write a letter to us</a>', None, None),
+    ('<a name="here">No target in this one</a><!-- <a href="/hidden/{p}">Hidden inside a comment</a> -->', None, None),
+    ('<script>var x = "<a href=/script/{p}>Written by a script only</a>";</script>', None, None),
+    ('<a title="a > b" href=/bare/{p}><div>Bare attribute</div><p>and a quoted&nbsp;sign</p></a>', "{b}/bare/{p}", "Bare attribute and a quoted sign"),
+    ('<a data-href="/no" href="//Other.Example.org:443/x/?y=1&amp;z=2">Another site &amp; its query</a>', "https://Other.Example.org:443/x/?y=1&z=2", "Another site & its query"),
+]
+_LIST = 40
+
+
+def page_outlinks(spark, sf_dir):
+    """Pages with a list of links more than a page may give."""
+    raw = load(spark, sf_dir, "pages")
+    number = F.col("page_id").cast("string")
+    listed = F.transform(F.sequence(F.lit(1), F.lit(_LIST)), lambda k: F.concat(
+        F.lit('<li><a href="/list/'), number, F.lit("/"), k.cast("string"), F.lit('">Entry number '), k.cast("string"), F.lit(" in a long list</a>")
+    ))
+    more = F.concat(F.replace(F.lit("".join(a for a, _, _ in _LINKS)), F.lit("{p}"), number), F.array_join(listed, ""))
+    links = pages.extract_outlinks(raw.select("page_id", "url", F.concat("html", more).alias("html")), exclude=["excluded.net"])
+    return links.select("page_id", "position", "url", "title", "canonical_url")
+
+
+QUERIES["page_outlinks"] = page_outlinks
+_EXPECTED = ", ".join(f"({i}, '{u}', '{t}')" for i, (_, u, t) in enumerate(_LINKS) if u)
+ORACLE["page_outlinks"] = f"""
+    with base as (select page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') as b from pages),
+    kept as (select page_id, b, i, u, t from base, (values {_EXPECTED}) as v(i, u, t)
+             union all select page_id, b, 100 + k, '{{b}}/list/{{p}}/' || k, 'Entry number ' || k || ' in a long list' from base, unnest(range(1, {_LIST + 1})) as r(k)),
+    said as (select page_id, i, replace(replace(u, '{{b}}', b), '{{p}}', cast(page_id as varchar)) as url, replace(t, '{{p}}', cast(page_id as varchar)) as title from kept),
+    keyed as (select *, case when i = 8 then 'https://other.example.org/x?y=1&z=2'
+                             else lower(regexp_extract(url, '^[A-Za-z]+://[^/]*')) || regexp_replace(url, '^[A-Za-z]+://[^/]*', '') end as canonical_url from said)
+    select page_id, cast(n as int) as position, url, title, canonical_url
+    from (select *, row_number() over (partition by page_id order by i) as n from keyed) where n <= 30"""
+
+
 def prefer_extraction(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text", "source")
     direct = docs.filter("source <> 'src1'").withColumn("text", F.when(F.col("page_id") % 4 == 0, "").otherwise(F.col("text")))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from serploom.plans.views import sql
 from serploom.session import load
 from serploom.sources.payloads import read_payloads, response_rows, result_rows
 

@@ -176,6 +176,34 @@ def domain_filter_join(spark, sf_dir):
 
 
 QUERIES["domain_filter_join"] = domain_filter_join
+
+
+def domain_block_list(spark, sf_dir):
+    """Block and allow lists with a domain for every part and query, most of them for other hosts."""
+    found = urls.with_canonical_url(load(spark, sf_dir, "pages").select("page_id", "url"), "url", host_out="host")
+    each = F.explode(F.sequence(F.lit(0), F.lit(49))).alias("query_id")
+    results = found.select(each, "page_id", "host")
+    listed = found.select("page_id", "host").filter("page_id % 3 = 0").distinct()
+    blocked = load(spark, sf_dir, "part").select(each, F.concat(F.lit("*.part-"), "p_partkey", F.lit(".example")).alias("domain"))
+    some = listed.select((F.col("page_id") % 50).cast("int").alias("query_id"), "host")
+    rules = (
+        blocked.withColumn("kind", F.lit("exclude"))
+        .unionByName(some.select("query_id", F.concat(F.lit(" "), F.upper("host"), F.lit(".")).alias("domain"), F.lit("exclude").alias("kind")))
+        .unionByName(blocked.filter("query_id % 10 = 0").withColumn("kind", F.lit("include")))
+        .unionByName(spark.range(50).filter("id % 20 = 0").select(F.col("id").cast("int").alias("query_id"), F.lit("example.com").alias("domain"), F.lit("include").alias("kind")))
+    )
+    kept = filter_domains_at_scale(results, rules)
+    return kept.groupBy("query_id").agg(F.count("*").alias("kept"), F.sum("page_id").alias("page_sum"))
+
+
+QUERIES["domain_block_list"] = domain_block_list
+ORACLE["domain_block_list"] = """
+    with r as (select cast(q as int) as query_id, page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) as host from pages, unnest(range(50)) as t(q)),
+    b as (select cast(page_id % 50 as int) as query_id, regexp_replace(host, '^www\\.', '') as domain from r where query_id = 0 and page_id % 3 = 0)
+    select query_id, count(*) as kept, cast(sum(page_id) as bigint) as page_sum from r
+    where not exists (select 1 from b where b.query_id = r.query_id and (r.host = b.domain or ends_with(r.host, '.' || b.domain)))
+      and case when query_id % 20 = 0 then r.host = 'example.com' or ends_with(r.host, '.example.com') when query_id % 10 = 0 then false else true end
+    group by query_id"""
 ORACLE["domain_filter_join"] = """
     with r as (select cast(page_id % 7 as int) as query_id, page_id,
                       lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) as host from pages)
@@ -244,7 +272,7 @@ def ascii_hosts(spark, sf_dir):
     pages = load(spark, sf_dir, "pages").select("page_id", urls.url_host(F.col("url")).alias("_u_host"), "url")
     label = F.when(F.col("page_id") % 2 == 0, F.lit("bücher.")).otherwise(F.lit(""))
     pages = pages.select("page_id", F.concat(label, F.col("_u_host")).alias("host"))
-    return urls.with_ascii_host(pages, "host", "ascii_host")
+    return pages.withColumn("ascii_host", urls.ascii_host(F.col("host")))
 
 
 QUERIES["ascii_hosts"] = ascii_hosts
@@ -254,6 +282,35 @@ ORACLE["ascii_hosts"] = """
     from (select page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) as host from pages)"""
 
 
+# Labels and their registered ASCII spelling.
+_LABELS = {
+    "bücher": "xn--bcher-kva", "münchen": "xn--mnchen-3ya", "пример": "xn--e1afmkfd", "例え": "xn--r8jz45g",
+    "español": "xn--espaol-zwa", "中文": "xn--fiq228c", "δοκιμή": "xn--jxalpdlp", "परीक्षा": "xn--11b5bs3a9aj6g",
+}
+
+
+def url_host_spellings(spark, sf_dir):
+    """Every page under a host in its own script, with upper case and another full stop, and under the ASCII spelling."""
+    pages = load(spark, sf_dir, "pages").select("page_id", urls.url_host(F.col("url")).alias("host"))
+    pairs = F.array(*[F.struct(F.lit(u).alias("own"), F.lit(a).alias("ascii")) for u, a in _LABELS.items()])
+    pair = F.element_at(pairs, (1 + F.col("page_id") % len(_LABELS)).cast("int"))
+    stop = F.when(F.col("page_id") % 2 == 0, F.lit("\u3002")).otherwise(F.lit("."))
+    spelled = F.array(
+        F.concat(F.lit("https://"), F.upper(pair.own), stop, F.col("host"), F.lit(":443/x")),
+        F.concat(F.lit("HTTPS://"), pair.ascii, F.lit("."), F.col("host"), F.lit("./x?utm_source=a")),
+    )
+    each = pages.select("page_id", F.explode(spelled).alias("url"))
+    keyed = urls.with_canonical_url(each, "url", host_out="host")
+    return keyed.groupBy("canonical_url", "host").agg(F.count("*").alias("copies"), F.count_distinct("page_id").alias("pages"))
+
+
+QUERIES["url_host_spellings"] = url_host_spellings
+ORACLE["url_host_spellings"] = f"""
+    select 'https://' || host || '/x' as canonical_url, host, 2 * count(*) as copies, count(*) as pages
+    from (select page_id, [{_quoted(_LABELS.values())}][1 + page_id % {len(_LABELS)}] || '.' || lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) as host from pages)
+    group by host"""
+
+
 _ADMISSION_HOST = (
     "case page_id % 12 when 0 then 'localhost' when 1 then 'printer.LAN.' when 2 then '10.1.2.3' "
     "when 3 then '8.8.4.4' when 4 then '192.168.1.1:8080' when 5 then 'bare' when 6 then 'a_b.example.com' "

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def landed(table: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared checkpoint folder and read again: lineage ends, and its size is known."""
+    path = f"{ensure_checkpoint_dir(table.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; on one machine a scratch folder when unset."""
     context = spark.sparkContext

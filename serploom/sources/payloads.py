@@ -178,13 +178,14 @@ def _named_engines(r: Column) -> Column:
     return F.array_sort(F.array_distinct(names))
 
 
-def _all_engines(items: Column) -> Column:
-    named = F.flatten(F.transform(items, _named_engines))
-    return F.coalesce(F.array_sort(F.array_distinct(named)), _strings())
+def _engines_or_null(r: Column) -> Column:
+    return bind(_named_engines(r), lambda names: F.when(F.size(names) > 0, names))
 
 
-def _engines_or_null(r: Column) -> Column:
-    return F.when(F.size(_named_engines(r)) > 0, _named_engines(r))
+def _all_engines(items: Column) -> Column:
+    """Engines of all finished items, those of items that are dropped later too."""
+    named = F.flatten(F.transform(items, lambda i: F.coalesce(i["engines"], _strings())))
+    return F.coalesce(F.array_sort(F.array_distinct(named)), _strings())
 
 
 def read_searxng(body: Column) -> Column:
@@ -216,11 +217,9 @@ def _searxng_response(p: Column) -> Column:
             F.lit("SearXNG engine "), e[0], F.lit(" was unresponsive: "), e[1], F.lit(".")
         ),
     )
-    return _response(
-        p["results"].isNotNull(), items,
-        answer=F.try_element_at(F.filter(texts, lambda t: F.coalesce(t, F.lit("")) != ""), F.lit(1)),
-        engines=_all_engines(p["results"]), warnings=warnings,
-    )
+    answer = F.try_element_at(F.filter(texts, lambda t: F.coalesce(t, F.lit("")) != ""), F.lit(1))
+    # the items are built once, and the response's engines come from them
+    return bind(items, lambda done: _response(p["results"].isNotNull(), done, answer=answer, engines=_all_engines(done), warnings=warnings))
 
 
 def read_open_web_search(body: Column) -> Column:
@@ -256,16 +255,17 @@ def _open_web_search_response(p: Column) -> Column:
         | F.coalesce(p["success"], F.lit(False))
         | F.coalesce(F.lower(p["status"]) == "ok", F.lit(False))
     )
-    warning = F.when(
-        F.size(_all_engines(found)) == 0,
-        _strings(
-            F.lit(
-                "Open Web Search did not report its upstream engines, so its results cannot be "
-                "attributed to independent sources."
-            )
-        ),
+    unattributed = _strings(
+        F.lit(
+            "Open Web Search did not report its upstream engines, so its results cannot be "
+            "attributed to independent sources."
+        )
     )
-    return _response(ok, items, engines=_all_engines(found), warnings=warning)
+
+    def response(done: Column, engines: Column) -> Column:
+        return _response(ok, done, engines=engines, warnings=F.when(F.size(engines) == 0, unattributed))
+
+    return bind(items, lambda done: bind(_all_engines(done), lambda engines: response(done, engines)))
 
 
 def read_parallel(body: Column) -> Column:

@@ -92,7 +92,7 @@ def test_random_lists_hot_query_any_partitioning(spark, seed):
     rows = [(p, rng.randint(1, 20), "t", f"https://h{rng.randint(0, 6)}.com/{rng.randint(0, 30)}") for p in ("tavily", "brave", "mojeek") for _ in range(400)]
     want = reference_fuse(rows, 8, 2)
     for partitions in (1, 7):
-        got = fused(lists(spark, rows, partitions), limit=8, per_host=2, salts=1 + partitions)
+        got = fused(lists(spark, rows, partitions), limit=8, per_host=2)
         assert [r.canonical_url for r in got] == want
 
 
@@ -121,5 +121,27 @@ def test_domain_join_equals_row_rule(spark):
 
 def test_window_limits_reach_below_the_shuffle(spark):
     df = lists(spark, [("tavily", 1, "A", "https://a.com/1")])
-    plan = fusion.fuse(df)._jdf.queryExecution().executedPlan().toString()
+    plan = fusion.rank_clusters(fusion.scored_clusters(df))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 4 and "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_ranking_moves_numbers_only(spark):
+    """No text is reduced, sorted or shuffled before the ranked URLs are known."""
+    df = lists(spark, [("tavily", 1, "A", "https://a.com/1", "long text", ["brave"]), ("searxng", 1, "A", "https://a.com/1", "long text", ["brave"])])
+    plan = fusion.rank_clusters(fusion.scored_clusters(df))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    assert "snippet" not in plan.split("Scan")[0] and "title" not in plan.split("Scan")[0]
+
+
+def test_families_in_an_offer(spark):
+    """The first of an aggregator's engines whose own index answered decides, by row, else by response."""
+    responses = spark.createDataFrame([(1, "mojeek", None), (1, "tavily", None), (1, "searxng", ["x", "Brave", "mojeek.com"])], "query_id bigint, provider string, upstream_engines array<string>")
+    rows = [
+        ("searxng", 1, "A", "https://a.com/", None, ["bing", "brave", "Tavily API", "mojeek"]), ("searxng", 2, "B", "https://b.com/", None, ["brave", "google"]),
+        ("searxng", 3, "C", "https://c.com/", None, None), ("searxng", 4, "D", "https://d.com/", None, []),
+    ]
+    got = {r.canonical_url: (r.families, r.score) for r in fusion.fusion_diagnostics(lists(spark, rows), responses).collect()}
+    assert got == {
+        "https://a.com/": (["tavily"], round(0.7 / 61, 12)), "https://b.com/": (["meta"], round(1 / 62, 12)),
+        "https://c.com/": (["meta"], round(0.7 / 63, 12)), "https://d.com/": (["meta"], round(1 / 64, 12)),
+    }

@@ -77,7 +77,25 @@ def test_redirects_and_secrets(many):
 
 def test_ascii_hosts(spark):
     df = spark.createDataFrame([("bücher.example",), ("plain.example",)], "h string")
-    assert {r.a for r in urls.with_ascii_host(df, "h", "a").collect()} == {"xn--bcher-kva.example", "plain.example"}
+    assert {r.a for r in df.select(urls.ascii_host(F.col("h")).alias("a")).collect()} == {"xn--bcher-kva.example", "plain.example"}
+
+
+def test_ascii_labels_as_the_codec_has_them(many):
+    """Bootstring against Python's own codec, over labels of many scripts."""
+    rng = random.Random(2)
+    letters = "abcxyz019-éüßçñøžłабвгджзикльαβγδεκλμאבגابتกขคงกあいうえおカキク漢字語言한국어💥𠀀"
+    labels = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 25))) for _ in range(300)]
+    labels += ["ü", "üü", "aü", "üa", "日本語", "a" * 40 + "é", "é" * 40]
+    want = [x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in labels]
+    assert many(urls.ascii_host, labels) == want
+
+
+def test_both_spellings_of_a_host_have_one_key(spark):
+    df = spark.createDataFrame([("https://BÜCHER。Example:443/a/#x",), ("https://xn--bcher-kva.example/a",), ("https://bücher.example:8443/a",)], "u string")
+    keyed = urls.with_canonical_url(df, "u", host_out="host")
+    assert [(r.canonical_url, r.host) for r in keyed.collect()] == [
+        ("https://xn--bcher-kva.example/a", "xn--bcher-kva.example")] * 2 + [("https://xn--bcher-kva.example:8443/a", "xn--bcher-kva.example")]
+    assert "Python" not in keyed._jdf.queryExecution().executedPlan().toString()
 
 
 def test_addresses(spark):
