@@ -130,14 +130,15 @@ def url_query(url: Column) -> Column:
 
 
 def with_canonical_url(
-    df: DataFrame, url: str, out: str = "canonical_url", host_out: str | None = None
+    df: DataFrame, url: str, out: str = "canonical_url", host_out: str | None = None, ascii_hosts: bool = False
 ) -> DataFrame:
     """Adds the canonical spelling of an http(s) URL (others stay as they are) and, if asked, its host.
 
     The parts are staged in projections of their own: each is used several times, so the optimizer
     leaves the stages apart and every string function runs once per row in generated code. Regular
-    expressions and lambdas run only on URLs that have something to rewrite. A host outside ASCII gets its
-    ASCII spelling, so both spellings of one host have one key.
+    expressions and lambdas run only on URLs that have something to rewrite. With ``ascii_hosts`` a host outside
+    ASCII gets its ASCII spelling, so both spellings of one host have one key; its expression is large, and filters and joins
+    on the result copy it, so plans that filter on the host a lot are better off without.
     """
     c = F.col
     is_web = (
@@ -162,10 +163,9 @@ def with_canonical_url(
             "_tail": F.expr("substr(_rest, length(_authority) + 1)"),
         }
     )
-    # scheme and port are ASCII, so the whole site can be taken label by label
     df = df.withColumns(
         {
-            "_site": _canonical_site(ascii_site(c("_site"))),
+            "_site": _canonical_site(c("_site")),
             "_path": F.substring_index(c("_tail"), "?", 1),
             "_query": F.expr(
                 "case when contains(_tail, '?') then substr(_tail, instr(_tail, '?') + 1) end"
@@ -186,18 +186,27 @@ def with_canonical_url(
         added[host_out] = F.when(
             c("_site").rlike(":[0-9]*$"), F.regexp_replace(host, ":[0-9]*$", "")
         ).otherwise(host)
-    return df.withColumns(added).drop(
+    df = df.withColumns(added).drop(
         "_bare", "_rest", "_authority", "_site", "_tail", "_path", "_query", "_kept"
     )
+    if not ascii_hosts:
+        return df
+    spelled = {out: ascii_url(c(out))}
+    if host_out:
+        spelled[host_out] = ascii_host(c(host_out))
+    return df.withColumns(spelled)
+
+
+def ascii_url(url: Column) -> Column:
+    """A canonical web URL with its host in the ASCII spelling; others stay."""
 
+    def spelled(x: Column) -> Column:
+        host = F.regexp_extract(x, "^https?://([^:/?]*)", 1)
+        tail = F.regexp_extract(x, "(?s)^https?://[^:/?]*(.*)$", 1)
+        return F.concat(F.substring_index(x, "://", 1), F.lit("://"), punycode.ascii_labels(host), tail)
 
-def ascii_site(site: Column) -> Column:
-    """``scheme://host[:port]`` with the host in its ASCII spelling."""
-    start = F.expr("instr(_site, '://') + 2")
-    host = F.regexp_replace(F.substring(site, start + 1, F.length(site)), ":[0-9]*$", "")
-    port = F.regexp_extract(site, "(:[0-9]*)$", 1)
-    foreign = F.concat(F.substring(site, F.lit(1), start), punycode.ascii_labels(host), port)
-    return F.when(punycode.is_foreign(site), foreign).otherwise(site)
+    foreign = punycode.is_foreign(url) & url.rlike(r"^https?://[^:/?]*[^\x00-\x7F]")
+    return F.when(foreign, bind(url, spelled)).otherwise(url)
 
 
 def _canonical_site(site: Column) -> Column:

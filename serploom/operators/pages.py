@@ -241,12 +241,10 @@ def extract_outlinks(
     raw = F.regexp_replace(F.regexp_extract("_a.attributes", _HREF, 1), "^[\"']|[\"']$", "")
     links = found.select(key, "_pos", "_base", urls.trim_ws(text.decode_entities(raw)).alias("_href"), F.col("_a.inner").alias("_inner"))
     links = links.filter("_href <> ''").withColumn("url", urls.absolute_url(urls.unwrap_redirect(F.col("_href")), F.col("_base")))
-    links = urls.with_canonical_url(links, "url", host_out="host").filter("host <> ''")
-    if exclude:
-        links = links.filter(urls.domain_filter(F.col("host"), [], list(exclude)))
-    # its own projection: the words are used three times
-    links = links.select(key, "_pos", "url", "canonical_url", "host", link_text(F.col("_inner")).alias("title"))
+    links = links.filter(urls.domain_filter(urls.url_host(F.col("url")), [], list(exclude)) & (urls.url_host(F.col("url")) != ""))
+    links = links.select(key, "_pos", "url", link_text(F.col("_inner")).alias("title"))
     links = links.filter(F.length("title").between(*LINK_TEXT) & F.contains("title", F.lit(" ")))
+    links = urls.with_canonical_url(links, "url", host_out="host")
     # both windows are met by one deal of the pages
     first = Window.partitionBy(key, "canonical_url").orderBy("_pos")
     in_page = Window.partitionBy(key).orderBy("_pos")

@@ -20,11 +20,11 @@ def keyed_results(
     Domain rules are the name of an array column or a plain list. No shuffle: projections and filters.
     """
     df = raw.withColumn("url", urls.repair_url(F.col("url"))).filter(F.col("url").isNotNull())
-    df = urls.with_canonical_url(df, "url", host_out="host")
     if include or exclude:
         named = lambda rules: F.col(rules) if isinstance(rules, str) else list(rules or [])
-        df = df.filter(urls.domain_filter(F.col("host"), named(include), named(exclude)))
-    return df
+        # before the canonical form, whose staged expressions a filter on its host would copy
+        df = df.filter(urls.domain_filter(urls.url_host(F.col("url")), named(include), named(exclude)))
+    return urls.with_canonical_url(df, "url", host_out="host")
 
 
 def cleaned_results(keyed: DataFrame) -> DataFrame:
@@ -64,8 +64,13 @@ def silver_results(
     include: str | Sequence[str] | None = None,
     exclude: str | Sequence[str] | None = None,
 ) -> DataFrame:
-    """The silver step: keys first, then the first row of each URL in a response, and only its texts are cleaned."""
-    return cleaned_results(dedupe_in_response(keyed_results(raw, include, exclude)))
+    """The silver step: keys first, then the first row of each URL in a response, and only the texts of first rows are cleaned.
+
+    Rows of one rank and URL stay until their clean texts decide; both windows are met by one shuffle.
+    """
+    first = Window.partitionBy("query_id", "provider", "canonical_url").orderBy("provider_rank", "url")
+    keyed = keyed_results(raw, include, exclude).withColumn("_first", F.rank().over(first)).filter("_first = 1").drop("_first")
+    return dedupe_in_response(cleaned_results(keyed))
 
 
 def filter_domains_at_scale(results: DataFrame, rules: DataFrame, host: str = "host") -> DataFrame:

@@ -72,7 +72,7 @@ ORACLE["url_canonicalize"] = sql(
 
 
 def url_duplicate_groups(spark, sf_dir):
-    pages = urls.with_canonical_url(load(spark, sf_dir, "pages").select("page_id", "url"), "url")
+    pages = urls.with_canonical_url(load(spark, sf_dir, "pages").select("page_id", "url"), "url", ascii_hosts=True)
     return pages.groupBy("canonical_url").agg(
         F.count("*").alias("copies"), F.min("page_id").alias("first_page")
     )
@@ -197,13 +197,16 @@ def domain_block_list(spark, sf_dir):
 
 
 QUERIES["domain_block_list"] = domain_block_list
-ORACLE["domain_block_list"] = """
-    with r as (select cast(q as int) as query_id, page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) as host from pages, unnest(range(50)) as t(q)),
-    b as (select cast(page_id % 50 as int) as query_id, regexp_replace(host, '^www\\.', '') as domain from r where query_id = 0 and page_id % 3 = 0)
-    select query_id, count(*) as kept, cast(sum(page_id) as bigint) as page_sum from r
-    where not exists (select 1 from b where b.query_id = r.query_id and (r.host = b.domain or ends_with(r.host, '.' || b.domain)))
-      and case when query_id % 20 = 0 then r.host = 'example.com' or ends_with(r.host, '.example.com') when query_id % 10 = 0 then false else true end
-    group by query_id"""
+ORACLE["domain_block_list"] = r"""
+    with h as (select page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) as host from pages),
+    b as (select cast(page_id % 50 as int) as query_id, regexp_replace(host, '^www\.', '') as domain from h where page_id % 3 = 0),
+    hit as (select distinct b.query_id, h.page_id from h join b on h.host = b.domain or ends_with(h.host, '.' || b.domain)),
+    r as (select cast(q.range as int) as query_id, h.* from h cross join range(50) as q)
+    select r.query_id, count(*) as kept, cast(sum(r.page_id) as bigint) as page_sum
+    from r left join hit on hit.query_id = r.query_id and hit.page_id = r.page_id
+    where hit.page_id is null
+      and case when r.query_id % 20 = 0 then r.host = 'example.com' or ends_with(r.host, '.example.com') when r.query_id % 10 = 0 then false else true end
+    group by r.query_id"""
 ORACLE["domain_filter_join"] = """
     with r as (select cast(page_id % 7 as int) as query_id, page_id,
                       lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) as host from pages)
@@ -300,7 +303,7 @@ def url_host_spellings(spark, sf_dir):
         F.concat(F.lit("HTTPS://"), pair.ascii, F.lit("."), F.col("host"), F.lit("./x?utm_source=a")),
     )
     each = pages.select("page_id", F.explode(spelled).alias("url"))
-    keyed = urls.with_canonical_url(each, "url", host_out="host")
+    keyed = urls.with_canonical_url(each, "url", host_out="host", ascii_hosts=True)
     return keyed.groupBy("canonical_url", "host").agg(F.count("*").alias("copies"), F.count_distinct("page_id").alias("pages"))
 
 
