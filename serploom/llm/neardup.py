@@ -242,12 +242,12 @@ def similar_pairs(open_texts: DataFrame, texts: DataFrame) -> DataFrame:
     meet by classes whose width is the largest ratio of two similar lengths, so a text looks into its own and the next."""
     read = landed(open_texts.join(texts.select("id", "body"), "id").select("id", "n", "root", _labelled_words("body").alias("w")).select("id", "n", "root", "w.*"), "dup-words")
     words = read.select("id", "n", F.explode("words").alias("word"))
-    often = words.groupBy("word").agg(F.count("*").alias("df")).filter("df > 1")
-    # words of one text alone come first and meet nobody: they take places but needn't be sorted
-    alone = words.join(often, "word", "left_anti").groupBy("id").agg(F.count("*").alias("alone"))
+    # counted in place: every word stays beside its text, so nothing is joined
+    counted = words.withColumn("df", F.count("*").over(Window.partitionBy("word")))
     order = Window.partitionBy("id").orderBy("df", "word")
     least = lambda share: F.expr(f"n + 1 - ceil({share}D * n - 1e-9)")
-    shared = words.join(often, "word").join(alone, "id", "left").withColumn("k", F.row_number().over(order) + F.coalesce("alone", F.lit(0)))
+    # words of one text alone take the first places and meet nobody
+    shared = counted.withColumn("k", F.row_number().over(order)).filter("df > 1")
     first = shared.filter(F.col("k") <= least(RATIO)).select("id", "word", "k").join(read.select("id", "n", "root", "bits"), "id")
     first = landed(first.withColumn("size", _size("n")), "dup-prefixes")
     x = first.filter(F.col("k") <= least(SIMILARITY)).alias("x")
