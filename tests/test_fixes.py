@@ -9,6 +9,7 @@ from serploom.functions.requests import clamp_requests, query_pseudonym
 from serploom.functions.text import leading_title
 from serploom.functions.urls import credential_in_url
 from serploom.operators import fusion, health, runs
+from serploom.plans import health_queries
 from serploom.sources.payloads import read_brave, read_mojeek
 
 
@@ -49,3 +50,8 @@ def test_single_provider_requests_are_not_thin(spark):
     requests = spark.createDataFrame([(1, "thorough", 5, None), (2, "thorough", 5, "exa")], "query_id int, mode string, result_limit int, requested_provider string")
     fused = spark.range(0).select(F.col("id").alias("query_id"))
     assert [r.query_id for r in runs.thin_queries(requests, fused).collect()] == [1]
+
+
+def test_silent_providers_reads_every_attempt(spark):
+    plan = health_queries.silent_providers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "latency_ms" not in plan and "latency_ms" not in health_queries.ORACLE["silent_providers"].rsplit("except", 1)[1]
