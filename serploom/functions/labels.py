@@ -12,7 +12,8 @@ from serploom.functions.urls import trim_ws
 def parse_date(raw: Column) -> Column:
     """The date spellings seen in provider payloads, as a timestamp; NULL when none fits."""
     text = trim_ws(raw)
-    seconds = text.try_cast("double")
+    # the cast of a text that is no number throws inside, so it comes after the shape
+    seconds = F.when(text.rlike(r"^[-+]?[0-9.]+([eE][-+]?[0-9]+)?$"), text.try_cast("double"))
     dated = F.regexp_replace(text, r"(?i)^[a-z]{3},\s*", "")
     zoned = F.regexp_replace(dated, r"(?i)\s(GMT|UTC|Z)$", " +0000")
 
@@ -22,10 +23,7 @@ def parse_date(raw: Column) -> Column:
     iso = r"^\d{4}-\d{2}-\d{2}"
     month = r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}"
     return F.coalesce(
-        F.when(
-            seconds.isNotNull() & text.rlike(r"^[-+]?[0-9.]+([eE][-+]?[0-9]+)?$"),
-            F.timestamp_micros(F.round(seconds * 1e6).try_cast("bigint")),
-        ),
+        F.timestamp_micros(F.round(seconds * 1e6).try_cast("bigint")),
         F.when(
             text.rlike(iso + r"T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})$"),
             F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp"),

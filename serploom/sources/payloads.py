@@ -46,14 +46,15 @@ def _item(i: Column, title, url, snippet, content=None, published=None, score=No
 
 def _response(ok: Column, items: Column, answer=None, total=None, engines=None, warnings=None, outcome=None) -> Column:
     verdict = F.when(ok, F.lit("ok")).otherwise("malformed_response") if outcome is None else outcome
-    return F.struct(
-        verdict.alias("outcome"),
+    # a verdict may look at the whole body, so it is reached once
+    return bind(verdict, lambda said: F.struct(
+        said.alias("outcome"),
         (F.lit(None).cast("string") if answer is None else answer).alias("answer"),
         (F.lit(None).cast("bigint") if total is None else total.cast("bigint")).alias("total_estimated"),
         (_strings() if engines is None else engines).alias("engines"),
         (_strings() if warnings is None else F.coalesce(warnings, _strings())).alias("warnings"),
-        F.when(verdict == "ok", F.coalesce(items, F.array().cast(f"array<{ITEM}>"))).alias("items"),
-    )
+        F.when(said == "ok", F.coalesce(items, F.array().cast(f"array<{ITEM}>"))).alias("items"),
+    ))
 
 
 def _non_empty(text: Column) -> Column:
@@ -103,9 +104,9 @@ def read_brave(body: Column) -> Column:
 
 def _object_with(body: Column, field: str) -> Column:
     """The body is a JSON object whose field, if present, is an object too."""
-    held = F.get_json_object(body, f"$.{field}")
-    valid = F.try_parse_json(body).isNotNull() & body.rlike(r"^\s*\{")
-    return F.coalesce(valid, F.lit(False)) & (held.isNull() | held.startswith("{"))
+    valid = body.rlike(r"^\s*\{") & F.try_parse_json(body).isNotNull()
+    held = bind(F.get_json_object(body, f"$.{field}"), lambda h: h.isNull() | h.startswith("{"))
+    return F.coalesce(valid, F.lit(False)) & held
 
 
 def _brave_response(body: Column, p: Column) -> Column:
@@ -295,10 +296,13 @@ def _parallel_response(p: Column, lists: str) -> Column:
         wrapped = F.when(
             F.ltrim(text).startswith("["), F.concat(F.lit('{"results":'), text, F.lit("}"))
         ).otherwise(text)
-        return listed(F.from_json(wrapped, lists))
+        return bind(F.from_json(wrapped, lists), listed)
 
     texts = F.filter(F.transform(p["content"], lambda c: from_text(c["text"])), lambda x: x.isNotNull())
-    found = F.coalesce(listed(p["structuredContent"]), F.try_element_at(texts, F.lit(1)))
+    return bind(F.coalesce(listed(p["structuredContent"]), F.try_element_at(texts, F.lit(1))), _parallel_found)
+
+
+def _parallel_found(found: Column) -> Column:
     usable = F.filter(found, lambda r: F.coalesce(r["url"], r["link"], F.lit("")) != "")
     items = F.transform(
         usable,
@@ -362,7 +366,9 @@ def response_rows(parsed: DataFrame) -> DataFrame:
 
 def result_rows(parsed: DataFrame) -> DataFrame:
     """One row per result, ranked by its position in the payload, before anything is dropped."""
-    rows = parsed.select("query_id", "provider", F.explode("response.items").alias("r"))
+    # on a bare column the optimizer infers a filter by its size, which would parse every body again
+    items = F.coalesce("response.items", F.array().cast(f"array<{ITEM}>"))
+    rows = parsed.select("query_id", "provider", F.explode(items).alias("r"))
     return rows.select(
         "query_id", "provider", F.col("r.rank").alias("provider_rank"), "r.title", "r.url", "r.snippet",
         "r.content", parse_date(F.col("r.published")).alias("published_at"),

@@ -10,7 +10,7 @@ from serploom.functions.text import leading_title
 from serploom.functions.urls import credential_in_url
 from serploom.operators import fusion, health, runs
 from serploom.plans import health_queries
-from serploom.sources.payloads import read_brave, read_mojeek
+from serploom.sources.payloads import read_brave, read_mojeek, read_payloads, result_rows
 
 
 def test_own_limit_has_no_ceiling(spark):
@@ -55,3 +55,11 @@ def test_single_provider_requests_are_not_thin(spark):
 def test_silent_providers_reads_every_attempt(spark):
     plan = health_queries.silent_providers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "latency_ms" not in plan and "latency_ms" not in health_queries.ORACLE["silent_providers"].rsplit("except", 1)[1]
+
+
+def test_payloads_are_parsed_in_one_place(spark):
+    rows = spark.createDataFrame([(1, "brave", 200, '{"web": {"results": [{"title": "t", "url": "u", "page_age": "2024-01-02"}]}}')], "query_id int, provider string, status_code int, body string")
+    plan = result_rows(read_payloads(rows))
+    filters = [line for line in plan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter (" in line]
+    assert not any("from_json" in line or "size(" in line for line in filters)
+    assert [(r.provider_rank, str(r.published_at)) for r in plan.collect()] == [(1, "2024-01-02 00:00:00")]
