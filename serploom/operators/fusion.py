@@ -30,8 +30,14 @@ def attach_provider(df: DataFrame, weights: dict[str, float] | None = None) -> D
     return df.join(F.broadcast(facts), "provider")
 
 
-def best_rank_votes(results: DataFrame) -> DataFrame:
-    """One vote per (query, URL, provider): the row with the best rank, never below 1."""
+def best_rank_votes(results: DataFrame, texts: bool = True) -> DataFrame:
+    """One vote per (query, URL, provider): the row with the best rank, never below 1.
+
+    Without ``texts`` a vote is its keys and its rank (and ``result_limit``, if there is one). The ranks of a URL's known
+    providers then travel as one row of numbers, so its spelling is shuffled once and nothing is sorted.
+    """
+    if not texts:
+        return _rank_votes(results)
     for name, kind in _OPTIONAL.items():
         if name not in results.columns:
             results = results.withColumn(name, F.lit(None).cast(kind))
@@ -51,6 +57,32 @@ def best_rank_votes(results: DataFrame) -> DataFrame:
     ).drop("_text")
 
 
+def _rank_votes(results: DataFrame) -> DataFrame:
+    known = [p[0] for p in dims.PROVIDERS]
+    numbers = {"rank": F.min}
+    if "result_limit" in results.columns:
+        numbers["result_limit"] = F.max
+    rows = results.withColumn("rank", F.greatest("provider_rank", F.lit(1)))
+    # a provider that is not listed, or none, is a key of its own
+    listed = F.coalesce(F.col("provider").isin(*known), F.lit(False))
+    rows = rows.select("query_id", "canonical_url", "provider", listed.alias("_listed"), F.when(~listed, F.col("provider")).alias("_other"), *numbers)
+
+    def slot(name: str, which: Column) -> list[Column]:
+        return [f(F.when(which, F.col(c))).alias(f"_{c}_{name}") for c, f in numbers.items()]
+
+    slots = [x for i, p in enumerate(known) for x in slot(str(i), F.col("provider") == p)] + slot("other", ~F.col("_listed"))
+    wide = rows.groupBy("query_id", "canonical_url", "_listed", "_other").agg(*slots)
+
+    def vote(name: str, provider: Column) -> Column:
+        # a rank is never null, so its slot tells whether the provider voted
+        return F.when(F.col(f"_rank_{name}").isNotNull(), F.struct(provider.alias("provider"), *[F.col(f"_{c}_{name}").alias(c) for c in numbers]))
+
+    votes = [vote(str(i), F.lit(p)) for i, p in enumerate(known)] + [vote("other", F.col("_other"))]
+    return wide.select("query_id", "canonical_url", F.explode(F.array_compact(F.array(*votes))).alias("_vote")).select(
+        "query_id", "canonical_url", "_vote.*"
+    )
+
+
 def owned_families(responses: DataFrame) -> DataFrame:
     """Per query: families of the direct providers that answered, even with no rows."""
     facts = attach_provider(responses)

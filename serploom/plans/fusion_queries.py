@@ -179,7 +179,7 @@ ORACLE["owned_families"] = sql(
 
 
 def best_ranks(spark, sf_dir):
-    votes = fusion.best_rank_votes(ranked_lists(spark, sf_dir))
+    votes = fusion.best_rank_votes(ranked_lists(spark, sf_dir), texts=False)
     return votes.select("query_id", "provider", "canonical_url", "rank")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from serploom.functions.urls import with_canonical_url
 from serploom.operators import fusion
 from serploom.operators.results import dedupe_in_response, drop_invalid, filter_domains_at_scale
+from serploom.plans import fusion_queries
 
 SCHEMA = "query_id bigint, provider string, provider_rank int, title string, url string, snippet string, upstream_engines array<string>"
 
@@ -145,3 +146,38 @@ def test_families_in_an_offer(spark):
         "https://a.com/": (["tavily"], round(0.7 / 61, 12)), "https://b.com/": (["meta"], round(1 / 62, 12)),
         "https://c.com/": (["meta"], round(0.7 / 63, 12)), "https://d.com/": (["meta"], round(1 / 64, 12)),
     }
+
+
+def test_ranks_alone_travel_as_numbers(spark):
+    """Best ranks need no text: one row of numbers per (query, URL), the same votes as with texts."""
+    rows = [
+        (1, "brave", 3, "https://a.com/"), (1, "brave", -2, "https://a.com/"), (1, "tavily", None, "https://a.com/"), (1, "other", 4, "https://a.com/"),
+        (1, "other", 2, "https://a.com/"), (1, "more", 9, "https://a.com/"), (1, None, 5, "https://a.com/"), (None, "exa", 7, None), (2, "exa", 7, "https://b.com/"),
+        (2, "exa", 7, "https://b.com/"),
+    ]
+    df = spark.createDataFrame(rows, "query_id bigint, provider string, provider_rank int, canonical_url string")
+    df = df.withColumns({"url": F.col("canonical_url"), "title": F.lit("T"), "snippet": F.lit("long text"), "host": F.lit("h"), "result_limit": F.col("provider_rank") + 1})
+    columns = ["query_id", "canonical_url", "provider", "rank", "result_limit"]
+    bare = fusion.best_rank_votes(df, texts=False)
+    want, got = fusion.best_rank_votes(df).select(*columns), bare.select(*columns)
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.count() == 7
+    plan = bare._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Sort [" not in plan and "_text" not in plan
+
+
+def _few_lines(spark, folder):
+    lines = [(1, 7, 1, 3.0, "N", "2024-01-02"), (1, 7, 2, 5.0, "R", "2024-01-03"), (2, 8, 1, 3.0, "R", "2024-01-02")]
+    spark.createDataFrame(lines, "l_suppkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, l_returnflag string, l_shipdate string").withColumn(
+        "l_shipdate", F.to_timestamp("l_shipdate")
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(7, "blue tin", "SMALL TIN", 4), (8, "red box", "LARGE BOX", 9)], "p_partkey bigint, p_name string, p_type string, p_size int").write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def test_best_ranks_shuffles_no_texts(spark, tmp_path):
+    votes = fusion_queries.best_ranks(spark, _few_lines(spark, tmp_path))
+    plan = votes._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "l_returnflag" not in plan and "p_name" not in plan
+    got = {(r.query_id, r.provider): r["rank"] for r in votes.collect()}
+    assert got == {(1, "tavily"): 1, (1, "brave"): 11, (1, "searxng"): 4, (2, "tavily"): 1, (2, "brave"): 19, (2, "searxng"): 4}
