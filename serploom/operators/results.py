@@ -51,10 +51,12 @@ def dedupe_in_response(results: DataFrame) -> DataFrame:
     """First row per (query, provider, canonical URL).
 
     ``row_number() = 1`` is cut down before the shuffle as well, so a URL repeated many times by one
-    source never travels whole.
+    source never travels whole. Rows without ``title`` or ``snippet`` are told apart by what they have: whoever
+    shows neither may leave them out and gets the same rows. The URL leads the sort before the shuffle, so
+    neighbours that are written together share most of their spelling.
     """
-    order = Window.partitionBy("query_id", "provider", "canonical_url").orderBy(
-        "provider_rank", "url", F.col("title"), F.col("snippet")
+    order = Window.partitionBy("canonical_url", "query_id", "provider").orderBy(
+        "provider_rank", "url", *[c for c in ("title", "snippet") if c in results.columns]
     )
     return results.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
@@ -68,7 +70,7 @@ def silver_results(
 
     Rows of one rank and URL stay until their clean texts decide; both windows are met by one shuffle.
     """
-    first = Window.partitionBy("query_id", "provider", "canonical_url").orderBy("provider_rank", "url")
+    first = Window.partitionBy("canonical_url", "query_id", "provider").orderBy("provider_rank", "url")
     keyed = keyed_results(raw, include, exclude).withColumn("_first", F.rank().over(first)).filter("_first = 1").drop("_first")
     return dedupe_in_response(cleaned_results(keyed))
 

@@ -192,8 +192,8 @@ ORACLE["best_ranks"] = sql(
 
 
 def deduped_results(spark, sf_dir):
-    first = dedupe_in_response(ranked_lists(spark, sf_dir))
-    return first.select("query_id", "provider", "canonical_url", "provider_rank", "url")
+    shown = ["query_id", "provider", "canonical_url", "provider_rank", "url"]
+    return dedupe_in_response(ranked_lists(spark, sf_dir).select(*shown))
 
 
 QUERIES["deduped_results"] = deduped_results

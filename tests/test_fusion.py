@@ -181,3 +181,15 @@ def test_best_ranks_shuffles_no_texts(spark, tmp_path):
     assert "SortAggregate" not in plan and "l_returnflag" not in plan and "p_name" not in plan
     got = {(r.query_id, r.provider): r["rank"] for r in votes.collect()}
     assert got == {(1, "tavily"): 1, (1, "brave"): 11, (1, "searxng"): 4, (2, "tavily"): 1, (2, "brave"): 19, (2, "searxng"): 4}
+
+
+def test_first_rows_without_texts(spark, tmp_path):
+    """Whoever shows no texts may leave them out: the same first rows, and none of the texts is shuffled."""
+    rows = [(1, "brave", 2, "u2", "c", "B", None), (1, "brave", 2, "u1", "c", "Z", "s"), (1, "brave", 2, "u1", "c", None, "t"), (1, "exa", 9, "u9", "c", "T", "s"),
+            (None, "exa", None, None, "c", "T", "s"), (None, "exa", 1, "u", "c", "T", "s")]
+    df = spark.createDataFrame(rows, "query_id bigint, provider string, provider_rank int, url string, canonical_url string, title string, snippet string")
+    shown = ["query_id", "provider", "canonical_url", "provider_rank", "url"]
+    want = dedupe_in_response(df).select(*shown).collect()
+    assert sorted(map(str, dedupe_in_response(df.select(*shown)).collect())) == sorted(map(str, want)) and len(want) == 3
+    plan = fusion_queries.deduped_results(spark, _few_lines(spark, tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "p_name" not in plan and "l_returnflag" not in plan
