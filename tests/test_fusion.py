@@ -193,3 +193,15 @@ def test_first_rows_without_texts(spark, tmp_path):
     assert sorted(map(str, dedupe_in_response(df.select(*shown)).collect())) == sorted(map(str, want)) and len(want) == 3
     plan = fusion_queries.deduped_results(spark, _few_lines(spark, tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "p_name" not in plan and "l_returnflag" not in plan
+
+
+def test_rules_for_other_hosts_are_not_grouped(spark):
+    """Rules meet the suffixes of a query's hosts before they are grouped; repeated, blank and foreign ones change nothing."""
+    hosts_ = spark.createDataFrame([(0, "a.com"), (0, "x.a.com"), (0, "b.org"), (1, "a.com"), (2, "b.org"), (None, "a.com")], "query_id int, host string")
+    rules = [(0, "exclude", "X.a.com."), (0, "exclude", "x.a.com"), (0, "exclude", ""), (0, "exclude", None), (1, "include", "nowhere.net"), (None, "exclude", "a.com")]
+    rules += [(q, "exclude", f"*.part-{i}.example") for q in range(3) for i in range(50)]
+    kept = filter_domains_at_scale(hosts_, spark.createDataFrame(rules, "query_id int, kind string, domain string"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, [r for r in hosts_.collect() if (r.query_id, r.host) not in ((0, "x.a.com"), (1, "a.com"))]))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    grouped = plan[plan.index("Aggregate [query_id"):]
+    assert "LeftSemi" in grouped and "max((kind" in grouped.split("LeftSemi")[0]
