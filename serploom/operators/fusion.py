@@ -129,15 +129,28 @@ def _offer(engines: Column) -> Column:
     return F.when(engines.isNull(), F.lit(_UNNAMED)).when(F.size(engines) == 0, F.lit(0)).otherwise(bind(named, coded))
 
 
-def _resold(offer: Column, owned: Column) -> Column:
-    """Bit of the first family of an offer whose own index answered the query too, else 0."""
-    bit = F.lit(0)
-    for place in (2, 1, 0):
-        digit = F.shiftright(offer, 2 * place).bitwiseAND(3)
-        for i, family in enumerate(dims.INDEPENDENT_FAMILIES):
-            value = 1 << _FAMILIES.index(family)
-            bit = F.when((digit == i + 1) & (owned.bitwiseAND(value) != 0), F.lit(value)).otherwise(bit)
-    return F.when(offer == _UNNAMED, F.lit(0)).otherwise(bit)
+def _resold_bits() -> list[int]:
+    """For each offer below 64 and each set of owned independent families: the bit of the first family of the offer that is owned, else 0."""
+    bits = [1 << _FAMILIES.index(f) for f in dims.INDEPENDENT_FAMILIES]
+    out = []
+    for offer in range(64):
+        named = [d - 1 for d in (offer & 3, offer >> 2 & 3, offer >> 4) if d]
+        out += [next((bits[i] for i in named if owned >> i & 1), 0) for owned in range(1 << len(bits))]
+    return out
+
+
+def _independent(owned: Column) -> Column:
+    """The independent families among the owned ones, as a number below eight."""
+    places = [_FAMILIES.index(f) for f in dims.INDEPENDENT_FAMILIES]
+    return sum((F.shiftright(owned, p).bitwiseAND(1) * (1 << i) for i, p in enumerate(places)), F.lit(0))
+
+
+def _resold(offer: Column, independent: Column) -> Column:
+    """Bit of the first family of an offer whose own index answered the query too, else 0.
+
+    Looked up in a folded list: spelled out for every aggregator, the conditions make a method that the JVM no longer compiles."""
+    table = F.array(*[F.lit(x) for x in _resold_bits()])
+    return F.when(offer < 64, F.get(table, offer * 8 + independent)).otherwise(0)
 
 
 def _best_votes(results: DataFrame) -> DataFrame:
@@ -189,7 +202,13 @@ def scored_clusters(
     votes = _best_votes(results)
     if responses is None:
         responses = results.select("query_id", "provider")
-    df = votes.join(_query_context(responses), "query_id", "left").withColumn("_owned", F.coalesce("_owned", F.lit(0)))
+    df = votes.join(_query_context(responses), "query_id", "left")
+    df = df.withColumn("_independent", _independent(F.coalesce("_owned", F.lit(0))))
+    named, said = {}, {}
+    for name in _AGGREGATORS:
+        named[name] = _resold(F.col(_vote(name)).bitwiseAND(255).cast("int"), F.col("_independent"))
+        said[name] = _resold(F.coalesce(f"_said_{name}", F.lit(_UNNAMED)), F.col("_independent"))
+    df = df.withColumns({f"_named_{n}": x for n, x in named.items()} | {f"_by_{n}": x for n, x in said.items()})
     score, families, best, staged = F.lit(0.0), F.lit(0), [], {}
     for name, _, family, aggregator, scraper, _ in dims.PROVIDERS:
         vote = F.col(_vote(name))
@@ -197,11 +216,10 @@ def scored_clusters(
         own = 1 << _FAMILIES.index(family)
         bit, resold = F.lit(own), F.lit(False)
         if aggregator:
-            offer = vote.bitwiseAND(255).cast("int")
-            named = _resold(offer, F.col("_owned"))
+            named = F.col(f"_named_{name}")
             bit = F.when(named != 0, named).otherwise(F.lit(own))
-            by_response = _resold(F.coalesce(f"_said_{name}", F.lit(_UNNAMED)), F.col("_owned"))
-            resold = F.when(offer == _UNNAMED, by_response != 0).otherwise(named != 0)
+            by_response = F.col(f"_by_{name}")
+            resold = F.when(vote.bitwiseAND(255) == _UNNAMED, by_response != 0).otherwise(named != 0)
         staged[f"_bit_{name}"] = F.when(vote.isNotNull(), bit).otherwise(0)
         weight = (
             F.lit((weights or {}).get(name, 1.0) * (scraper_weight if scraper else 1.0))
@@ -215,7 +233,7 @@ def scored_clusters(
     df = df.withColumns(staged).withColumns({"score": F.round(score, 12), "_families": families, "best_rank": F.least(*best).cast("int")})
     corroborated = (F.bit_count("_families") >= 2) & (F.col("_families").bitwiseAND(_INDEPENDENT_BITS) != 0)
     return df.withColumn("corroborated", corroborated).drop(
-        *staged, "_owned", *[f"_said_{p}" for p in _AGGREGATORS]
+        *staged, "_owned", "_independent", *[f"{x}_{p}" for p in _AGGREGATORS for x in ("_said", "_named", "_by")]
     )
 
 
@@ -297,9 +315,14 @@ def fuse(
     """
     scored = scored_clusters(results, responses, **weighting)
     ranked = landed(with_sources(rank_clusters(scored, limit, per_host)), "ranked")
-    keys = ["query_id", "canonical_url"]
-    shown = representatives(results.join(ranked.select(*keys), keys, "left_semi"))
-    return ranked.join(shown, keys)
+    # a URL that an inner join compares may not be null, and Catalyst asks for that below all of its stages, as one filter that
+    # spells the canonical form out again for every row; compared null-safely with rows that have no null it asks for nothing
+    keyed = ranked.filter("query_id is not null and canonical_url is not null")
+    wanted = keyed.select(F.col("query_id").alias("_query"), F.col("canonical_url").alias("_wanted"))
+    met = (F.col("query_id") == F.col("_query")) & F.col("canonical_url").eqNullSafe(F.col("_wanted"))
+    shown = representatives(results.join(wanted, met, "left_semi"))
+    shown = shown.withColumnsRenamed({"query_id": "_query", "canonical_url": "_wanted"})
+    return keyed.join(shown, met).drop("_query", "_wanted")
 
 
 def fusion_diagnostics(

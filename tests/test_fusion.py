@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from serploom import dims
 from serploom.functions.urls import with_canonical_url
 from serploom.operators import fusion
 from serploom.operators.results import dedupe_in_response, drop_invalid, filter_domains_at_scale
@@ -205,3 +206,47 @@ def test_rules_for_other_hosts_are_not_grouped(spark):
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     grouped = plan[plan.index("Aggregate [query_id"):]
     assert "LeftSemi" in grouped and "max((kind" in grouped.split("LeftSemi")[0]
+
+
+def _spelled(spark, n=40):
+    """Raw rows with the canonical form as an expression over them, some of them without a URL or a query."""
+    rows = [(q if q else None, p, 1 + (i * 7 + q) % 9, f"T{i}", f"https://H{i % 5}.com:443/p/{i}?utm_source=x" if i % 11 else None, "s", ["brave"])
+            for q in range(3) for i in range(n) for p in ("tavily", "brave", "searxng")]
+    df = spark.createDataFrame(rows, "query_id long, provider string, provider_rank int, title string, url string, snippet string, upstream_engines array<string>")
+    return with_canonical_url(df, "url", host_out="host")
+
+
+def test_no_filter_spells_the_canonical_form_again(spark):
+    rows = _spelled(spark)
+    fused = fusion.fuse(rows)
+    plan = fused._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.split("\n") if "Filter" in line]
+    assert filters and not any("regexp_replace" in line or "substring_index" in line for line in filters)
+    # a row without a URL or a query meets nothing, and the columns keep their order
+    assert fused.filter("query_id is null or canonical_url is null").isEmpty()
+    assert fused.columns[:3] == ["query_id", "canonical_url", "host"]
+    ranked = fusion.rank_clusters(fusion.scored_clusters(rows)).filter("query_id is not null and canonical_url is not null")
+    shown = lambda df: sorted(map(tuple, df.select("query_id", "rank", "canonical_url").collect()))
+    assert shown(fused) == shown(ranked) and fused.count() > 0
+
+
+def test_the_scored_stage_is_small_enough_to_be_compiled(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = fusion.rank_clusters(fusion.scored_clusters(_spelled(spark)))._jdf.queryExecution().executedPlan()
+        debug = getattr(getattr(spark._jvm, "org.apache.spark.sql.execution.debug.package$"), "MODULE$")
+        stages = debug.codegenStringSeq(plan)
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.length())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(sizes) < 8000  # the JVM interprets larger methods
+
+
+def test_resold_lookup_is_the_first_owned_family_of_an_offer(spark):
+    bits = [1 << fusion._FAMILIES.index(f) for f in dims.INDEPENDENT_FAMILIES]
+    cases = [(o, w) for o in [*range(64), 255, None] for w in range(1 << len(fusion._FAMILIES))]
+    df = spark.createDataFrame(cases, "offer int, owned int")
+    got = df.select("offer", "owned", F.coalesce(fusion._resold(F.col("offer"), fusion._independent(F.col("owned"))), F.lit(0)).alias("x")).collect()
+    for r in got:
+        named = [] if r.offer in (None, 255) else [d for d in (r.offer & 3, r.offer >> 2 & 3, r.offer >> 4) if d]
+        assert r.x == next((bits[d - 1] for d in named if bits[d - 1] & r.owned), 0)
