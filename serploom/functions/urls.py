@@ -197,6 +197,12 @@ def with_canonical_url(
     return df.withColumns(spelled)
 
 
+def canonical_host(url: Column) -> Column:
+    """The host of a canonical web URL, as ``with_canonical_url`` gives it."""
+    site = F.substring_index(F.substring_index(url, "/", 3), "://", -1)
+    return F.when(site.rlike(":[0-9]*$"), F.regexp_replace(site, ":[0-9]*$", "")).otherwise(site)
+
+
 def ascii_url(url: Column) -> Column:
     """A canonical web URL with its host in the ASCII spelling; others stay."""
 

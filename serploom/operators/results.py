@@ -68,11 +68,14 @@ def silver_results(
 ) -> DataFrame:
     """The silver step: keys first, then the first row of each URL in a response, and only the texts of first rows are cleaned.
 
-    Rows of one rank and URL stay until their clean texts decide; both windows are met by one shuffle.
+    Rows of one rank and URL stay until their clean texts decide; both windows are met by one shuffle. The host is part of
+    the canonical URL, so it does not travel beside it.
     """
     first = Window.partitionBy("canonical_url", "query_id", "provider").orderBy("provider_rank", "url")
-    keyed = keyed_results(raw, include, exclude).withColumn("_first", F.rank().over(first)).filter("_first = 1").drop("_first")
-    return dedupe_in_response(cleaned_results(keyed))
+    keyed = keyed_results(raw, include, exclude)
+    kept = keyed.drop("host").withColumn("_first", F.rank().over(first)).filter("_first = 1").drop("_first")
+    kept = kept.withColumn("host", urls.canonical_host(F.col("canonical_url"))).select(*keyed.columns)
+    return dedupe_in_response(cleaned_results(kept))
 
 
 def filter_domains_at_scale(results: DataFrame, rules: DataFrame, host: str = "host") -> DataFrame:

@@ -250,3 +250,19 @@ def test_resold_lookup_is_the_first_owned_family_of_an_offer(spark):
     for r in got:
         named = [] if r.offer in (None, 255) else [d for d in (r.offer & 3, r.offer >> 2 & 3, r.offer >> 4) if d]
         assert r.x == next((bits[d - 1] for d in named if bits[d - 1] & r.owned), 0)
+
+
+def test_the_host_of_a_silver_row_is_not_shuffled(spark):
+    from serploom.functions.urls import canonical_host
+    from serploom.operators.results import silver_results
+
+    odd = ["https://User:pw@A.example.com:8443/x?y=1", "HTTP://b.com.:80?q=1", "https://[::1]:443/p", "https://c.com:", "//d.com/a/?utm_source=x#f", "e.com/%7e/?", "https://A.example.com", "ftp://f.com/x"]
+    raw = spark.createDataFrame([(i % 3, "brave", i, u, "t", "s") for i, u in enumerate(odd)], "query_id long, provider string, provider_rank int, url string, title string, snippet string")
+    silver = silver_results(raw)
+    plan = silver._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("Exchange", 1)[1]
+    assert "AS host#" in plan and "AS host#" not in below
+    spelled = with_canonical_url(raw, "url", host_out="host").filter("host is not null")
+    assert spelled.filter(~canonical_host(F.col("canonical_url")).eqNullSafe(F.col("host"))).isEmpty() and spelled.count() >= 4
+    hosts_ = {r.host for r in silver.collect()}
+    assert {"a.example.com", "b.com", "[::1]", "c.com", "d.com", "e.com"} >= hosts_ and len(hosts_) >= 5
