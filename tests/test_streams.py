@@ -173,3 +173,28 @@ def test_queries_close_and_late_responses_count_once(spark, tmp_path):
     done = live.closed_store(spark, path, compact=3).current()
     shown = lambda df: sorted((x.query_id, x.completed_at, x.answered, x.timeouts, x.late) for x in df.collect())
     assert shown(done) == shown(routing.query_completion(batch)) and set(closed_in) == set(range(40))
+
+
+def test_without_adaptive_execution_a_bucket_is_one_file(spark, tmp_path):
+    """The micro-batches of a stateful stream have none: there every task wrote a file for every bucket."""
+    plain = spark.newSession()
+    plain.conf.set("spark.sql.adaptive.enabled", "false")
+    rows = plain.range(4000).selectExpr("id as k", "id as v").repartition(8)
+    store = KeyedStore(spark, str(tmp_path / "s"), ["k"], rows.schema, buckets=16)
+    store.add(rows, 0)
+    files = {b.name: len(list(b.glob("*.parquet"))) for b in (tmp_path / "s" / "batch=0").glob("bucket=*")}
+    assert len(files) == 16 and set(files.values()) == {1}
+    assert sorted(tuple(r) for r in store.current().collect()) == [(k, k) for k in range(4000)]
+
+
+def test_the_deadline_join_keeps_its_state_on_disk(spark, tmp_path):
+    before = {name: spark.conf.get(name, None) for name in live._STATE}
+    spark.sql("select 1L as query_id, 'exa' as provider, 'fast' as mode, timestamp'2024-01-01 00:00:00' as started_at, 1L as asked").write.parquet(str(tmp_path / "a"))
+    spark.sql("select 1L as query_id, 'exa' as provider, timestamp'2024-01-01 00:00:01' as arrived_at, true as ok").write.parquet(str(tmp_path / "r"))
+    a, r = (spark.readStream.schema(spark.read.parquet(str(tmp_path / n)).schema).parquet(str(tmp_path / n)) for n in "ar")
+    seen = []
+    live.close_queries(live.stream_fan_in(a, r), str(tmp_path / "out"), str(tmp_path / "progress"), on_closed=lambda done, number: seen.extend(done.collect())).awaitTermination()
+    kinds = {p.suffix for p in (tmp_path / "progress" / "state").rglob("[0-9]*.*")}
+    assert kinds & {".changelog", ".zip"} and ".delta" not in kinds
+    assert [(x.query_id, x.answered) for x in seen] == [(1, 1)]
+    assert {name: spark.conf.get(name, None) for name in live._STATE} == before
