@@ -69,8 +69,12 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             for keys, at, flags in ((words, None, good), (pair_keys(words)[first], first, good[first])):
                 key, where, place, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
                 t = np.bincount(place.ravel(), weights=flags, minlength=len(key)).astype(np.int64)
-                v = key if at is None else words[at[where]]
-                w = pa.nulls(len(key), pa.int64()) if at is None else pa.array(words[at[where] + 1].view(np.int64))
+                if at is None:
+                    v, w = key, pa.nulls(len(key), pa.int64())
+                else:  # by first word, so that rows of one word lie together and the shuffle's codec writes it once
+                    order = np.argsort(words[at[where]], kind="stable")
+                    where, n, t = where[order], n[order], t[order]
+                    v, w = words[at[where]], pa.array(words[at[where] + 1].view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), w, pa.array(n.astype(np.int64)), pa.array(t)], names=["v", "w", "n", "t"])
 
     parts = docs.select(bytes_of(F.col("body")).alias("b"), "target").mapInArrow(count, "v bigint, w bigint, n bigint, t bigint")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from serploom.llm import chat, decontam, licenses, lm_scores, mixing, neardup, quality, queries, secret_scan, token_counts, wrappers
+from serploom.llm import chat, common, decontam, licenses, lm_scores, mixing, neardup, quality, queries, secret_scan, token_counts, wrappers
 from serploom.llm.common import words_of
 
 SF = "/root/testdata/sf0.001"
@@ -500,3 +501,21 @@ def test_pipeline(spark):
         raw = clean[i]["text"].encode()
         assert r.text == secret_scan.masked(raw, secret_scan.spans_of(raw)) and r.copies in (1, 2)
     assert {c for c in spark.read.parquet(f"{SF}/documents.parquet").columns} | {"copies"} == set(next(iter(out.values())).asDict())
+
+
+def test_landed_tables_leave_no_shuffle_files(spark, tmp_path):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    known = files()
+    table = common.landed(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "test")
+    for _ in range(50):  # removed a moment later
+        if not (left := files() - known):
+            break
+        time.sleep(0.2)
+    assert not left and sorted(r.n for r in table.collect()) == [142, 143, 143, 143, 143, 143, 143]
+    assert spark.conf.get(name, None) == before
