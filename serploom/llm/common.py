@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serploom.session import ensure_checkpoint_dir
+from serploom.session import ensure_checkpoint_dir, shuffles_dropped
 
 #: bytes of a text -> lower-cased ASCII letters, digits and non-ASCII bytes; everything else becomes a blank
 WORD_BYTES = bytes(
@@ -66,18 +64,6 @@ def landed(table: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(table.schema).parquet(path)
 
 
-@contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Jobs run inside leave no shuffle files behind: what they wrote is read instead, and nothing runs their plans again."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def mixed(values: np.ndarray) -> np.ndarray:
     """A strong 64-bit mix of each value (wraps silently)."""
     with np.errstate(over="ignore"):

@@ -45,8 +45,7 @@ def best_rank_votes(results: DataFrame, texts: bool = True) -> DataFrame:
         F.greatest("provider_rank", F.lit(1)).alias("rank"),
         "url",
         "title",
-        F.coalesce("snippet", F.lit("")).alias("_text"),
-        *_OPTIONAL,
+        *_OPTIONAL,  # a row without a snippet comes before one with an empty one
         "host",
     )
     keys = ["query_id", "canonical_url", "provider"]
@@ -54,7 +53,7 @@ def best_rank_votes(results: DataFrame, texts: bool = True) -> DataFrame:
     # strings can't be reduced in a hash aggregation; with a number in front, sorting compares numbers
     return results.groupBy(F.xxhash64(*keys).alias("_number"), *keys).agg(F.min(vote).alias("_vote"), *limits).select(
         *keys, "_vote.*", *(["result_limit"] if limits else [])
-    ).drop("_text")
+    )
 
 
 def _rank_votes(results: DataFrame) -> DataFrame:
@@ -157,7 +156,7 @@ def _best_votes(results: DataFrame) -> DataFrame:
     """One row per (query, URL): for each provider its best rank, with what the row said of its engines in the low byte.
 
     Keys may be strings in a hash aggregation as long as what is reduced has a fixed width, so nothing is sorted
-    and no text travels. The host goes with the URL it is part of.
+    and no text travels. A host that is spelled out in its URL is read from there afterwards; only another one travels.
     """
     rank = F.greatest("provider_rank", F.lit(1)).cast("bigint")
     offer = F.lit(_UNNAMED)
@@ -168,11 +167,18 @@ def _best_votes(results: DataFrame) -> DataFrame:
         *(["result_limit"] if "result_limit" in results.columns else []),
     ).filter(F.col("provider").isin(*[p[0] for p in dims.PROVIDERS]))
     limits = [F.max("result_limit").alias("result_limit")] if "result_limit" in results.columns else []
-    return keyed.groupBy("query_id", "canonical_url", "host").agg(
+    spelled = F.col("canonical_url").startswith(F.concat(F.lit("https://"), "host", F.lit("/"))) & ~F.col("host").contains("/")
+    keyed = keyed.withColumn("_spelled", F.coalesce(spelled, F.lit(False)))
+    return keyed.groupBy("query_id", "canonical_url", "_spelled", F.when(~F.col("_spelled"), F.col("host")).alias("_other")).agg(
         *[F.min(F.when(F.col("provider") == p[0], F.col("_vote"))).alias(_vote(p[0])) for p in dims.PROVIDERS], *limits
     )
 
 
+def _with_host(votes: DataFrame) -> DataFrame:
+    spelled = F.substring_index(F.expr("substr(canonical_url, 9)"), "/", 1)
+    return votes.withColumn("host", F.when(F.col("_spelled"), spelled).otherwise(F.col("_other"))).drop("_spelled", "_other")
+
+
 def _query_context(responses: DataFrame) -> DataFrame:
     """One row of numbers per query: the families owned, and for each aggregator what its response said of its engines."""
     if "upstream_engines" not in responses.columns:
@@ -192,17 +198,19 @@ def scored_clusters(
     independent_weight: float = 1.0,
     resold_weight: float = 0.7,
     scraper_weight: float = 1.0,
+    votes: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (query, URL): score, corroboration, families and best rank, with the votes as numbers.
 
     A row that names its engines, even an empty list, is judged by them; only a row without the list
     falls back to what the whole response said. Shuffles: one for the clusters, which are reduced before it, and
-    one by query for what is known of it, a row of a few numbers, so AQE may split a query with many URLs.
+    one by query for what is known of it, a row of a few numbers, so AQE may split a query with many URLs. ``votes`` are
+    the reduced rows, if they are there already.
     """
-    votes = _best_votes(results)
+    votes = _best_votes(results) if votes is None else votes
     if responses is None:
         responses = results.select("query_id", "provider")
-    df = votes.join(_query_context(responses), "query_id", "left")
+    df = _with_host(votes.join(_query_context(responses), "query_id", "left"))
     df = df.withColumn("_independent", _independent(F.coalesce("_owned", F.lit(0))))
     named, said = {}, {}
     for name in _AGGREGATORS:
@@ -259,10 +267,13 @@ def _longest(name: str) -> Column:
 
 def representatives(results: DataFrame) -> DataFrame:
     """What a cluster shows: title and URL of its best rank, the richest texts, the earliest date."""
-    votes = attach_provider(best_rank_votes(results))
+    return _shown(attach_provider(best_rank_votes(results)))
+
+
+def _shown(votes: DataFrame, *number: str) -> DataFrame:
     place = ["rank", "provider_order"]
     titled = F.when(F.col("title") != "", F.struct(*place, "title"))
-    return votes.groupBy("query_id", "canonical_url").agg(
+    return votes.groupBy(*number, "query_id", "canonical_url").agg(
         F.min(titled)["title"].alias("title"),
         F.min(F.struct(*place, "url"))["url"].alias("url"),
         _longest("snippet").alias("snippet"),
@@ -271,6 +282,72 @@ def representatives(results: DataFrame) -> DataFrame:
     )
 
 
+# --- rows of the ranked URLs
+_BLOCK_BITS, _MOST_BLOCKS = 32768, 1024
+
+
+def _number_of(query: str, url: str) -> Column:
+    return F.xxhash64(query, url)
+
+
+def _places(number: Column) -> list[Column]:
+    """Two bits of a number inside its block."""
+    return [F.shiftrightunsigned(number, n).bitwiseAND(_BLOCK_BITS - 1) for n in (32, 48)]
+
+
+def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``_number`` is marked by one of ``wanted``: all that it holds, and a few others.
+
+    The marks are bits in blocks of 4 KB, at most 4 MB of them however many numbers are wanted; if they are very many, more
+    rows pass, and the join behind drops them.
+    """
+    blocks = 1
+    while blocks < _MOST_BLOCKS and blocks * _BLOCK_BITS < 16 * wanted.count():
+        blocks *= 2
+    block = F.col("_number").bitwiseAND(blocks - 1).alias("_block")
+    marks = wanted.select(block, F.explode(F.array(*_places(F.col("_number")))).alias("_place"))
+    marks = marks.groupBy("_block").agg(F.bitmap_construct_agg(F.col("_place")).alias("_bits"))
+    # 32 bits to a number, the first byte highest
+    words = F.transform(F.sequence(F.lit(0), F.lit(_BLOCK_BITS // 32 - 1)), lambda i: F.conv(F.hex(F.substring("_bits", i * 4 + 1, F.lit(4))), 16, 10).cast("bigint"))
+    marks = marks.select("_block", words.alias("_words"))
+
+    def marked(place: Column) -> Column:
+        bit = (3 - F.shiftright(place, 3).bitwiseAND(3)) * 8 + place.bitwiseAND(7)
+        return F.getbit(F.get(F.col("_words"), F.shiftright(place, 5).cast("int")), bit.cast("int")) == 1
+
+    met = rows.withColumn("_block", block).join(F.broadcast(marks), "_block")
+    first, second = _places(F.col("_number"))
+    return met.filter(marked(first) & marked(second)).drop("_block", "_words")
+
+
+def _shown_of(results: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The representatives of the ranked (query, URL) pairs, beside their ``ranked`` row.
+
+    Rows are met by a number of their pair, which is never null: a URL that an inner join compares may not be null, and Catalyst asks
+    for that below all of its stages, as one filter that spells the canonical form out again for every row. Rows that
+    no ranked pair marks go before anything is shuffled; the others travel once, by that number, which every later step groups by.
+    """
+    for name, kind in _OPTIONAL.items():
+        if name not in results.columns:
+            results = results.withColumn(name, F.lit(None).cast(kind))
+    keyed = ranked.filter("query_id is not null and canonical_url is not null")
+    keyed = keyed.withColumnsRenamed({"query_id": "_query", "canonical_url": "_wanted"}).withColumn("_number", _number_of("_query", "_wanted"))
+    rows = results.select(
+        "query_id", "canonical_url", "provider", F.greatest("provider_rank", F.lit(1)).alias("rank"), "url", "title", "snippet", "content",
+        "published_at", _number_of("query_id", "canonical_url").alias("_number"),
+    )
+    # no semi join here: Catalyst would put it below the marks, and every text would travel to meet it
+    rows = _marked(rows, keyed.select("_number")).repartition("_number")
+    vote = F.struct("rank", "url", "title", "snippet", "content", "published_at")
+    votes = rows.groupBy("_number", "query_id", "canonical_url", "provider").agg(F.min(vote).alias("_vote")).select(
+        "_number", "query_id", "canonical_url", "provider", "_vote.*"
+    )
+    shown = _shown(attach_provider(votes), "_number").withColumnRenamed("_number", "_of")
+    same = F.coalesce((F.col("query_id") == F.col("_query")) & (F.col("canonical_url") == F.col("_wanted")), F.lit(False))
+    added = [c for c in shown.columns if c not in ("_of", "query_id", "canonical_url")]
+    return shown.join(keyed, (F.col("_number") == F.col("_of")) & same).select(*ranked.columns, *added)
+
+
 def rank_clusters(scored: DataFrame, limit: int = 8, per_host: int = 2) -> DataFrame:
     """Ranked, host-diverse top of every query, numbered from 1.
 
@@ -309,20 +386,13 @@ def fuse(
     upstream_engines])`` also names providers that answered with nothing, and is taken from the
     results when not given.
 
-    Two passes over the results: ranking on numbers, whose few rows are landed in the shared folder (a job runs when this
-    is called); then texts of the ranked URLs alone. The planner knows the landed size, so it may keep the join from
-    shuffling when the ranked rows are few.
+    Two passes over the results: ranking on numbers, then texts of the ranked URLs alone. The reduced votes and the few ranked
+    rows are landed in the shared folder (jobs run when this is called), so the shuffles before them are gone when the next begin.
     """
-    scored = scored_clusters(results, responses, **weighting)
+    votes = landed(_best_votes(results), "votes")
+    scored = scored_clusters(results, responses, votes=votes, **weighting)
     ranked = landed(with_sources(rank_clusters(scored, limit, per_host)), "ranked")
-    # a URL that an inner join compares may not be null, and Catalyst asks for that below all of its stages, as one filter that
-    # spells the canonical form out again for every row; compared null-safely with rows that have no null it asks for nothing
-    keyed = ranked.filter("query_id is not null and canonical_url is not null")
-    wanted = keyed.select(F.col("query_id").alias("_query"), F.col("canonical_url").alias("_wanted"))
-    met = (F.col("query_id") == F.col("_query")) & F.col("canonical_url").eqNullSafe(F.col("_wanted"))
-    shown = representatives(results.join(wanted, met, "left_semi"))
-    shown = shown.withColumnsRenamed({"query_id": "_query", "canonical_url": "_wanted"})
-    return keyed.join(shown, met).drop("_query", "_wanted")
+    return _shown_of(results, ranked)
 
 
 def fusion_diagnostics(

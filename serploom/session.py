@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,12 +34,25 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def landed(table: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared checkpoint folder and read again: lineage ends, and its size is known."""
+    """The table written to the shared checkpoint folder and read again: lineage ends, its size is known, and the shuffles behind it are gone."""
     path = f"{ensure_checkpoint_dir(table.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    table.write.parquet(path)
+    with shuffles_dropped(table.sparkSession):
+        table.write.option("compression", "zstd").parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside leave no shuffle files behind: what they wrote is read instead, and nothing runs their plans again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; on one machine a scratch folder when unset."""
     context = spark.sparkContext
