@@ -102,10 +102,11 @@ def read_brave(body: Column) -> Column:
     )
 
 
-def _object_with(body: Column, field: str) -> Column:
+def _object_with(body: Column, field: str, read: Column) -> Column:
     """The body is a JSON object whose field, if present, is an object too."""
     valid = body.rlike(r"^\s*\{") & F.try_parse_json(body).isNotNull()
-    held = bind(F.get_json_object(body, f"$.{field}"), lambda h: h.isNull() | h.startswith("{"))
+    # a valid body has each name once, so a field that was read as an object is one
+    held = read.isNotNull() | bind(F.get_json_object(body, f"$.{field}"), lambda h: h.isNull() | h.startswith("{"))
     return F.coalesce(valid, F.lit(False)) & held
 
 
@@ -119,7 +120,7 @@ def _brave_response(body: Column, p: Column) -> Column:
         altered.isNotNull() & ~altered.eqNullSafe(p["query"]["original"]),
         _strings(F.concat(F.lit('Brave interpreted the query as "'), altered, F.lit('".'))),
     )
-    return _response(_object_with(body, "web") & p.isNotNull(), items, warnings=warning)
+    return _response(_object_with(body, "web", p["web"]) & p.isNotNull(), items, warnings=warning)
 
 
 def read_mojeek(body: Column) -> Column:
@@ -137,7 +138,7 @@ def read_mojeek(body: Column) -> Column:
 def _mojeek_response(body: Column, p: Column) -> Column:
     status = F.lower(F.coalesce(p["status"], F.lit("")))
     outcome = (
-        F.when(~_object_with(body, "response"), F.lit("malformed_response"))
+        F.when(~_object_with(body, "response", p), F.lit("malformed_response"))
         .when(status.rlike("access denied|invalid key|password|permission"), F.lit("authentication"))
         .when(status.rlike("limit|quota|exceed"), F.lit("rate_limited"))
         .when(~status.startswith("ok"), F.lit("server_error"))
@@ -353,6 +354,8 @@ def read_payloads(payloads: DataFrame) -> DataFrame:
 
 def response_rows(parsed: DataFrame) -> DataFrame:
     """One row per payload: outcome, answer, engines and warnings."""
+    # behind a generator the optimizer copies no parse into a filter on the outcome
+    parsed = parsed.select("query_id", "provider", "status_category", F.explode(F.array("response")).alias("response"))
     outcome = F.coalesce(
         F.when(F.col("status_category") != "ok", F.col("status_category")), F.col("response.outcome")
     )

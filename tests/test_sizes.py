@@ -62,3 +62,33 @@ def test_a_host_that_its_url_does_not_spell_stays(spark):
     )
     got = {r.canonical_url: r.host for r in fusion.scored_clusters(rows).collect()}
     assert got == {"https://a.com/1": "b.org", "http://a.com/2": "a.com", "mailto:x": None, "https://c.com/4": "c.com"}
+
+
+def test_one_pass_fuses_as_two_do(spark):
+    rows = _rows(spark, 40).withColumn("upstream_engines", F.when(F.col("provider") == "searxng", F.array(F.lit("brave"))))
+    again = rows.filter("provider = 'tavily'").withColumns({"provider": F.lit("searxng"), "upstream_engines": F.array(F.lit("google")), "snippet": F.lit(None).cast("string")})
+    rows = rows.unionByName(again).unionByName(rows.limit(1).withColumn("canonical_url", F.lit(None).cast("string")))
+    one, two = fusion.fuse_by_query(rows, limit=5), fusion.fuse(rows, limit=5)
+    assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_payloads_that_lie_by_query_are_fused_where_they_are(spark, tmp_path):
+    spark.range(60).selectExpr(
+        "id div 3 as l_orderkey", "id % 7 as l_partkey", "id % 5 as l_suppkey", "cast(id % 3 as int) as l_linenumber", "id * 1.5d as l_extendedprice", "id * 1d as l_quantity",
+        "timestamp '2024-01-01 00:00:00' as l_shipdate",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(7).selectExpr("id as p_partkey", "concat('part ', id) as p_name", "'BIG' as p_type").write.parquet(str(tmp_path / "part.parquet"))
+    from serploom.plans.composed_queries import payload_fusion
+
+    fused = payload_fusion(spark, str(tmp_path))
+    assert len(fused.collect()) > 20 and max(_travelled(fused)) <= 60
+
+
+def test_a_parse_is_not_copied_into_a_filter(spark):
+    from serploom.sources.payloads import read_payloads, response_rows
+
+    rows = spark.createDataFrame([(1, "exa", 200, '{"results": []}'), (2, "exa", 200, "[]"), (3, "exa", 500, "")], "query_id bigint, provider string, status_code int, body string")
+    answered = response_rows(read_payloads(rows)).filter("outcome = 'ok'").select("query_id", "upstream_engines")
+    assert [r.query_id for r in answered.collect()] == [1]
+    plan = answered._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in "".join(x for x in plan.split("\n") if "Filter" in x)
