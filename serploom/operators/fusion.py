@@ -9,6 +9,8 @@ its URLs; only the join with the row of its query, which AQE may split, and its
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,7 +212,9 @@ def scored_clusters(
     votes = _best_votes(results) if votes is None else votes
     if responses is None:
         responses = results.select("query_id", "provider")
-    df = _with_host(votes.join(_query_context(responses), "query_id", "left"))
+    df = votes.join(_query_context(responses), "query_id", "left")
+    if "_spelled" in df.columns:
+        df = _with_host(df)
     df = df.withColumn("_independent", _independent(F.coalesce("_owned", F.lit(0))))
     named, said = {}, {}
     for name in _AGGREGATORS:
@@ -270,15 +274,20 @@ def representatives(results: DataFrame) -> DataFrame:
     return _shown(attach_provider(best_rank_votes(results)))
 
 
-def _shown(votes: DataFrame, *number: str) -> DataFrame:
+#: what a cluster shows
+SHOWN = ["title", "url", "snippet", "content", "published_at"]
+
+
+def _shown(votes: DataFrame, *others: str, more: Sequence[Column] = ()) -> DataFrame:
     place = ["rank", "provider_order"]
     titled = F.when(F.col("title") != "", F.struct(*place, "title"))
-    return votes.groupBy(*number, "query_id", "canonical_url").agg(
+    return votes.groupBy(*others, "query_id", "canonical_url").agg(
         F.min(titled)["title"].alias("title"),
         F.min(F.struct(*place, "url"))["url"].alias("url"),
         _longest("snippet").alias("snippet"),
         _longest("content").alias("content"),
         F.min("published_at").alias("published_at"),
+        *more,
     )
 
 
@@ -344,8 +353,7 @@ def _shown_of(results: DataFrame, ranked: DataFrame) -> DataFrame:
     )
     shown = _shown(attach_provider(votes), "_number").withColumnRenamed("_number", "_of")
     same = F.coalesce((F.col("query_id") == F.col("_query")) & (F.col("canonical_url") == F.col("_wanted")), F.lit(False))
-    added = [c for c in shown.columns if c not in ("_of", "query_id", "canonical_url")]
-    return shown.join(keyed, (F.col("_number") == F.col("_of")) & same).select(*ranked.columns, *added)
+    return shown.join(keyed, (F.col("_number") == F.col("_of")) & same).select(*ranked.columns, *SHOWN)
 
 
 def rank_clusters(scored: DataFrame, limit: int = 8, per_host: int = 2) -> DataFrame:
@@ -395,6 +403,45 @@ def fuse(
     return _shown_of(results, ranked)
 
 
+def _votes_with_texts(results: DataFrame) -> DataFrame:
+    """``_best_votes`` and ``representatives`` in one: a row per (query, URL), with its numbers and with what it shows."""
+    for name, kind in _OPTIONAL.items():
+        if name not in results.columns:
+            results = results.withColumn(name, F.lit(None).cast(kind))
+    known = results.filter(F.col("provider").isin(*[p[0] for p in dims.PROVIDERS]))
+    rank = F.greatest("provider_rank", F.lit(1)).alias("rank")
+    offer = F.when(F.col("provider").isin(*_AGGREGATORS), _offer(F.col("upstream_engines"))).otherwise(0)
+    limits = [F.max("result_limit").alias("result_limit")] if "result_limit" in results.columns else []
+    of, url = ["query_id", "canonical_url"], ["query_id", "canonical_url", "host"]
+    votes = known.groupBy(*url, "provider").agg(
+        F.min(F.struct(rank, "url", "title", "snippet", "content", "published_at")).alias("_shown"),
+        F.min(rank.cast("bigint") * 256 + offer).alias("_vote"), *limits,
+    )
+    place = F.lit(None).cast("int")
+    for name, *_, order in dims.PROVIDERS:
+        place = F.when(F.col("provider") == name, F.lit(order)).otherwise(place)
+    votes = votes.select(*url, "provider", place.alias("provider_order"), "_shown.*", "_vote", *(["result_limit"] if limits else []))
+    numbers = [F.min(F.when(F.col("provider") == p[0], F.col("_vote"))).alias(_vote(p[0])) for p in dims.PROVIDERS]
+    return _shown(votes, *url[2:], more=[*numbers, *limits]).select(*of, "host", *SHOWN, *[_vote(p[0]) for p in dims.PROVIDERS], *(["result_limit"] if limits else []))
+
+
+def fuse_by_query(
+    results: DataFrame,
+    responses: DataFrame | None = None,
+    limit: int = 8,
+    per_host: int = 2,
+    **weighting,
+) -> DataFrame:
+    """``fuse`` in one pass, for results that lie by query already and of whose URLs most are shown.
+
+    Texts stay with the numbers, so the rows are made once. If rows and responses are dealt out by query, nothing is shuffled;
+    otherwise every text travels, and ``fuse`` is the one to take. A canonical URL has one host here.
+    """
+    scored = scored_clusters(results, responses, votes=_votes_with_texts(results), **weighting)
+    ranked = with_sources(rank_clusters(scored, limit, per_host)).filter("query_id is not null and canonical_url is not null")
+    return ranked.select(*[c for c in ranked.columns if c not in SHOWN], *SHOWN)
+
+
 def fusion_diagnostics(
     results: DataFrame, responses: DataFrame | None = None, **weighting
 ) -> DataFrame:

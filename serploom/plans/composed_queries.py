@@ -18,7 +18,10 @@ _LIMITED = "case when query_id % 7 = 0 then 429 else 200 end"
 
 
 def fused_from_payloads(spark, sf_dir):
-    """Three payloads per order: parsed, cleaned, deduplicated and fused with what their responses say."""
+    """Three payloads per order: parsed, cleaned, deduplicated and fused with what their responses say.
+
+    The payloads lie by query, and an order has a handful of URLs, nearly all of them shown.
+    """
     landed = (
         built.payloads(spark, sf_dir, "tavily", built._tavily, _LIMITED)
         .unionByName(built.payloads(spark, sf_dir, "brave", built._brave))
@@ -27,7 +30,7 @@ def fused_from_payloads(spark, sf_dir):
     parsed = read_payloads(landed)
     silver = silver_results(result_rows(parsed))
     answered = response_rows(parsed).filter("outcome = 'ok'").select("query_id", "provider", "upstream_engines")
-    return fusion.fuse(silver, answered, limit=8, per_host=2)
+    return fusion.fuse_by_query(silver, answered, limit=8, per_host=2)
 
 
 # an item without engines is judged by the engines of its whole response
