@@ -92,3 +92,26 @@ def test_a_parse_is_not_copied_into_a_filter(spark):
     assert [r.query_id for r in answered.collect()] == [1]
     plan = answered._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in "".join(x for x in plan.split("\n") if "Filter" in x)
+
+
+def test_a_base_is_made_some_buckets_at_a_time(spark, tmp_path, monkeypatch):
+    from serploom.streaming import store as module
+
+    monkeypatch.setattr(module, "SLICE", 4000)
+    merged = []
+
+    def merge(rows):
+        merged.append(rows)
+        return rows.groupBy("k").agg(F.max("v").alias("v"))
+
+    rows = spark.range(800).selectExpr("id as k", "id as v")
+    store = module.KeyedStore(spark, str(tmp_path / "s"), ["k"], rows.schema, merge, buckets=8, compact=2)
+    store.add(rows, 0)
+    store.add(rows.selectExpr("k", "v + 1 as v"), 1)
+    assert len(merged) > 1 and store._committed("batch=1-merged")
+    want = [(k, k + 1) for k in range(800)]
+    assert sorted(map(tuple, store._read(["batch=1-merged"]).select("k", "v").collect())) == want == sorted(map(tuple, store.current().collect()))
+    store._merge(1)  # replayed: the base is made anew
+    assert store._read(["batch=1-merged"]).count() == 800
+    kept = store.rows(1, touched=rows.filter("k < 3"), compacted=-1, merged=False)
+    assert sorted(map(tuple, kept.collect())) == sorted([(k, k + n) for k in range(3) for n in (0, 1)])
