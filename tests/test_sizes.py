@@ -72,15 +72,21 @@ def test_one_pass_fuses_as_two_do(spark):
     assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
 
 
+def _tables(spark, folder, lines, parts, suppliers):
+    """Small lineitem, part and supplier tables; every third line belongs to the next order."""
+    spark.range(lines).selectExpr(
+        "id div 3 as l_orderkey", f"id % {parts} as l_partkey", f"id % {suppliers} as l_suppkey", "cast(id % 3 as int) as l_linenumber",
+        "id * 1.5d as l_extendedprice", "id * 1d as l_quantity", "'N' as l_returnflag", "timestamp '2024-01-01 00:00:00' as l_shipdate",
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    spark.range(parts).selectExpr("id as p_partkey", "concat('part ', id) as p_name", "'BIG' as p_type", "cast(id % 50 as int) as p_size").write.parquet(f"{folder}/part.parquet")
+    spark.range(suppliers).selectExpr("id as s_suppkey").write.parquet(f"{folder}/supplier.parquet")
+    return str(folder)
+
+
 def test_payloads_that_lie_by_query_are_fused_where_they_are(spark, tmp_path):
-    spark.range(60).selectExpr(
-        "id div 3 as l_orderkey", "id % 7 as l_partkey", "id % 5 as l_suppkey", "cast(id % 3 as int) as l_linenumber", "id * 1.5d as l_extendedprice", "id * 1d as l_quantity",
-        "timestamp '2024-01-01 00:00:00' as l_shipdate",
-    ).write.parquet(str(tmp_path / "lineitem.parquet"))
-    spark.range(7).selectExpr("id as p_partkey", "concat('part ', id) as p_name", "'BIG' as p_type").write.parquet(str(tmp_path / "part.parquet"))
     from serploom.plans.composed_queries import payload_fusion
 
-    fused = payload_fusion(spark, str(tmp_path))
+    fused = payload_fusion(spark, _tables(spark, tmp_path, 60, 7, 5))
     assert len(fused.collect()) > 20 and max(_travelled(fused)) <= 60
 
 
@@ -115,3 +121,23 @@ def test_a_base_is_made_some_buckets_at_a_time(spark, tmp_path, monkeypatch):
     assert store._read(["batch=1-merged"]).count() == 800
     kept = store.rows(1, touched=rows.filter("k < 3"), compacted=-1, merged=False)
     assert sorted(map(tuple, kept.collect())) == sorted([(k, k + n) for k in range(3) for n in (0, 1)])
+
+
+def _outputs_travel_little(spark, folder, query):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        # 4000 URLs in two queries make 12 000 rows; lineitem meets part by its key
+        out = query(spark, _tables(spark, folder, 4000, 4000, 2))
+        assert out.count() == 2
+        out.collect()
+        assert max(_travelled(out)) <= 4000
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_search_cards_do_not_move_every_text(spark, tmp_path):
+    from serploom.plans.output_queries import search_cards
+
+    _outputs_travel_little(spark, tmp_path, search_cards)
