@@ -141,3 +141,9 @@ def test_search_cards_do_not_move_every_text(spark, tmp_path):
     from serploom.plans.output_queries import search_cards
 
     _outputs_travel_little(spark, tmp_path, search_cards)
+
+
+def test_search_documents_do_not_move_every_text(spark, tmp_path):
+    from serploom.plans.output_queries import search_documents
+
+    _outputs_travel_little(spark, tmp_path, search_documents)
