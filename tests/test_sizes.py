@@ -119,8 +119,8 @@ def test_a_base_is_made_some_buckets_at_a_time(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, store._read(["batch=1-merged"]).select("k", "v").collect())) == want == sorted(map(tuple, store.current().collect()))
     store._merge(1)  # replayed: the base is made anew
     assert store._read(["batch=1-merged"]).count() == 800
-    kept = store.rows(1, touched=rows.filter("k < 3"), compacted=-1, merged=False)
-    assert sorted(map(tuple, kept.collect())) == sorted([(k, k + n) for k in range(3) for n in (0, 1)])
+    parts = [store.rows(1, touched=rows.filter("k < 30"), compacted=-1, part=(n, 3)) for n in range(3)]
+    assert sorted(tuple(r) for p in parts for r in p.collect()) == want[:30] and all(p.count() < 30 for p in parts)
 
 
 def _outputs_travel_little(spark, folder, query):
@@ -147,3 +147,19 @@ def test_search_documents_do_not_move_every_text(spark, tmp_path):
     from serploom.plans.output_queries import search_documents
 
     _outputs_travel_little(spark, tmp_path, search_documents)
+
+
+def test_live_fusion_by_slices_is_the_batch_form(spark, tmp_path, monkeypatch):
+    from serploom.streaming import live
+    from serploom.streaming import store as module
+
+    monkeypatch.setattr(module, "SLICE", 8000)
+    every = _rows(spark, 20, queries=6)
+    folder = str(tmp_path / "in")
+    for again in (0, 1):
+        every.filter(f"provider_rank {'>' if again else '<'} 5000").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    live.fuse_batches(stream, str(tmp_path / "out"), str(tmp_path / "progress"), buckets=4, compact=8).awaitTermination()
+    assert module.KeyedStore(spark, f"{tmp_path}/out/votes", ["query_id"], buckets=4, compact=8).slices_of(1) > 1
+    shown = lambda df: sorted((r.query_id, r["rank"], r.canonical_url, r.title, r.snippet) for r in df.collect())
+    assert shown(live.fused_so_far(spark, str(tmp_path / "out"), buckets=4, compact=8)) == shown(fusion.fuse(every))
